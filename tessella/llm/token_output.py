@@ -23,6 +23,7 @@ gives a manifest of no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ from .common import shared_dir, small_batches, text_bytes
 #: pre-tokenizer no piece goes on from a character into the white space after it
 #: and none looks behind, so these parts encode alone as they do in their text.
 PART = re.compile(r"\s*\S+|\s+")
-#: Parts whose ids a worker keeps; at that number it starts anew.
-KEPT_PARTS = 400_000
+#: Parts whose ids a worker keeps; beyond that number those of the latest texts stay.
+KEPT_PARTS = 500_000
 
 SHARD = "shard int, ids_file string, idx_file string, n_docs long, n_tokens long"
 
@@ -50,6 +51,7 @@ class Encoder:
     """Ids of texts, each followed by the end id; ids of repeated parts are kept."""
 
     def __init__(self, path: str, end_id: int, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,9 +61,10 @@ class Encoder:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         parts = [PART.findall(t) if t else [] for t in texts]
+        here = set().union(*parts)
         if len(self.known) > KEPT_PARTS:
-            self.known = {}
-        new = list({p for ps in parts for p in ps}.difference(self.known))
+            self.known = {p: x for p, x in self.known.items() if p in here}
+        new = list(here.difference(self.known))
         for at in range(0, len(new), 10_000):
             piece = new[at : at + 10_000]
             for p, e in zip(piece, self.tokenizer.encode_batch_fast(piece, add_special_tokens=False), strict=True):
@@ -70,6 +73,16 @@ class Encoder:
         return [b"".join(map(known, ps)) + self.end for ps in parts]
 
 
+#: A worker process serves many tasks, one after another.
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(*key) -> Encoder:
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -103,7 +116,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
             if not len(batch):
                 continue
             if encoder is None:
-                encoder, out = Encoder(tokenizer_path, end_id, dtype), fs.open_output_stream(f"{root}/ids-{name}")
+                encoder, out = _encoder(tokenizer_path, end_id, dtype), fs.open_output_stream(f"{root}/ids-{name}")
             coded = encoder.texts(batch.column(1).to_pylist())
             lengths = np.array([len(x) for x in coded], np.int64) // encoder.dtype.itemsize
             ids.append(batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8"))
