@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +42,23 @@ from .common import shared_dir, small_batches, text_bytes
 #: pre-tokenizer no piece goes on from a character into the white space after it
 #: and none looks behind, so these parts encode alone as they do in their text.
 PART = re.compile(r"\s*\S+|\s+")
-#: Parts whose ids a worker keeps; beyond that number those of the latest texts stay.
-KEPT_PARTS = 500_000
+#: Parts that the pre-tokenizer cuts as these two groups are: letters, then marks.
+PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,;:!?]*)")
+#: Parts whose ids a worker keeps, in each of two generations.
+KEPT_PARTS = 250_000
 
 SHARD = "shard int, ids_file string, idx_file string, n_docs long, n_tokens long"
 
 
-class Encoder:
-    """Ids of texts, each followed by the end id; ids of repeated parts are kept."""
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Encoder(dict):
+    """Ids of texts, each followed by the end id. As a dict it holds the ids of parts met lately."""
 
     def __init__(self, path: str, end_id: int, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -56,21 +66,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.end, self.dtype = np.array([end_id], dtype).tobytes(), np.dtype(dtype)
-        self.known: dict[str, bytes] = {}
+        self.code = self.dtype.char
+        self.older: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            plain = PLAIN.fullmatch(part)
+            found = [x for p in plain.groups() if p for x in self._piece(p)] if plain else self.tokenizer.encode(part, add_special_tokens=False).ids
+            ids = array(self.code, found).tobytes()
+        self[part] = ids
+        return ids
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        parts = [PART.findall(t) if t else [] for t in texts]
-        here = set().union(*parts)
-        if len(self.known) > KEPT_PARTS:
-            self.known = {p: x for p, x in self.known.items() if p in here}
-        new = list(here.difference(self.known))
-        for at in range(0, len(new), 10_000):
-            piece = new[at : at + 10_000]
-            for p, e in zip(piece, self.tokenizer.encode_batch_fast(piece, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, ps)) + self.end for ps in parts]
+        out = []
+        for text in texts:
+            out.append((b"".join(map(self.__getitem__, PART.findall(text))) if text else b"") + self.end)
+            if len(self) > KEPT_PARTS:
+                self.older = dict(self)
+                self.clear()
+        return out
 
 
 #: A worker process serves many tasks, one after another.
