@@ -31,21 +31,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, text_bytes
+from .common import shared_dir, small_batches
 
 #: Text up to a change from other characters to white space. In this vocabulary's
 #: pre-tokenizer no piece goes on from a character into the white space after it
 #: and none looks behind, so these parts encode alone as they do in their text.
 PART = re.compile(r"\s*\S+|\s+")
-#: Parts that the pre-tokenizer cuts as these two groups are: letters, then marks.
-PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,;:!?]*)")
+#: What texts must not have for their parts to be cut at single spaces and line
+#: ends: white space that is neither, or next to other white space, or outermost.
+UNEVEN = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A[ \n]|[ \n]\z"
+#: Parts that the pre-tokenizer cuts as these groups are: letters, then marks.
+PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,;:!?]*)")
 #: Parts whose ids a worker keeps, in each of two generations.
-KEPT_PARTS = 250_000
+KEPT_PARTS = 400_000
+#: Bytes of text whose parts are looked up together.
+GATHERED = 8 << 20
 
 SHARD = "shard int, ids_file string, idx_file string, n_docs long, n_tokens long"
 
@@ -58,7 +64,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Ids of texts, each followed by the end id. As a dict it holds the ids of parts met lately."""
+    """Ids of texts, each followed by the end id. As a dict it holds the ids of parts met lately.
+
+    Most parts of a text were met before. So texts are cut into parts, equal
+    parts are found by Arrow, the ids of each different part are looked up, or
+    else encoded, and numpy lays out the ids of all texts.
+    """
 
     def __init__(self, path: str, end_id: int, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -67,29 +78,70 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.end, self.dtype = np.array([end_id], dtype).tobytes(), np.dtype(dtype)
+        self.end, self.dtype = end_id, np.dtype(dtype)
         self.code = self.dtype.char
         self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
+    def _encode(self, part: str) -> list[int]:
+        plain = PLAIN.fullmatch(part)
+        if not plain:
+            return self.tokenizer.encode(part, add_special_tokens=False).ids
+        lead, word, marks = plain.groups()
+        found = self._piece(lead) + self._piece(word) if lead == "\n" else self._piece(lead + word)
+        return found + self._piece(marks) if marks else found
+
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
-            plain = PLAIN.fullmatch(part)
-            found = [x for p in plain.groups() if p for x in self._piece(p)] if plain else self.tokenizer.encode(part, add_special_tokens=False).ids
-            ids = array(self.code, found).tobytes()
+            ids = array(self.code, self._encode(part)).tobytes()
         self[part] = ids
         return ids
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            out.append((b"".join(map(self.__getitem__, PART.findall(text))) if text else b"") + self.end)
-            if len(self) > KEPT_PARTS:
-                self.older = dict(self)
-                self.clear()
+    def _age(self) -> None:
+        if len(self) > KEPT_PARTS:
+            self.older = dict(self)
+            self.clear()
+
+    def _even(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that have nothing :data:`UNEVEN`, by their parts.
+
+        A line end is put before each text and becomes the last id of the text
+        before it; line ends get a space before them, at which all is cut.
+        """
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts, "\n"), "\n", " \n"), " ")
+        parts = cut.flatten()
+        first = np.asarray(cut.offsets)
+        coded = parts.dictionary_encode()
+        # a text begins with the empty part before its first line end
+        known = [self[p if p[:1] == "\n" else " " + p] if p else b"" for p in coded.dictionary.to_pylist()]
+        self._age()
+        which = np.asarray(coded.indices)
+        ids = np.frombuffer(b"".join(known), self.dtype)
+        sizes = np.array([len(k) for k in known], np.int64) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[which]
+        ends = np.cumsum(many)
+        out = ids[np.repeat(starts[which] - ends + many, many) + np.arange(ends[-1])]
+        at = np.concatenate([[0], ends])[first]
+        out = np.append(out[1:], self.dtype.type(self.end))
+        out[at[1:-1] - 1] = self.end
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def texts(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        even = pc.invert(pc.match_substring_regex(texts, UNEVEN))
+        out: list[np.ndarray] = [None] * len(texts)
+        places = np.flatnonzero(np.asarray(even))
+        if len(places):
+            for k, ids in zip(places, self._even(texts.filter(even)), strict=True):
+                out[k] = ids
+        for k in np.flatnonzero(~np.asarray(even)):
+            found = b"".join(map(self.__getitem__, PART.findall(texts[k].as_py())))
+            out[k] = np.append(np.frombuffer(found, self.dtype), self.dtype.type(self.end))
+            self._age()
         return out
 
 
@@ -103,6 +155,20 @@ def _encoder(*key) -> Encoder:
     return _encoders[key]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, in tables of about :data:`GATHERED` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+        if size >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -130,19 +196,16 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         context = TaskContext.get()
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}.bin"
         fs, root = _filesystem(out_dir)
-        encoder, ids, ends, total = None, [], [], 0
-        out = None
-        for batch in batches:
-            if not len(batch):
-                continue
+        encoder, out, ids, ends, total = None, None, [], [], 0
+        for some in _gathered(batches):
             if encoder is None:
                 encoder, out = _encoder(tokenizer_path, end_id, dtype), fs.open_output_stream(f"{root}/ids-{name}")
-            coded = encoder.texts(batch.column(1).to_pylist())
-            lengths = np.array([len(x) for x in coded], np.int64) // encoder.dtype.itemsize
-            ids.append(batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8"))
+            coded = encoder.texts(some.column(1).combine_chunks())
+            lengths = np.array([len(x) for x in coded], np.int64)
+            ids.append(some.column(0).fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8"))
             ends.append(total + np.cumsum(lengths))
             total += int(lengths.sum())
-            out.write(b"".join(coded))
+            out.write(np.concatenate(coded).tobytes())
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{root}/idx-{name}") as f:
