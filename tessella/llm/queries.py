@@ -46,12 +46,29 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "unscanned")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import crc_fold, identify
+
+    fold = crc_fold(F.col("doc_id"), 5)
+    found = identify(_table(spark, sf_dir, "documents"), fold != 0)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op9_secrets": op9_secrets,
+    "op10_language_id": op10_language_id,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
