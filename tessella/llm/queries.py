@@ -46,6 +46,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import crc_fold
+    from .toxicity import score_toxicity
+
+    found = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), crc_fold(F.col("_id"), 3) != 1)
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -67,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
 }
