@@ -46,6 +46,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import removals
+
+    docs = _table(spark, sf_dir, "documents")
+    found = removals(docs).select(F.col("doc_id").alias("id"), "h", "n_lines", "removed")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    joined = docs.select("doc_id", h.alias("own")).join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("h")))
+    return joined.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
@@ -82,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
