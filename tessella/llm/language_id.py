@@ -4,8 +4,9 @@ A text is folded to lower-case letters and single spaces. Its subwords, all
 character n-grams of a few sizes, are hashed to rows of an embedding table; the
 text is the mean of its rows, and a linear softmax over languages reads it. Table
 and softmax are trained together by stochastic gradient descent in numpy (with
-steps that shrink by past gradients) on a bounded sample: about ``per_lang`` labelled texts of each language, chosen by a
-hash of their ids. Texts of more than ``LONGEST`` characters are not sampled.
+steps that shrink by past gradients) on a bounded sample: about ``per_lang``
+labelled texts of each language, chosen by a hash of their ids. Texts of more
+than ``LONGEST`` characters are not sampled.
 
 Confidence is calibrated on a held-back tenth of the sample: a temperature is
 chosen by likelihood, and a text is rejected if its confidence is below what
@@ -209,7 +210,7 @@ def sample(docs: DataFrame, learn: Column, per_lang: int, id_col: str, text_col:
 
 
 def identify(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: ``doc_id, lang_pred, score, rejected`` and the columns to ``keep``.
+    """Per document: ``doc_id, lang_pred, score, rejected`` and the columns to ``keep``, named ``kept_...``.
 
     ``learn`` marks the rows whose labels may be learned from.
     """
@@ -217,18 +218,24 @@ def identify(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, id_col: s
     small_batches(spark)
     model = spark.sparkContext.broadcast(train(*sample(docs, learn, per_lang, id_col, text_col, lang_col)))
 
+    # the text goes to the workers once, also where it is to be kept
+    extra = [c for c in keep if c != text_col]
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(extra)])
+    kept = [f"k{i} {kinds[c]}" for i, c in enumerate(extra)] + (["kt string"] if text_col in keep else [])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, rejected = model.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[batch.column(k) for k in range(2, batch.num_columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=["doc_id", *[f"k{k}" for k in range(2, batch.num_columns)], "lang_pred", "score", "rejected"],
-            )
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("k1"), *[F.col(c).alias(f"k{i + 2}") for i, c in enumerate(keep)])
-    kept = ", ".join(f"k{i + 2} {own.schema[i + 2].dataType.simpleString()}" for i in range(len(keep)))
-    out = own.mapInArrow(run, f"doc_id long{', ' + kept if kept else ''}, lang_pred string, score double, rejected boolean")
-    return out.select("doc_id", "lang_pred", "score", "rejected", *[F.col(f"k{i + 2}").alias(c) for i, c in enumerate(keep)])
+            columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+            columns += [batch.column(2 + i) for i in range(len(extra))] + ([batch.column(1)] if text_col in keep else [])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join(["_id long, _lang string, _score double, _rejected boolean", *kept])
+    names = ["_id", "_lang", "_score", "_rejected", *[k.split(" ")[0] for k in kept]]
+    out = own.mapInArrow(run, schema)
+    back = {c: f"k{i}" for i, c in enumerate(extra)} | {text_col: "kt"}
+    return out.select(F.col("_id").alias("doc_id"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"), *[F.col(back[c]).alias(f"kept_{c}") for c in keep])
 
 
 def crc_fold(id_col: Column, folds: int) -> Column:

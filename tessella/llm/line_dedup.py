@@ -68,40 +68,42 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     rarity = _rarity(own)
     split = own.select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     n, prefix = F.size("t"), F.size("t") - _least(F.size("t"), threshold) + 1
+    # a set of up to three words is similar to none but itself and needs no prefix
     lines = cut(
         split.select(*_KEY, "line", F.transform(F.array(_tokens(F.col("words"), rarity)), lambda t: t)[0].alias("t"))
-        .select(*_KEY, "line", n.alias("n"), F.xxhash64("t").alias("set"), F.when(n > 0, F.slice("t", 1, prefix)).otherwise(F.array().cast("array<bigint>")).alias("prefix"))
-        .dropDuplicates([*_KEY, "line"])
-    )
+        .select(*_KEY, "line", n.alias("n"), F.xxhash64("t").alias("set"), F.when(n > 3, F.slice("t", 1, prefix)).otherwise(F.array().cast("array<bigint>")).alias("prefix"))
+    )
     place = F.struct(*_KEY, "line").alias("first")
     entries = cut(lines.filter("n > 0").groupBy("set", "n").agg(F.min(place).alias("first")))
     # an entry's prefix is that of its first line; that row is found by all its columns, so copies do not meet
     at = [F.col(f"first.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*_KEY, "line")]
-    own_prefix = lines.alias("l").join(entries.alias("e"), (F.col("l.set") == F.col("e.set")) & (F.col("l.n") == F.col("e.n")) & at[0] & at[1] & at[2])
-    words = cut(own_prefix.select("e.n", "e.first", F.posexplode("prefix").alias("at", "word")))
+    own_prefix = lines.filter("n > 3").alias("l").join(entries.alias("e"), (F.col("l.set") == F.col("e.set")) & (F.col("l.n") == F.col("e.n")) & at[0] & at[1] & at[2])
+    words = own_prefix.select("e.set", "e.n", F.posexplode("prefix").alias("at", "word")).distinct()
 
     a, b = words.alias("a"), words.alias("b")
-    overlap = F.col("a.n") + F.col("b.n")
-    needed = F.ceil(overlap * (threshold / (1 + threshold)) - 1e-9)
-    possible = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
+    possible = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     pairs = a.join(
         b,
-        (F.col("a.word") == F.col("b.word")) & (F.col("a.first") < F.col("b.first"))
+        (F.col("a.word") == F.col("b.word")) & (F.col("a.set") < F.col("b.set"))
         & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9) & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (possible >= needed),
     )
-    pairs = cut(pairs.select(F.col("a.first").alias("early"), F.col("b.first").alias("late")).distinct())
+    pairs = pairs.select(F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct()
+    first_of = entries.filter("n > 3").select("set", "first")
+    placed = pairs.join(first_of.select(F.col("set").alias("x"), F.col("first").alias("p")), "x").join(first_of.select(F.col("set").alias("y"), F.col("first").alias("q")), "y")
+    pairs = cut(placed.select(F.least("p", "q").alias("early"), F.greatest("p", "q").alias("late")))
 
     wanted = pairs.select("early").union(pairs.select("late")).distinct().select("early.*").groupBy(*_KEY).agg(F.collect_set("line").alias("wanted"))
-    again = own.dropDuplicates(_KEY).alias("o").join(wanted.alias("w"), F.col("o.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("o.h") == F.col("w.h")))
+    again = own.alias("o").join(wanted.alias("w"), F.col("o.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("o.h") == F.col("w.h")))
     text_of = again.select("o.doc_id", "o.h", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("all"))
-    sets = cut(text_of.select(F.struct(*_KEY, "line").alias("first"), _tokens(F.get("all", F.col("line")), rarity).alias("t")))
+    sets = cut(text_of.select(F.struct(*_KEY, "line").alias("first"), _tokens(F.get("all", F.col("line")), rarity).alias("t")).distinct())
     both = pairs.join(sets.select(F.col("first").alias("early"), F.col("t").alias("x")), "early").join(sets.select(F.col("first").alias("late"), F.col("t").alias("y")), "late")
     common = F.size(F.array_intersect("x", "y"))
     near = both.filter(common >= (F.size("x") + F.size("y") - common) * threshold - 1e-9).select("late").distinct()
 
     judged = entries.join(near.select(F.col("late").alias("first"), F.lit(True).alias("near")), "first", "left").select("set", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
     marked = lines.join(judged, ["set", "n"], "left").select(*_KEY, "line", (F.col("first").isNotNull() & (F.col("near") | (F.col("first") != F.struct(*_KEY, "line")))).alias("gone"))
-    return marked.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    return marked.groupBy(*_KEY).agg((F.max("line") + 1).cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import give_back, shared_dir, small_batches
 
 #: Text up to a change from other characters to white space. In this vocabulary's
 #: pre-tokenizer no piece goes on from a character into the white space after it
@@ -49,9 +49,9 @@ UNEVEN = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a
 #: Parts that the pre-tokenizer cuts as these groups are: letters, then marks.
 PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,;:!?]*)")
 #: Parts whose ids a worker keeps, in each of two generations.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 300_000
 #: Bytes of text whose parts are looked up together.
-GATHERED = 8 << 20
+GATHERED = 4 << 20
 
 SHARD = "shard int, ids_file string, idx_file string, n_docs long, n_tokens long"
 
@@ -211,6 +211,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
             with fs.open_output_stream(f"{root}/idx-{name}") as f:
                 f.write(np.concatenate(ids).tobytes())
                 f.write(np.concatenate(ends).astype("<i8").tobytes())
+            give_back()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "ids_file": [f"ids-{name}"], "idx_file": [f"idx-{name}"], "n_docs": [sum(map(len, ids))], "n_tokens": [total]})
 
     ranged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
