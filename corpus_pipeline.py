@@ -22,11 +22,8 @@ from tessella.llm.token_output import token_output
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence."""
-    columns = docs.columns
-    found = identify(docs, crc_fold(F.col("doc_id"), 5) != 0, keep=tuple(columns))
-    kept = found.filter(~F.col("rejected"))
-    # the kept columns stand last; names may repeat, so they are taken by place
-    return kept.toDF(*[f"c{i}" for i in range(4)], *[f"k{i}" for i in range(len(columns))]).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])
+    found = identify(docs, crc_fold(F.col("doc_id"), 5) != 0, keep=tuple(docs.columns))
+    return found.filter(~F.col("rejected")).select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
