@@ -78,7 +78,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     # an entry's prefix is that of its first line; that row is found by all its columns, so copies do not meet
     at = [F.col(f"first.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*_KEY, "line")]
     own_prefix = lines.filter("n > 3").alias("l").join(entries.alias("e"), (F.col("l.set") == F.col("e.set")) & (F.col("l.n") == F.col("e.n")) & at[0] & at[1] & at[2])
-    words = own_prefix.select("e.set", "e.n", F.posexplode("prefix").alias("at", "word")).distinct()
+    words = own_prefix.select("e.set", "e.n", F.posexplode("prefix").alias("at", "word"))
 
     a, b = words.alias("a"), words.alias("b")
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
