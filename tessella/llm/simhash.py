@@ -15,9 +15,10 @@ well, so nothing is lost.
 Inside buckets the comparison is bit-sliced. The fingerprints, bucket after
 bucket, are stored as 64 bit planes, each packed along the fingerprints, and
 compared with themselves shifted by 1, 2, 3 and so on places as long as a
-bucket has that many members. For each shift the XOR of a plane goes into carry-save counters
-(ones, twos and so on, saturated above), one instruction for 64 distances. After
-every few planes, words of 64 pairs that all exceed the radius are abandoned.
+bucket has that many members. For each shift the XOR of a plane goes into
+carry-save counters (ones, twos and so on, saturated above), one instruction for
+64 distances. After every few planes, words of 64 pairs that all exceed the
+radius are abandoned.
 
 A bucket gives the edges of a spanning forest, not its pairs. Components come
 from label propagation with pointer jumping over tables in the shared folder;
@@ -238,7 +239,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         last = depth == CUTS or not large.take(1)
         small = sizes if last else sizes.filter(F.col("members") <= LARGE_BUCKET)
         ready = keyed.join(small.select("mask", "key"), ["mask", "key"]).select("mask", "key", "fp")
-        found.append(ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_compare(radius), "a long, b long"))
+        found.append(ready.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_compare(radius), "a long, b long"))
         if last:
             break
         # the open bits of a large bucket are those that its mask leaves
@@ -261,6 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
     very many neighbours are left to adaptive skew splitting.
     """
     spark = edges.sparkSession
+    edges = cut(edges)  # both directions must be of the same edges, also if a plan gives others when it runs again
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     path = shared_dir(spark)
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), path)
