@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import pearson
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     """All bins that an interval touches; none if it is empty."""
@@ -69,8 +71,7 @@ def lag_join(series: DataFrame, keys: Sequence[str], time: str, x: str, y: str,
 def lag_correlation(series: DataFrame, keys: Sequence[str], time: str, x: str, y: str, lags: Sequence[int], by_key: bool = False) -> DataFrame:
     """Pearson correlation and number of pairs for each lag; null if a side is constant."""
     pairs = lag_join(series, keys, time, x, y, lags)
-    agg = pairs.groupBy(*(keys if by_key else []), "lag").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
-    return agg.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    return pairs.groupBy(*(keys if by_key else []), "lag").agg(pearson("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

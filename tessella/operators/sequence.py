@@ -135,7 +135,7 @@ def tss(start: Column, end: Column, strand: Column) -> Column:
 def promoter_bins(df: DataFrame, at: str, width: int, radius: int) -> DataFrame:
     """The bins within ``radius`` bins of a position."""
     middle = F.floor(F.col(at) / width)
-    return df.withColumn("bin", F.explode(F.sequence(middle - radius, middle + radius)) * width)
+    return df.withColumn("bin", F.explode(F.sequence(middle - radius, middle + radius))).withColumn("bin", F.col("bin") * width)
 
 
 def chunked(df: DataFrame, key: str, seq: str, width: int, overlap: int) -> DataFrame:
@@ -162,7 +162,7 @@ def match_rate(df: DataFrame, by: str, got: str, want: str) -> DataFrame:
 def binned_depth(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int) -> DataFrame:
     """Bases covered in each bin."""
     bins = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
-    cut = df.filter(F.col(end) > F.col(start)).withColumn("bin", F.explode(bins) * width)
+    cut = df.filter(F.col(end) > F.col(start)).withColumn("bin", F.explode(bins)).withColumn("bin", F.col("bin") * width)
     covered = F.least(F.col(end), F.col("bin") + width) - F.greatest(F.col(start), F.col("bin"))
     return cut.groupBy(*keys, "bin").agg(F.sum(covered).alias("depth"))
 

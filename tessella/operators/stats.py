@@ -51,6 +51,11 @@ def pearson_of_moments() -> Column:
     return F.try_divide(n * sxy - sx * sy, F.sqrt(F.greatest(F.lit(0.0), n * sxx - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * syy - sy * sy)))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation as an aggregate; null, not an error, if a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def counts_with_zeros(df: DataFrame, dimension: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Count for every key of ``dimension``, also those that have no rows."""
     return dimension.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0)))
@@ -69,8 +74,8 @@ def split_difference(df: DataFrame, by: Sequence[str], value: str, flag: str) ->
 def size_factors(counts: DataFrame, gene: str, sample: str, value: str) -> DataFrame:
     """Median-of-ratios size factors: over genes present in all samples, counts over their geometric mean."""
     n = counts.select(sample).distinct().count()
-    mean = counts.filter(F.col(value) > 0).groupBy(gene).agg(F.avg(F.ln(value)).alias("g"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == n)
-    return counts.join(mean, gene).groupBy(sample).agg(F.median(F.col(value) / F.exp("g")).alias("size_factor"))
+    mean = counts.filter(F.col(value) > 0).groupBy(gene).agg(F.avg(F.ln(value)).alias("_log_mean"), F.count(F.lit(1)).alias("_k")).filter(F.col("_k") == n)
+    return counts.join(mean, gene).groupBy(sample).agg(F.median(F.col(value) / F.exp("_log_mean")).alias("size_factor"))
 
 
 def cosine(df: DataFrame, row: str, feature: str, value: str) -> DataFrame:
@@ -85,7 +90,7 @@ def correlations(df: DataFrame, row: str, feature: str, value: str) -> DataFrame
     """Pearson correlation of each pair of rows over the features that both have."""
     a = df.select(F.col(row).alias("a"), feature, F.col(value).alias("x"))
     b = df.select(F.col(row).alias("b"), feature, F.col(value).alias("y"))
-    return a.join(b, feature).filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    return a.join(b, feature).filter("a < b").groupBy("a", "b").agg(pearson("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def log_normalised(df: DataFrame, cell: str, value: str, scale: float = 1e4, name: str = "log_norm") -> DataFrame:
@@ -126,9 +131,9 @@ def effect_size(df: DataFrame, group: str, first: object, second: object, value:
 
 def jackknife(df: DataFrame, unit: str, value: str) -> DataFrame:
     """Mean without each unit, from totals less the unit's own, so nothing is multiplied."""
-    per = df.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
-    total = df.agg(F.sum(value).alias("S"), F.count(value).alias("K"))
-    return per.crossJoin(F.broadcast(total)).select(unit, F.try_divide(F.col("S") - F.col("s"), F.col("K") - F.col("k")).alias("mean_without"))
+    per = df.groupBy(unit).agg(F.sum(value).alias("_own"), F.count(value).alias("_own_n"))
+    total = df.agg(F.sum(value).alias("_all"), F.count(value).alias("_all_n"))
+    return per.crossJoin(F.broadcast(total)).select(unit, F.try_divide(F.col("_all") - F.col("_own"), F.col("_all_n") - F.col("_own_n")).alias("mean_without"))
 
 
 def best_method(df: DataFrame, method: str, got: str, want: str) -> DataFrame:

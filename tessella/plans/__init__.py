@@ -1 +1,4 @@
-"""plans of the library."""
+"""Plans of the library, registered as queries."""
+
+from . import analysis, relational  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401

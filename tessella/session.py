@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,17 @@ def local_session(cores: str = "*", app: str = "tessella", **conf: str) -> Spark
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever their working folder.
+
+    Where executors have other disks, ship the package with ``--py-files``.
+    """
+    root, own = str(Path(__file__).parent.parent), spark.sparkContext.environment
+    paths = own.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        own["PYTHONPATH"] = ":".join(filter(None, [root, *paths]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table of ``sf_dir`` as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
