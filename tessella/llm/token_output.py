@@ -211,6 +211,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
             with fs.open_output_stream(f"{root}/idx-{name}") as f:
                 f.write(np.concatenate(ids).tobytes())
                 f.write(np.concatenate(ends).astype("<i8").tobytes())
+            encoder.older = {}
             give_back()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "ids_file": [f"ids-{name}"], "idx_file": [f"idx-{name}"], "n_docs": [sum(map(len, ids))], "n_tokens": [total]})
 
