@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, evidence
 from ..operators import joins, ordered, scoring, sequence, solvers, stats
+from ..streaming import events as streams
 from .registry import Tables, query
 
 _PRICES = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem"
@@ -275,3 +276,37 @@ def binned_coverage(t: Tables) -> DataFrame:
     """Overlap-weighted depth in bins."""
     v = t.lineitem.select((F.col("l_suppkey") % 10).alias("contig"), F.bround("l_extendedprice").cast("long").alias("s"), (F.bround("l_extendedprice").cast("long") + F.col("l_quantity").cast("long") * 40).alias("e"))
     return sequence.binned_depth(v, ["contig"], "s", "e", 1000)
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_day_windows(t: Tables) -> DataFrame:
+    """Tumbling windows, as the stream has them (an extension)."""
+    w = streams.windowed_counts(t.events, "1 day")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM g GROUP BY user_id, k""")
+def event_sessions(t: Tables) -> DataFrame:
+    """Sessions that end after two hours without events (an extension)."""
+    return streams.user_sessions(t.events, "2 hours").select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query("""
+WITH v AS (SELECT doc_id, regexp_matches(lower(text), '\\b(causes?|caused|causal|drives?|driven by|leads? to|results? in|proves?)\\b') AS causal, len(regexp_extract_all(text, '[0-9]+')) AS numbers FROM documents)
+SELECT doc_id, causal, CAST(numbers AS INTEGER) AS numbers, CASE WHEN causal THEN 'claim' WHEN numbers > 0 THEN 'figures' ELSE 'plain' END AS kind FROM v""")
+def doc_claims(t: Tables) -> DataFrame:
+    """Causal wording and figures, as a cascade."""
+    causal = F.lower("text").rlike(r"\b(causes?|caused|causal|drives?|driven by|leads? to|results? in|proves?)\b")
+    d = t.documents.select("doc_id", causal.alias("causal"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("numbers"))
+    return d.withColumn("kind", F.when(F.col("causal"), "claim").when(F.col("numbers") > 0, "figures").otherwise("plain"))
+
+
+@query("SELECT n_nationkey AS nation, s_suppkey, c_custkey, round(abs(s_acctbal - c_acctbal), 2) AS apart FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey WHERE abs(s_acctbal - c_acctbal) < 5")
+def near_balances(t: Tables) -> DataFrame:
+    """Pairs within a group that lie within a window."""
+    a = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.col("s_acctbal").alias("x"))
+    b = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", F.col("c_acctbal").alias("y"))
+    return a.join(b, "nation").filter(F.abs(F.col("x") - F.col("y")) < 5).select("nation", "s_suppkey", "c_custkey", F.round(F.abs(F.col("x") - F.col("y")), 2).alias("apart"))
