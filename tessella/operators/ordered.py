@@ -100,7 +100,8 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str], order: Sequence
     """Adjusted p-values: the least of p n / rank from this rank on, one at most."""
     up = Window.partitionBy(*by).orderBy(p, *order)
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    down = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the largest p down, so that the minimum runs: a frame to the end would start anew for each row
+    down = Window.partitionBy(*by).orderBy(F.desc(p), *map(F.desc, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("_raw", F.col(p) * n / F.row_number().over(up)).withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_raw")
 
 
