@@ -5,16 +5,21 @@ order of document id, text hash and place, has a Jaccard similarity of at least
 ``threshold`` with it; lines without words stay.
 
 Lines of equal sets are one entry, so that a line that fills a third of the
-corpus is compared once. Each entry's words are ordered by rarity. Two sets
-that are similar enough must share a word in their first few (the prefix), so
-entries join on prefix words; lengths that cannot match and places from which
-too little can follow are filtered in the join. Then the words of candidates
+corpus is compared once. Each entry's words are ordered by rarity. Of two sets
+that are similar enough, the smaller has a common word in its first few (the
+index prefix) that is among the first of the larger, too (the longer prefix), so
+entries join on these words and on a class of lengths. Lengths that cannot match, places from which too
+little can follow, and sets whose parity bitmaps differ in more bits than the
+sets may differ in words are filtered in the join. Then the words of candidates
 are read again from their documents and the Jaccard similarity is verified.
 
 Rarity orders words by a sketch of counts over all documents, 2^14 hashed
-counters, and breaks ties by the word's hash. The sketch has a fixed size and goes
-with the plan; as it only chooses an order, and the same for all lines, the
-join is exact for any counts. Words are compared by 52-bit hashes.
+counters, and breaks ties by the word's hash. The candidates' places are in a
+filter of 2^20 hashed bits, so that few other lines are shuffled when words are
+read again. Both have a fixed size and go with the plan; as they only choose an
+order, the same for all lines, and drop what the join would drop, results are
+exact for any counts. Words are compared by 52-bit hashes; the join on prefix
+words takes 32 bits of these, which can only add candidates.
 
 Cases: null and empty texts have one empty line, which stays; rows that agree
 in id and text get one decision; null ids come first; very long lines are
@@ -24,7 +29,7 @@ entries like others; an empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import json
-from math import log2
+from math import log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,33 +38,88 @@ from .common import cut
 
 SKETCH = 1 << 14
 THRESHOLD = 0.8
-_WORDS = r"[\x20\x09-\x0D]+"
+#: Sets of more words have a bitmap of half their words, too, as 64 bits tell long lines apart less well:
+#: with it the bitmap of all words falls into two, and the differences of both halves add up.
+WIDE = 50
 _KEY = ["doc_id", "h"]
 
 
-def _bucket(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(SKETCH)).cast("int")
+def _bucket(hashed: Column, size: int = SKETCH) -> Column:
+    """``size`` is a power of two."""
+    return hashed.bitwiseAND(F.lit(size - 1)).cast("int")
+
+
+def _long_array(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _split(text: Column) -> Column:
+    """Words, perhaps with empty strings between them; splitting at one plain character is Java's fast path."""
+    return F.when(text.rlike(r"[\x09-\x0D]"), F.split(text, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(text, " ", -1))
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """An array literal: for each counter the rank, from 0 to 2047, of its count; a step is a sixteenth of a doubling."""
-    words = docs.select(F.explode(F.split("text", _WORDS)).alias("word"))
+    """An array literal: for each counter the rank, from 0 to 2047, of its count, in the top bits; a step is a sixteenth of a doubling."""
+    words = docs.select(F.explode(_split(F.col("text"))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("b")).count().collect()  # SKETCH rows at most
     ranks = [0] * SKETCH
     for b, n in counts:
-        ranks[b] = int(16 * log2(n))
-    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+        ranks[b] = int(16 * log2(n)) << 52
+    return _long_array(ranks)
 
 
 def _tokens(line: Column, rarity: Column) -> Column:
     """A line's different words as numbers, rarest first: rank in the top bits, word hash below."""
-    word = lambda w: F.shiftleft(F.get(rarity, _bucket(F.xxhash64(w))).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 12))
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(line, _WORDS), lambda w: w != ""), word)))
-
-
-def _least(n: Column, threshold: float) -> Column:
-    """The smallest whole number that is not below ``threshold * n``, sparing rounding errors."""
-    return F.ceil(n * threshold - 1e-9).cast("int")
+    hashes = F.array_distinct(F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    return F.sort_array(F.transform(hashes, lambda x: F.get(rarity, _bucket(x)).bitwiseOR(F.shiftrightunsigned(x, 12))))
+
+
+def _parity(tokens: str | Column) -> Column:
+    """64 bits: whether an odd number of the words falls on each."""
+    at = lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at(x))))
+
+
+def _least(n: Column, share: float) -> Column:
+    """The smallest whole number that is not below ``share * n``, sparing rounding errors."""
+    return F.ceil(n * share - 1e-9).cast("int")
+
+
+def _among(place: list[str], rows: DataFrame) -> Column:
+    """A condition that holds for all places in ``rows`` and for few others."""
+    bit = _bucket(F.xxhash64(*place), SKETCH * 64)
+    masks = rows.groupBy(F.shiftright(bit, 6).alias("b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)))).alias("bits")).collect()  # SKETCH rows at most
+    found = [0] * SKETCH
+    for b, bits in masks:
+        found[b] = bits
+    return F.getbit(F.get(_long_array(found), F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1
+
+
+def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``early, late`` of the first places of sets that may be similar; ``entries`` has ``id, n, first, parity, half, prefix``."""
+    share = threshold / (1 + threshold)
+    class_of = lambda n: F.floor(F.ln(n) / (2 * -log(threshold) or 1)).cast("int")  # noqa: E731  # of length
+    keyed = lambda size: F.shiftleft(F.col("word").cast("long"), 20).bitwiseOR(size)
+    most = F.floor(F.col("n") / threshold + 1e-9)
+    places = entries.select("id", "n", "parity", "half", F.posexplode("prefix").alias("at", "word"))
+    words = places.withColumn("word", keyed(class_of(F.col("n"))))
+    # the larger set's length is of the same class or of the next one
+    index = places.filter(F.col("at") <= F.col("n") - _least(F.col("n"), 2 * share))
+    index = index.withColumn("size", F.explode(F.sequence(class_of(F.col("n")), class_of(most)))).withColumn("word", keyed(F.col("size"))).drop("size")
+    a_n, b_n = F.col("a.n"), F.col("b.n")
+    needed = _least(a_n + b_n, share)
+    possible = F.least(a_n - F.col("a.at"), b_n - F.col("b.at"))
+    bits, half = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("parity", "half")]
+    unlike = F.coalesce(F.bit_count(half) + F.bit_count(bits.bitwiseXOR(half)), F.bit_count(bits))
+    joined = index.alias("a").join(
+        words.alias("b"),
+        (F.col("a.word") == F.col("b.word")) & (a_n <= b_n) & (a_n >= b_n * threshold - 1e-9)
+        & ((a_n < b_n) | (F.col("a.id") < F.col("b.id"))) & (possible >= needed) & (a_n + b_n - unlike >= 2 * needed),
+    )
+    pairs = joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    for side in "xy":
+        pairs = pairs.join(entries.select(F.col("id").alias(side), F.col("first").alias(f"{side}_first")), side)
+    return pairs.select(F.least("x_first", "y_first").alias("early"), F.greatest("x_first", "y_first").alias("late"))
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,36 +127,23 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rarity = _rarity(own)
     split = own.select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    n, prefix = F.size("t"), F.size("t") - _least(F.size("t"), threshold) + 1
-    # a set of up to three words is similar to none but itself and needs no prefix
+    n = F.size("t")
+    # a set of fewer words is similar to none but itself and needs no prefix
+    paired = n >= (threshold / (1 - threshold) - 1e-9 if threshold < 1 else float("inf"))
+    rarest = F.transform(F.slice("t", 1, n - _least(n, threshold) + 1), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
+    prefix = F.when(paired, rarest).otherwise(F.array().cast("array<int>"))
     lines = cut(
         split.select(*_KEY, "line", F.transform(F.array(_tokens(F.col("words"), rarity)), lambda t: t)[0].alias("t"))
-        .select(*_KEY, "line", n.alias("n"), F.xxhash64("t").alias("set"), F.when(n > 3, F.slice("t", 1, prefix)).otherwise(F.array().cast("array<bigint>")).alias("prefix"))
-    )
-    place = F.struct(*_KEY, "line").alias("first")
-    entries = cut(lines.filter("n > 0").groupBy("set", "n").agg(F.min(place).alias("first")))
-    # an entry's prefix is that of its first line; that row is found by all its columns, so copies do not meet
-    at = [F.col(f"first.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*_KEY, "line")]
-    own_prefix = lines.filter("n > 3").alias("l").join(entries.alias("e"), (F.col("l.set") == F.col("e.set")) & (F.col("l.n") == F.col("e.n")) & at[0] & at[1] & at[2])
-    words = own_prefix.select("e.set", "e.n", F.posexplode("prefix").alias("at", "word"))
-
-    a, b = words.alias("a"), words.alias("b")
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
-    possible = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    pairs = a.join(
-        b,
-        (F.col("a.word") == F.col("b.word")) & (F.col("a.set") < F.col("b.set"))
-        & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9) & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (possible >= needed),
+        .select(*_KEY, "line", n.alias("n"), F.xxhash64("t").alias("set"), _parity("t").alias("parity"), F.when(n > WIDE, _parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) > 0))).alias("half"), prefix.alias("prefix"))
     )
-    pairs = pairs.select(F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct()
-    first_of = entries.filter("n > 3").select("set", "first")
-    placed = pairs.join(first_of.select(F.col("set").alias("x"), F.col("first").alias("p")), "x").join(first_of.select(F.col("set").alias("y"), F.col("first").alias("q")), "y")
-    pairs = cut(placed.select(F.least("p", "q").alias("early"), F.greatest("p", "q").alias("late")))
-
-    wanted = pairs.select("early").union(pairs.select("late")).distinct().select("early.*").groupBy(*_KEY).agg(F.collect_set("line").alias("wanted"))
-    again = own.alias("o").join(wanted.alias("w"), F.col("o.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("o.h") == F.col("w.h")))
-    text_of = again.select("o.doc_id", "o.h", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("all"))
-    sets = cut(text_of.select(F.struct(*_KEY, "line").alias("first"), _tokens(F.get("all", F.col("line")), rarity).alias("t")).distinct())
+    place = [*_KEY, "line"]
+    entries = lines.filter("n > 0").groupBy("set", "n").agg(F.min(F.struct(*place)).alias("first"), *[F.first(c).alias(c) for c in ("parity", "half", "prefix")])
+    entries = cut(entries.withColumn("id", F.monotonically_increasing_id()))
+    pairs = cut(_candidates(entries.filter(F.size("prefix") > 0), threshold))
+
+    wanted = pairs.select("early.*").union(pairs.select("late.*")).distinct()
+    again = split.filter(_among(place, wanted)).select(F.struct(*place).alias("first"), "words").join(wanted.select(F.struct(*place).alias("first")), "first", "left_semi")
+    sets = cut(again.select("first", _tokens(F.col("words"), rarity).alias("t")).dropDuplicates(["first"]))
     both = pairs.join(sets.select(F.col("first").alias("early"), F.col("t").alias("x")), "early").join(sets.select(F.col("first").alias("late"), F.col("t").alias("y")), "late")
     common = F.size(F.array_intersect("x", "y"))
     near = both.filter(common >= (F.size("x") + F.size("y") - common) * threshold - 1e-9).select("late").distinct()

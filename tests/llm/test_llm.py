@@ -250,22 +250,26 @@ def test_simhash_links_of_chains_and_balls(spark, monkeypatch, large):
 # --------------------------------------------------------------- line dedup
 
 
-def test_line_dedup_brute_force(spark):
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
+def test_line_dedup_brute_force(spark, threshold):
     from tessella.llm.line_dedup import dedup_lines
 
     rng = np.random.default_rng(5)
     pool = [" ".join(rng.choice([f"w{i}" for i in range(30)], int(rng.integers(0, 14)))) for _ in range(40)]
     texts = ["\n".join(rng.choice(pool, 6)) for _ in range(40)] + [None, "", "\n\n"]
     texts[3] = texts[2].replace("w1 ", "v1 ")
+    long = [f"u{i}" for i in range(90)]
+    for k in range(1, 24, 2):  # long lines that differ in more and more words, with white space of all kinds
+        texts.append("\t " + " \x0b".join(f"x{k}_{w}" if i < k else w for i, w in enumerate(long)) + " \r")
     seen, gone = [], defaultdict(list)
     for d, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
             s = {w for w in re.split(r"[\x20\x09-\x0D]+", line) if w}
-            if s and any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in seen):
+            if s and any(len(s & o) >= threshold * len(s | o) - 1e-9 for o in seen):
                 gone[d].append(k)
             if s:
                 seen.append(s)
-    got = {r.doc_id: r for r in dedup_lines(docs_of(spark, texts, line=1, h="x", first=2)).collect()}
+    got = {r.doc_id: r for r in dedup_lines(docs_of(spark, texts, line=1, h="x", first=2), threshold).collect()}
     for d, t in enumerate(texts):
         lines = (t or "").split("\n")
         assert (got[d].n_lines, got[d].removed) == (len(lines), gone[d]), d
