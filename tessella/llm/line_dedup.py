@@ -96,7 +96,7 @@ def _among(place: list[str], rows: DataFrame) -> Column:
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``early, late`` of the first places of sets that may be similar; ``entries`` has ``id, n, first, parity, half, prefix``."""
+    """Pairs ``x, y`` of the ids of sets that may be similar; ``entries`` has ``id, n, parity, half, prefix``."""
     share = threshold / (1 + threshold)
     class_of = lambda n: F.floor(F.ln(n) / (2 * -log(threshold) or 1)).cast("int")  # noqa: E731  # of length
     keyed = lambda size: F.shiftleft(F.col("word").cast("long"), 20).bitwiseOR(size)
@@ -116,10 +116,7 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
         (F.col("a.word") == F.col("b.word")) & (a_n <= b_n) & (a_n >= b_n * threshold - 1e-9)
         & ((a_n < b_n) | (F.col("a.id") < F.col("b.id"))) & (possible >= needed) & (a_n + b_n - unlike >= 2 * needed),
     )
-    pairs = joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    for side in "xy":
-        pairs = pairs.join(entries.select(F.col("id").alias(side), F.col("first").alias(f"{side}_first")), side)
-    return pairs.select(F.least("x_first", "y_first").alias("early"), F.greatest("x_first", "y_first").alias("late"))
+    return joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,14 +138,17 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     entries = cut(entries.withColumn("id", F.monotonically_increasing_id()))
     pairs = cut(_candidates(entries.filter(F.size("prefix") > 0), threshold))
 
-    wanted = pairs.select("early.*").union(pairs.select("late.*")).distinct()
-    again = split.filter(_among(place, wanted)).select(F.struct(*place).alias("first"), "words").join(wanted.select(F.struct(*place).alias("first")), "first", "left_semi")
-    sets = cut(again.select("first", _tokens(F.col("words"), rarity).alias("t")).dropDuplicates(["first"]))
-    both = pairs.join(sets.select(F.col("first").alias("early"), F.col("t").alias("x")), "early").join(sets.select(F.col("first").alias("late"), F.col("t").alias("y")), "late")
-    common = F.size(F.array_intersect("x", "y"))
-    near = both.filter(common >= (F.size("x") + F.size("y") - common) * threshold - 1e-9).select("late").distinct()
-
-    judged = entries.join(near.select(F.col("late").alias("first"), F.lit(True).alias("near")), "first", "left").select("set", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    wanted = cut(entries.join(ids, "id").select("id", "first"))
+    again = split.filter(_among(place, wanted.select("first.*"))).select(F.struct(*place).alias("first"), "words").join(wanted, "first")
+    sets = cut(again.select("id", "first", _tokens(F.col("words"), rarity).alias("t")).dropDuplicates(["id"]))
+    x, y = (sets.select(F.col("id").alias(c), F.struct("first", "id").alias(f"{c}_place"), F.col("t").alias(f"{c}_t")) for c in "xy")
+    both = pairs.join(x, "x").join(y, "y")
+    common = F.size(F.array_intersect("x_t", "y_t"))
+    similar = both.filter(common >= (F.size("x_t") + F.size("y_t") - common) * threshold - 1e-9)
+    near = similar.select(F.greatest("x_place", "y_place")["id"].alias("id"), F.lit(True).alias("near")).distinct()
+
+    judged = entries.join(near, "id", "left").select("set", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
     marked = lines.join(judged, ["set", "n"], "left").select(*_KEY, "line", (F.col("first").isNotNull() & (F.col("near") | (F.col("first") != F.struct(*_KEY, "line")))).alias("gone"))
     return marked.groupBy(*_KEY).agg((F.max("line") + 1).cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
 
