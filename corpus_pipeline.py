@@ -16,7 +16,7 @@ from tessella.llm.common import cut
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.language_id import crc_fold, identify
 from tessella.llm.mixing import mixed
-from tessella.llm.simhash import simhash_groups
+from tessella.llm.near_dedup import without_near_copies
 from tessella.llm.token_output import token_output
 
 
@@ -27,9 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    kept = simhash_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of documents linked at 0.8 of their five-word shingles, the row with the smallest id."""
+    return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

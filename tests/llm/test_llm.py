@@ -406,3 +406,42 @@ def test_pipeline_stages(spark):
     assert len(set(slow_components(fp))) == len(fp)  # nothing that is left is linked
     last = p.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count()
+
+
+def word_runs(text):
+    w = re.split(r"[ \t\n\r\x0b\x0c]+", "".join(c.lower() if c.isascii() else c for c in text or "").strip(" \t\n\r\x0b\x0c"))
+    w = [x for x in w if x]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def planted_copies(seed, n=60):
+    """Texts, each with copies of which a few words are changed, and copies of copies."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for k in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(8, 300)))]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words = list(words)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 2 + len(words) // 60))):
+                words[at] = f"new{rng.integers(0, 10**9)}"
+    return texts
+
+
+def test_near_dedup_brute_force(spark):
+    import corpus_pipeline as p
+
+    texts = [*planted_copies(3), None, "", "  ", "one two", "One  TWO", "one three"]
+    runs = [word_runs(t) for t in texts]
+    linked = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and linked(runs[i], runs[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    docs = docs_of(spark, texts)
+    got = p.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(label))
+    assert p.near_dedup(spark, empty(spark), "").count() == 0
