@@ -27,15 +27,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at 0.8 of their five-word shingles, the row with the smallest id."""
+    """Of each group of documents linked at 0.8 of their five-word shingles, the row with the smallest id.
+
+    Null ids come last, and rows are told apart by id and text, so a null or
+    repeated id loses no text that is no copy.
+    """
     return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.filter("contaminated").select("doc_id")
-    return docs.join(dirty, "doc_id", "left_anti")
+    """Documents in which no window of a benchmark item occurs.
+
+    Rows are told apart by their text alone, as that decides; so null and
+    repeated ids are treated like others.
+    """
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="text_key")
+    dirty = found.filter("contaminated").select(F.col("doc_id").alias("text_key")).distinct()
+    return keyed.join(dirty, "text_key", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

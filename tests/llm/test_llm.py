@@ -445,3 +445,18 @@ def test_near_dedup_brute_force(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(label))
     assert p.near_dedup(spark, empty(spark), "").count() == 0
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (9, c + " more"), (None, d), (8, e), (7, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in p.near_dedup(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (7, c), (7, d), (7, e)], key=str)
+    spark.createDataFrame([("x", " ".join(a.split()[5:25])), ("y", " ".join(d.split()[:12]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = p.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([x for x in rows if x[1] not in (a, d)], key=str)
