@@ -3,8 +3,8 @@
 A text is scanned for three kinds of secret. Then every place in it that is
 encoded, by percent signs, Unicode escapes, base64, or base64 of compressed
 data, is unwrapped into a layer of its own, which is scanned and unwrapped in
-turn until nothing new comes up. A layer whose content was met before is not
-entered again, so cycles end. Each layer knows for each of its characters
+turn until nothing new comes up. A layer whose content was met before at the
+same place is not entered again, so cycles end. Each layer knows for each of its characters
 which characters of the text it came from; a secret's span is mapped back
 through all layers.
 
@@ -81,6 +81,13 @@ class Layer:
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, fresh: np.ndarray | None):
         self.text, self.starts, self.ends, self.fresh = text, starts, ends, fresh
 
+    def key(self) -> bytes:
+        """A digest of its text and place."""
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        digest.update(self.starts.tobytes())
+        digest.update(self.ends.tobytes())
+        return digest.digest()
+
     def spans(self) -> list[Span]:
         """Its secrets, as spans of the document; in a partly decoded layer only those that touch what was decoded."""
         out = []
@@ -189,7 +196,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
     spans, too_large = list(base), 0
     places = np.arange(len(text), dtype=np.int64)
     work = [Layer(text, places, places + 1, None)]
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         new = []
@@ -205,8 +212,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
         for found in new:
             if found is None:
                 continue
-            digest = hashlib.blake2b(found.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            place = digest + (b"" if found.fresh is not None else f"{found.starts[0]}:{found.ends[0]}".encode())
+            place = found.key()
             if place in seen:
                 continue
             seen.add(place)

@@ -347,6 +347,22 @@ def test_secrets_layers():
     assert scan("%25" * 50 + "41")[2] == 0  # ends
 
 
+def test_secrets_nested_twice():
+    import base64
+    import gzip
+    import urllib.parse
+
+    from tessella.llm.secrets import scan
+
+    plain = 'password = "hunter2hunter2"'
+    for escaped in (urllib.parse.quote(plain), "pass\\u0077ord: abcdefgh", "x%20" + base64.b64encode(plain.encode()).decode()):
+        for packed in (escaped.encode(), gzip.compress(escaped.encode(), mtime=0)):
+            token = base64.b64encode(packed).decode()
+            base, spans, _ = scan(f"{token} and {token}")
+            n = len(token)
+            assert base == [] and {("assign", 0, n), ("assign", n + 5, 2 * n + 5)} <= set(spans)
+
+
 def test_secrets_table(spark, docs):
     from tessella.llm.secrets import scan_secrets
 
