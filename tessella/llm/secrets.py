@@ -10,7 +10,10 @@ through all layers.
 
 Percent and Unicode layers are the whole parent with its escapes decoded, so
 secrets that they only partly hide are found as well, and only secrets that
-touch an escape are new. Base64 layers are one token of the parent.
+touch an escape are new. Base64 layers are one token of the parent, in either
+alphabet or both, which may be wrapped over lines. Where a token begins and ends
+among neighbouring words and lines is not certain, so several readings are tried.
+All members of compressed data are read.
 
 Cases: a null text is empty and has no secrets; texts are scanned whole,
 however long; decoded data that is no UTF-8 text and does not decompress is
@@ -48,10 +51,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _DIGIT = re.compile(r"[0-9]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: A run over both alphabets and line breaks, and how parts of it may be read.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+#: How base64 of gzip and zlib data starts.
+_PACKED = re.compile(r"H4sI|e[A-P]")
+_BREAK = re.compile(r"\s+")
 #: Base64 of ASCII text or of compressed data mixes cases; prose within a word does not.
 _MIXED = re.compile(r"[a-z][A-Z0-9+/_-]*[A-Z]|[A-Z0-9+/_-][a-z]+[A-Z0-9]|[0-9+/_=]")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffe\uffff]")
 
 Span = tuple[str, int, int]
 
@@ -151,47 +159,80 @@ def _inflated(raw: bytes) -> tuple[bytes | None, bool]:
     """Decompressed gzip or zlib data, or None; whether it went beyond the bound."""
     if not (raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0)):
         return None, False
-    try:
+    out = []
+    while raw and (raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78"):
+        room = MOST - sum(map(len, out))
         engine = zlib.decompressobj(47)
-        out = engine.decompress(raw, MOST)
-        return out, bool(engine.unconsumed_tail)
-    except zlib.error:
-        return None, False
+        try:
+            out.append(engine.decompress(raw, room + 1))
+        except zlib.error:
+            break
+        if len(out[-1]) > room:
+            return b"".join(out), True
+        raw = engine.unused_data.lstrip(b"\0")
+    return (b"".join(out) if out else None), False
 
 
 def _text_of(raw: bytes) -> str | None:
     try:
-        text = raw.decode()
+        return raw.decode()
     except UnicodeDecodeError:
         return None
-    return None if _CONTROL.search(text) else text
+
+
+def _readings(text: str, first: int, end: int) -> list[tuple[int, int]]:
+    """Parts of a run that may be a token, by start, the longest first: the run, its lines
+    and blocks of lines of one width, what starts like compressed data, and parts in one alphabet."""
+    found = {(first, end)}
+    lines = [m.span() for m in _LINE.finditer(text, first, end)]
+    if len(lines) > 1:
+        found.update((a, end) for a, _ in lines if _PACKED.match(text, a))
+        k = 0
+        while k < len(lines):
+            last = k
+            while last + 1 < len(lines) and lines[last + 1][1] - lines[last + 1][0] == lines[k][1] - lines[k][0]:
+                last += 1
+            tail = min(last + 1, len(lines) - 1)
+            found.update((lines[a][0], lines[b][1]) for a in (max(0, k - 1), k) for b in (last, tail))
+            k = last + 1
+    for a, b in lines:
+        found.add((a, b))
+        for pattern in _PARTS:
+            found.update(m.span() for m in pattern.finditer(text, a, b))
+    return sorted((x for x in found if x[1] - x[0] >= 16), key=lambda x: (x[0], -x[1]))
 
 
 def _tokens(layer: Layer) -> Iterator[tuple[str, int, int, bool]]:
     """Texts that base64 tokens of a layer hold, with the token's place; whether it was cut at the bound."""
     for m in _BASE64.finditer(layer.text):
-        token = m.group()
-        if not _MIXED.search(token):
+        if m.end() - m.start() < 16:
             continue
-        bare = token.rstrip("=")
-        if len(bare) % 4 == 1:
-            bare = bare[:-1]
-        try:
-            raw = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
-        except binascii.Error:
-            continue
-        over = False
-        data, over = _inflated(raw)
-        text = _text_of(raw if data is None else data) if not over else None
-        if over or (text and len(text) >= 6):
-            yield text or "", m.start(), m.end(), over
+        read = -1
+        for a, b in _readings(layer.text, *m.span()):
+            if a == read:
+                continue  # the start of what was read whole
+            token = _BREAK.sub("", layer.text[a:b])
+            if not _MIXED.search(token):
+                continue
+            bare = token.rstrip("=")
+            if len(bare) % 4 == 1:
+                bare = bare[:-1]
+            try:
+                raw = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+            except binascii.Error:
+                continue
+            data, over = _inflated(raw)
+            text = _text_of(raw if data is None else data) if not over else None
+            if over or (text and len(text) >= 6):
+                read = a
+                yield text or "", a, b, over
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans, and how many layers were too large to scan."""
     text = text or ""
     base = base_spans(text)
-    if not _DIGIT.search(text) and "+" not in text and "/" not in text and "=" not in text and not re.search(r"[a-z][A-Z]", text):
+    if not _DIGIT.search(text) and "+" not in text and "/" not in text and "=" not in text and not re.search(r"[a-z][A-Z]|[_-]", text):
         return base, base, 0  # nothing in it can be encoded
     spans, too_large = list(base), 0
     places = np.arange(len(text), dtype=np.int64)

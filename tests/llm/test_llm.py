@@ -363,6 +363,35 @@ def test_secrets_nested_twice():
             assert base == [] and {("assign", 0, n), ("assign", n + 5, 2 * n + 5)} <= set(spans)
 
 
+def test_secrets_wrapped_and_url_safe():
+    import base64
+    import gzip
+    import textwrap
+
+    from tessella.llm.secrets import scan
+
+    rng = np.random.default_rng(4)
+    plain = 'password = "hunter2hunter2"'
+    noise = "".join(chr(x) for x in rng.integers(40, 90, 300))
+
+    def holds(text, token):
+        at = text.index(token)
+        return ("assign", at, at + len(token)) in scan(text)[1]
+
+    for k in range(20):
+        packed = zlib.compress(f"{noise[k:]} {plain}".encode())
+        token = base64.urlsafe_b64encode(packed).decode().rstrip("=")
+        assert holds(f"see {token} end", token)  # (a)
+        for width, eol in ((64, "\n"), (76, "\r\n"), (60, "\n    ")):
+            wrapped = eol.join(textwrap.wrap(base64.b64encode(packed).decode(), width))
+            assert holds(f"see: {wrapped}.", wrapped)  # (b)
+            assert holds(f"the mail below{eol}{wrapped}\n\nend.", wrapped)
+    two = base64.b64encode(gzip.compress(b"first member ") + gzip.compress(plain.encode())).decode()
+    assert holds(f"see {two} end", two)  # (c)
+    log = base64.b64encode(f"\x1b[31mred\x1b[0m {plain}".encode()).decode()
+    assert holds(f"see {log} end", log)  # (d)
+
+
 def test_secrets_table(spark, docs):
     from tessella.llm.secrets import scan_secrets
 
