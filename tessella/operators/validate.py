@@ -42,9 +42,11 @@ def bijection(df: DataFrame, a: str, b: str, n: int) -> DataFrame:
 
 
 def leaks(ids: DataFrame, labels: DataFrame, item: str, label: str, least: int = 3) -> DataFrame:
-    """Ids that contain a label of at least ``least`` characters, whatever their case and marks. Labels are a short list."""
+    """Ids that contain a label of at least ``least`` characters, whatever their case and marks. More than 10,000 distinct labels are an error."""
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    words = [r[0] for r in labels.select(bare(label)).distinct().filter(F.length(bare(label)) >= least).limit(10_000).collect()]
+    words = [r[0] for r in labels.select(bare(label)).distinct().filter(F.length(bare(label)) >= least).limit(10_001).collect()]
+    if len(words) > 10_000:
+        raise ValueError("more than 10,000 distinct labels")
     hit = F.filter(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"), lambda w: F.contains(bare(item), w))
     return ids.withColumn("leaked", hit).filter(F.size("leaked") > 0)
 

@@ -252,3 +252,14 @@ def test_logistic_and_tails(spark):
     assert math.isclose(solvers.hypergeometric_tail(2, 3, 4, 10), 1 / 3)
     assert math.isclose(solvers.binomial_tail(8, 10, 0.5), 56 / 1024)
     assert math.isclose(solvers.students_t_p(0.5, 20), 0.02477, abs_tol=2e-4)
+
+
+def test_leaks_refuses_too_many_labels(spark):
+    import pytest
+
+    from tessella.operators.validate import leaks
+
+    ids = spark.createDataFrame([("x-label10005-y",)], "item string")
+    labels = spark.range(10_006).selectExpr("concat('label', id) AS label")
+    with pytest.raises(ValueError, match="10,000"):
+        leaks(ids, labels, "item", "label")
