@@ -210,7 +210,7 @@ def _scan(docs: DataFrame, index: _Index) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            hits, items, n_words = batch.column(3).to_pylist(), batch.column(4).to_pylist(), np.zeros(len(batch), np.int64)
+            hits, items, n_words = batch.column(3).to_pylist(), [set(x) for x in batch.column(4).to_pylist()], np.zeros(len(batch), np.int64)
             for a, b, w in _pieces(batch.column(1)):
                 n_words[a:b] = np.diff(w.first)
                 for size, (keys, at, owner, place) in index.prefix.items():
@@ -224,11 +224,11 @@ def _scan(docs: DataFrame, index: _Index) -> DataFrame:
                         if w.joined(s, index.sizes[x]) == index.texts[x]:
                             row = a + d
                             own = s - w.first[d]
-                            hits[row] = hits[row] + [(int(own), int(own + index.sizes[x]))]
-                            items[row] = items[row] + index.items[x]
+                            hits[row].append((int(own), int(own + index.sizes[x])))
+                            items[row].update(index.items[x])
             flat_hits = [_union(h) for h in hits]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words), pa.array(flat_hits, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
+                [batch.column(0), batch.column(1), pa.array(n_words), pa.array(flat_hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                 names=["doc_id", "text", "n_words", "hit", "items"],
             )
 

@@ -6,7 +6,8 @@ text is the mean of its rows, and a linear softmax over languages reads it. Tabl
 and softmax are trained together by stochastic gradient descent in numpy (with
 steps that shrink by past gradients) on a bounded sample: about ``per_lang``
 labelled texts of each language, chosen by a hash of their ids. Texts of more
-than ``LONGEST`` characters are not sampled.
+than ``LONGEST`` characters are not sampled, and the sample has ``SAMPLE_CHARS``
+characters at most.
 
 Confidence is calibrated on a held-back tenth of the sample: a temperature is
 chosen by likelihood, and a text is rejected if its confidence is below what
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, small_batches
@@ -40,6 +41,8 @@ BUCKETS = 1 << 15
 WIDTH = 16
 #: Bound of the sample: texts of a language, and characters of a text.
 PER_LANG, LONGEST = 800, 200_000
+#: Characters of the whole sample, shared evenly by the languages.
+SAMPLE_CHARS = 64_000_000
 #: Code points that are scored together; bounds a worker's arrays.
 PIECE = 1 << 19
 
@@ -205,8 +208,12 @@ def sample(docs: DataFrame, learn: Column, per_lang: int, id_col: str, text_col:
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
     draw = F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.filter((draw < F.element_at(share, F.col(lang_col).cast("string"))) & (F.length(text_col) <= LONGEST))
-    found = chosen.select(F.col(text_col), F.col(lang_col).cast("string")).orderBy(F.xxhash64(id_col), text_col).limit(per_lang * len(counts) * 2).collect()
-    return [r[0] for r in found], [r[1] for r in found]
+    chosen = chosen.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("drawn"))
+    chosen = chosen.orderBy("drawn", "text").limit(per_lang * len(counts) * 2)
+    # of the drawn texts, a few hundred of each language, those that the driver can hold
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("drawn", "text"))
+    found = chosen.withColumn("before", before).filter(F.col("before") <= SAMPLE_CHARS // len(counts)).orderBy("drawn", "text").collect()
+    return [r.text for r in found], [r.lang for r in found]
 
 
 def identify(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -55,6 +55,14 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that over half of some 64-bit numbers have."""
+    counts = np.zeros(BITS, np.int64)
+    for a in range(0, len(hashes), 1 << 15):  # the bits of so many at once
+        counts += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The SimHash of one text, unsigned."""
     from xxhash import xxh64_intdigest
@@ -68,10 +76,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for a in range(0, n, 1 << 15):  # the bits of so many shingles at once
-        counts += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,9 +267,10 @@ def components(edges: DataFrame) -> DataFrame:
     very many neighbours are left to adaptive skew splitting.
     """
     spark = edges.sparkSession
-    edges = cut(edges)  # both directions must be of the same edges, also if a plan gives others when it runs again
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    path = shared_dir(spark)
+    edges_path, both_path, path = (shared_dir(spark) for _ in range(3))
+    edges = cut(edges, edges_path)  # both directions must be of the same edges, also if a plan gives others when it runs again
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), both_path)
+    remove(spark, edges_path)
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), path)
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -275,6 +281,7 @@ def components(edges: DataFrame) -> DataFrame:
         remove(spark, path)
         labels, path = new.select("node", "label"), new_path
         if not new.filter("fell").take(1):
+            remove(spark, both_path)
             return labels
 
 

@@ -8,8 +8,9 @@ its bucket counts scaled by these ratios, for the ``FEATURES`` buckets whose
 ratios are most significant. A logistic classifier over them, with L2 penalty,
 is fitted in numpy and gives the probability.
 
-The fit takes at most ``MAX_LABELLED`` labelled texts, chosen by a hash of
-their ids; the bound is on what the driver holds. Counting and featurising run
+The fit takes at most ``MAX_LABELLED`` labelled texts, in the order of a hash of
+their ids, and of these the first that have ``MAX_ENTRIES`` features together at
+most; the bounds are on what the driver holds. Counting and featurising run
 on the executors, and every whole text is scored, many at a time, in numpy.
 Only the bounded list of chosen labels is broadcast to find their texts.
 
@@ -37,6 +38,8 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 20
 FEATURES = 8192
 MAX_LABELLED = 12_000
+#: Features of all texts that are learned from; so many numbers and places are on the driver.
+MAX_ENTRIES = 16_000_000
 #: Code points that are hashed together; bounds a worker's arrays.
 PIECE = 1 << 18
 SMOOTHING = 1.0
@@ -88,7 +91,14 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column, most: int, id_co
     named = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label"))
     chosen = named.filter(learn & F.col("label").isin(0, 1)).distinct().orderBy(F.xxhash64(F.lit("toxicity"), "_id"), "_id", "label").limit(most)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "_id").select("text", "label")  # at most ``most`` pairs of numbers
+    found = cut(rows.join(F.broadcast(chosen), "_id").select(F.xxhash64(F.lit("toxicity"), "_id").alias("drawn"), "text", "label"))  # at most ``most`` pairs of numbers
+    # repeated ids can make more rows than labels
+    entries = F.least(F.lit(FEATURES), F.length("text") * len(GRAMS))
+    sizes = found.select("drawn", entries.alias("n")).groupBy("drawn").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).orderBy("drawn").limit(most).collect()
+    total = np.cumsum([max(r.n or 0, r.rows) for r in sizes])
+    enough = int(np.searchsorted(total, MAX_ENTRIES, "right"))
+    last = sizes[enough - 1].drawn if enough else None
+    return found.filter(F.col("drawn") <= F.lit(last)).select("text", "label") if enough else found.limit(0).select("text", "label")
 
 
 def _ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
