@@ -13,13 +13,19 @@ little can follow, and sets whose parity bitmaps differ in more bits than the
 sets may differ in words are filtered in the join. Then the words of candidates
 are read again from their documents and the Jaccard similarity is verified.
 
+Only whether an entry is near any earlier one matters. So where many entries
+share a rare word, each is first compared with the earliest of them; pairs of
+which both are then known to be near an earlier one are not made, which spares
+a large group of near copies all its pairs.
+
 Rarity orders words by a sketch of counts over all documents, 2^14 hashed
 counters, and breaks ties by the word's hash. The candidates' places are in a
 filter of 2^20 hashed bits, so that few other lines are shuffled when words are
 read again. Both have a fixed size and go with the plan; as they only choose an
 order, the same for all lines, and drop what the join would drop, results are
 exact for any counts. Words are compared by 52-bit hashes; the join on prefix
-words takes 32 bits of these, which can only add candidates.
+words takes 32 bits of these, which can only add candidates. Equal sets are
+told by 64 bits and the number of their words.
 
 Cases: null and empty texts have one empty line, which stays; rows that agree
 in id and text get one decision; null ids come first; very long lines are
@@ -28,29 +34,27 @@ entries like others; an empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
-import json
 from math import log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Cuts, among, cut, long_array
 
 SKETCH = 1 << 14
 THRESHOLD = 0.8
 #: Sets of more words have a bitmap of half their words, too, as 64 bits tell long lines apart less well:
 #: with it the bitmap of all words falls into two, and the differences of both halves add up.
 WIDE = 50
+#: How many of their rarest words let entries meet the earliest one first, and how many entries of a word do so.
+STAR, CROWD = 6, 64
+#: No place of a prefix is that high.
+CROSSED = 1 << 29
 _KEY = ["doc_id", "h"]
 
 
-def _bucket(hashed: Column, size: int = SKETCH) -> Column:
-    """``size`` is a power of two."""
-    return hashed.bitwiseAND(F.lit(size - 1)).cast("int")
-
-
-def _long_array(values: list[int]) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(SKETCH - 1)).cast("int")
 
 
 def _split(text: Column) -> Column:
@@ -60,18 +64,19 @@ def _split(text: Column) -> Column:
 
 def _rarity(docs: DataFrame) -> Column:
     """An array literal: for each counter the rank, from 0 to 2047, of its count, in the top bits; a step is a sixteenth of a doubling."""
-    words = docs.select(F.explode(_split(F.col("text"))).alias("word"))
+    words = docs.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("b")).count().collect()  # SKETCH rows at most
     ranks = [0] * SKETCH
     for b, n in counts:
         ranks[b] = int(16 * log2(n)) << 52
-    return _long_array(ranks)
+    return long_array(ranks)
 
 
 def _tokens(line: Column, rarity: Column) -> Column:
     """A line's different words as numbers, rarest first: rank in the top bits, word hash below."""
-    hashes = F.array_distinct(F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    return F.sort_array(F.transform(hashes, lambda x: F.get(rarity, _bucket(x)).bitwiseOR(F.shiftrightunsigned(x, 12))))
+    # no value is null, and Spark is told so, as it sorts such numbers without boxing them
+    number = lambda w: F.coalesce(F.get(rarity, _bucket(F.xxhash64(w))), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 12))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(_split(line), number), number(F.lit("")))))
 
 
 def _parity(tokens: str | Column) -> Column:
@@ -85,43 +90,67 @@ def _least(n: Column, share: float) -> Column:
     return F.ceil(n * share - 1e-9).cast("int")
 
 
-def _among(place: list[str], rows: DataFrame) -> Column:
-    """A condition that holds for all places in ``rows`` and for few others."""
-    bit = _bucket(F.xxhash64(*place), SKETCH * 64)
-    masks = rows.groupBy(F.shiftright(bit, 6).alias("b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)))).alias("bits")).collect()  # SKETCH rows at most
-    found = [0] * SKETCH
-    for b, bits in masks:
-        found[b] = bits
-    return F.getbit(F.get(_long_array(found), F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1
+def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+
+
+def _unlike(a: str, b: str) -> Column:
+    """At least so many words are in only one of two sets, as their bitmaps tell."""
+    bits, half = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("parity", "half")]
+    return F.coalesce(F.bit_count(half) + F.bit_count(bits.bitwiseXOR(half)), F.bit_count(bits))
+
+
+def _stars(entries: DataFrame, threshold: float, hold: Cuts) -> DataFrame:
+    """Pairs ``x, y`` of an entry ``y`` and the earliest one, ``x``, with which it shares one of its ``STAR`` rarest words, where ``CROWD`` entries do."""
+    words = entries.select("id", F.explode(F.slice("prefix", 1, STAR)).alias("word"))
+    centres = hold(words.groupBy("word").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("members")).filter(F.col("members") >= CROWD).select("word", "x"))
+    pairs = words.join(centres, "word").filter("id != x").select("x", F.col("id").alias("y")).distinct()
+    share = threshold / (1 + threshold)
+    a_n, b_n = F.col("a.n"), F.col("b.n")
+    alike = (F.least(a_n, b_n) >= F.greatest(a_n, b_n) * threshold - 1e-9) & (a_n + b_n - _unlike("a", "b") >= 2 * _least(a_n + b_n, share))
+    sides = [entries.select(F.col("id").alias(f"{c}_id"), "n", "parity", "half").alias(c) for c in "ab"]
+    return pairs.join(sides[0], F.col("x") == F.col("a_id")).join(sides[1], (F.col("y") == F.col("b_id")) & alike).select("x", "y")
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``x, y`` of the ids of sets that may be similar; ``entries`` has ``id, n, parity, half, prefix``."""
+    """Pairs ``x, y`` of the ids of sets that may be similar; ``entries`` has ``id, n, parity, half, prefix, near``.
+
+    If the later of two entries, that of the greater id, is known to be near an earlier one, they make no pair, as nothing follows from it.
+    """
     share = threshold / (1 + threshold)
     class_of = lambda n: F.floor(F.ln(n) / (2 * -log(threshold) or 1)).cast("int")  # noqa: E731  # of length
-    keyed = lambda size: F.shiftleft(F.col("word").cast("long"), 20).bitwiseOR(size)
-    most = F.floor(F.col("n") / threshold + 1e-9)
-    places = entries.select("id", "n", "parity", "half", F.posexplode("prefix").alias("at", "word"))
-    words = places.withColumn("word", keyed(class_of(F.col("n"))))
-    # the larger set's length is of the same class or of the next one
-    index = places.filter(F.col("at") <= F.col("n") - _least(F.col("n"), 2 * share))
-    index = index.withColumn("size", F.explode(F.sequence(class_of(F.col("n")), class_of(most)))).withColumn("word", keyed(F.col("size"))).drop("size")
-    a_n, b_n = F.col("a.n"), F.col("b.n")
+    n, at = F.col("n"), F.col("at")
+    places = entries.select("id", "n", "near", "parity", "half", F.posexplode("prefix").alias("at", "word"))
+    # The larger set's length is of the smaller's class or of the next one. A row that stands for a smaller set in
+    # the next class has CROSSED added to its place, so that it is never taken for a larger one.
+    crosses = (at <= n - _least(n, 2 * share)) & (class_of(F.floor(n / threshold + 1e-9)) > class_of(n))
+    up = F.explode(F.when(crosses, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("up")
+    rows = places.select("*", up).select(
+        F.shiftleft(F.col("word").cast("long"), 20).bitwiseOR(class_of(n) + F.col("up")).alias("word"),
+        "id",
+        F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(F.col("near").cast("long"), 31)).bitwiseOR((at + F.col("up") * CROSSED).cast("long")).alias("told"),
+        "parity",
+        "half",
+    )
+    part = lambda side, shift, mask: F.shiftrightunsigned(f"{side}.told", shift).bitwiseAND(F.lit(mask).cast("long")).cast("int")
+    a_n, b_n = part("a", 32, 0x7FFFFFFF), part("b", 32, 0x7FFFFFFF)
+    a_at, b_at = part("a", 0, CROSSED - 1), part("b", 0, 2 * CROSSED - 1)
     needed = _least(a_n + b_n, share)
-    possible = F.least(a_n - F.col("a.at"), b_n - F.col("b.at"))
-    bits, half = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("parity", "half")]
-    unlike = F.coalesce(F.bit_count(half) + F.bit_count(bits.bitwiseXOR(half)), F.bit_count(bits))
-    joined = index.alias("a").join(
-        words.alias("b"),
-        (F.col("a.word") == F.col("b.word")) & (a_n <= b_n) & (a_n >= b_n * threshold - 1e-9)
-        & ((a_n < b_n) | (F.col("a.id") < F.col("b.id"))) & (possible >= needed) & (a_n + b_n - unlike >= 2 * needed),
+    possible = F.least(a_n - a_at, b_n - b_at)
+    # The index prefix is of the smaller set. Conditions are on both sides, so that these read one shuffle.
+    indexed = a_at <= F.least(a_n, b_n) - _least(F.least(a_n, b_n), 2 * share)
+    later_near = F.when(F.col("a.id") < F.col("b.id"), part("b", 31, 1)).otherwise(part("a", 31, 1)) == 1
+    joined = rows.alias("a").join(
+        rows.alias("b"),
+        (F.col("a.word") == F.col("b.word")) & (a_n <= b_n) & (a_n >= b_n * threshold - 1e-9) & ((a_n < b_n) | (F.col("a.id") < F.col("b.id")))
+        & indexed & ~later_near & (possible >= needed) & (a_n + b_n - _unlike("a", "b") >= 2 * needed),
     )
     return joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each different ``doc_id, h``: ``n_lines`` and ``removed``, the places (from 0) of removed lines."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    own = _text_rows(docs, id_col, text_col)
     rarity = _rarity(own)
     split = own.select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     n = F.size("t")
@@ -129,28 +158,44 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     paired = n >= (threshold / (1 - threshold) - 1e-9 if threshold < 1 else float("inf"))
     rarest = F.transform(F.slice("t", 1, n - _least(n, threshold) + 1), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
     prefix = F.when(paired, rarest).otherwise(F.array().cast("array<int>"))
-    lines = cut(
-        split.select(*_KEY, "line", F.transform(F.array(_tokens(F.col("words"), rarity)), lambda t: t)[0].alias("t"))
-        .select(*_KEY, "line", n.alias("n"), F.xxhash64("t").alias("set"), _parity("t").alias("parity"), F.when(n > WIDE, _parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) > 0))).alias("half"), prefix.alias("prefix"))
-    )
     place = [*_KEY, "line"]
-    entries = lines.filter("n > 0").groupBy("set", "n").agg(F.min(F.struct(*place)).alias("first"), *[F.first(c).alias(c) for c in ("parity", "half", "prefix")])
-    entries = cut(entries.withColumn("id", F.monotonically_increasing_id()))
-    pairs = cut(_candidates(entries.filter(F.size("prefix") > 0), threshold))
-
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    wanted = cut(entries.join(ids, "id").select("id", "first"))
-    again = split.filter(_among(place, wanted.select("first.*"))).select(F.struct(*place).alias("first"), "words").join(wanted, "first")
-    sets = cut(again.select("id", "first", _tokens(F.col("words"), rarity).alias("t")).dropDuplicates(["id"]))
-    x, y = (sets.select(F.col("id").alias(c), F.struct("first", "id").alias(f"{c}_place"), F.col("t").alias(f"{c}_t")) for c in "xy")
-    both = pairs.join(x, "x").join(y, "y")
-    common = F.size(F.array_intersect("x_t", "y_t"))
-    similar = both.filter(common >= (F.size("x_t") + F.size("y_t") - common) * threshold - 1e-9)
-    near = similar.select(F.greatest("x_place", "y_place")["id"].alias("id"), F.lit(True).alias("near")).distinct()
-
-    judged = entries.join(near, "id", "left").select("set", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    marked = lines.join(judged, ["set", "n"], "left").select(*_KEY, "line", (F.col("first").isNotNull() & (F.col("near") | (F.col("first") != F.struct(*_KEY, "line")))).alias("gone"))
-    return marked.groupBy(*_KEY).agg((F.max("line") + 1).cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    # a filter on the words here would make Spark compute them twice
+    sets = split.select(*place, _tokens(F.col("words"), rarity).alias("t"))
+    sets = sets.select(F.struct(*place).alias("first"), n.alias("n"), F.xxhash64("t").alias("set"), _parity("t").alias("parity"), F.when(n > WIDE, _parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) > 0))).alias("half"), prefix.alias("prefix"))
+    grouped = sets.groupBy("set", "n").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("parity", "half", "prefix")])
+
+    def near(pairs: DataFrame, entries: DataFrame, hold: Cuts) -> DataFrame:
+        """Ids of the later ones of the pairs that are similar; their words are read again."""
+        pairs = hold(pairs)
+        if pairs.isEmpty():
+            return pairs.select(F.col("y").alias("id"))
+        ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+        wanted = hold(entries.join(ids, "id").select("id", "first"))
+        again = split.filter(among(place, wanted.select("first.*"))).select(F.struct(*place).alias("first"), "words").join(wanted, "first")
+        sets = hold(again.select("id", _tokens(F.col("words"), rarity).alias("t")).dropDuplicates(["id"]))
+        x, y = (sets.select(F.col("id").alias(c), F.col("t").alias(f"{c}_t")) for c in "xy")
+        common = F.size(F.array_intersect("x_t", "y_t"))
+        similar = pairs.join(x, "x").join(y, "y").filter(common >= (F.size("x_t") + F.size("y_t") - common) * threshold - 1e-9)
+        found = hold(similar.select(F.greatest("x", "y").alias("id")).distinct())
+        hold.drop(pairs, wanted, sets)
+        return found
+
+    with Cuts(docs.sparkSession) as hold:
+        found = hold(grouped)
+        # ids in the order of first places, so the later of two entries is that of the greater id
+        entries = hold(found.filter("n > 0").select("first", "n", "parity", "half", "prefix").orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+        hold.drop(found)
+        comparable = entries.filter(F.size("prefix") > 0)
+        known = near(_stars(comparable, threshold, hold), entries, hold)
+        marked = comparable.join(known.withColumn("near", F.lit(True)), "id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        gone = known.union(near(_candidates(marked, threshold), entries, hold)).distinct()
+        # what stays is the first line of each set that is not near an earlier one
+        stay = cut(entries.join(gone, "id", "left_anti").select("first.*").groupBy(*_KEY).agg(F.collect_list("line").alias("stay")))
+    worded = F.transform(F.split("text", "\n", -1), lambda line, k: F.when(line.rlike(r"[^\x20\x09-\x0D]"), k))
+    counted = own.select(*_KEY, worded.alias("worded")).select(*_KEY, F.size("worded").cast("long").alias("n_lines"), F.array_compact("worded").alias("worded")).dropDuplicates(_KEY)
+    joined = counted.alias("c").join(stay.alias("s"), F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.h") == F.col("s.h")), "left")
+    removed = F.array_except("worded", F.coalesce("stay", F.array().cast("array<int>")))
+    return joined.select("c.doc_id", "c.h", "n_lines", F.sort_array(removed).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
