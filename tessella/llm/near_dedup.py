@@ -4,18 +4,25 @@ A text is its set of runs of five words (cut at white space, A-Z lower-cased);
 a text of fewer words is one run. Two texts are linked if the Jaccard
 similarity of their sets is 0.8 at least; a component is what links reach.
 
-Texts with equal sets are one entry, so copies cost nothing. Candidates are
-entries that agree in a band: 32 bands of 4 minimum hashes, so a pair at 0.8
-is missed with a chance of 5e-8, and of less above. Candidates are then
-verified by their whole sets. First each entry of a bucket is compared with
-the bucket's smallest one. What is in one component after that needs no
-further comparison; all other pairs of the bucket are compared, so a large
-group does not make all its pairs and no link of a bucket is lost.
+Texts with equal sets are one entry, so copies cost nothing. Candidates come
+from two sides. SimHash: entries whose fingerprints over their shingles are
+within ``RADIUS`` bits, by the bit-sliced comparison of :mod:`.simhash`. That
+is certain of close copies only, as pairs at 0.8 differ in about 9 bits. So
+entries that agree in one of 40 bands of 6 minimum hashes are candidates as
+well; a pair at 0.8 is missed with a chance of 5e-6, and of less above.
+
+Each entry of a band's bucket is compared with the bucket's smallest one first.
+What is in one component after that needs no further comparison; for the rest,
+pairs of the bucket are made, so a large group does not make all its pairs and
+no link of a bucket is lost. Pairs whose parity bitmaps differ in more bits than
+the sets may differ in shingles are dropped where they are made; a bitmap has
+about four bits for each shingle, so few pairs below the similarity are left.
+The others are verified by their whole sets.
 
 Rows are told apart by id and text, null-safely. Each component keeps one row:
 that of the smallest id, a null id after all others, ties by the text's hash.
 Rows equal in both are copies. Null and empty texts, and texts of white space
-alone, are one entry. Extra columns are kept.
+alone, are one entry. Extra columns are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
-from .simhash import components
+from .common import Cuts, among, cut, small_batches
+from .simhash import components, links, majority
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
+RADIUS = 2
 #: Shingles whose minimum hashes are taken together.
 PIECE = 1 << 12
 
@@ -69,6 +77,18 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return ((key ^ (key >> np.uint64(32))) * _STEP).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls on each of 64 bits, 128, 256 and so on, at least four for a hash.
+
+    Halves laid over each other, bit by bit, are what half as many bits give.
+    """
+    bits = 64
+    while bits < 4 * len(found):
+        bits *= 2
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets."""
     if not len(a) and not len(b):
@@ -80,12 +100,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh64_intdigest
 
+    def lists(values: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), np.concatenate([*values, np.empty(0, np.int64)]))
+
+    def signed(values: Iterator[int]) -> pa.Array:
+        return pa.array(np.fromiter(values, np.uint64).view(np.int64))
+
     for batch in batches:
         sets = [shingles(t.as_py()) for t in batch.column(2)]
-        e = np.fromiter((xxh64_intdigest(s.tobytes(), 42) for s in sets), np.uint64, len(sets)).view(np.int64)
-        keys = [band_keys(s) for s in sets]
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([*keys, np.empty(0, np.int64)]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e), pa.array([len(s) for s in sets], pa.int32()), lists], names=["doc_id", "h", "e", "n", "keys"])
+        columns = [
+            *batch.columns[:2],
+            signed(xxh64_intdigest(s.tobytes(), 42) for s in sets),
+            pa.array([len(s) for s in sets], pa.int32()),
+            signed(majority(s) for s in sets),
+            lists([band_keys(s) for s in sets]),
+            lists([parity(s) for s in sets]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "e", "n", "fp", "keys", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +134,15 @@ def _verified(threshold: float):
     return run
 
 
-def _similar_sizes(n: str, m: str, threshold: float) -> Column:
-    """Sets whose sizes are further apart cannot reach the threshold."""
-    return F.least(n, m) >= F.greatest(n, m) * F.lit(threshold - 1e-9)
+def _may_be_similar(x: str, y: str, threshold: float) -> Column:
+    """What sizes and bitmaps of the sets ``x`` and ``y`` (columns ``n, bits`` of these aliases) allow."""
+    n, m, one, two = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.bits", f"{y}.bits"))
+    words = F.least(F.size(one), F.size(two))
+    # the longer bitmap is folded; sizes that may match differ by one doubling at most
+    folded = lambda bits, i: F.get(bits, i).bitwiseXOR(F.coalesce(F.get(bits, i + words), F.lit(0).cast("long")))
+    unlike = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda total, i: total + F.bit_count(folded(one, i).bitwiseXOR(folded(two, i))))
+    least, most = F.least(n, m), F.greatest(n, m)
+    return (least >= most * F.lit(threshold - 1e-9)) & F.when(least >= most * F.lit(threshold - 1e-9), unlike <= (n + m) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,38 +152,62 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, h, label`` of each row: ``h`` is the hash of its text, ``label`` is equal within a component."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     own = _own(docs, id_col, text_col)
-    rows = cut(own.mapInArrow(_entries, "doc_id long, h long, e long, n int, keys array<long>"))
-    entry = rows.groupBy("e").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row"))
-    entry = cut(entry.select("e", "row.doc_id", "row.h"))
-    banded = cut(rows.select("e", "n", F.explode("keys").alias("key")).distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        used = cut(entry.join(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct(), "e", "left_semi"))
-        left, right = own.alias("x"), used.alias("y")
-        texts = left.join(right, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.h") == F.col("y.h"))).select("y.e", "x.text")
-        sets = cut(texts.mapInArrow(_sets, "e long, found binary").dropDuplicates(["e"]))
-        both = pairs.join(sets.select(F.col("e").alias("a"), F.col("found").alias("one")), "a").join(sets.select(F.col("e").alias("b"), F.col("found").alias("other")), "b")
-        return cut(both.select("a", "b", "one", "other").mapInArrow(_verified(threshold), "a long, b long"))
-
-    first = banded.groupBy("key").agg(F.min(F.struct("e", "n")).alias("low"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    first = cut(first.select("key", F.col("low.e").alias("a"), F.col("low.n").alias("m")))
-    star = banded.join(first, "key").filter(F.col("e") != F.col("a")).filter(_similar_sizes("n", "m", threshold))
-    edges = verified(star.select("a", F.col("e").alias("b")).distinct())
-
-    # what the first round left apart
-    labels = components(edges)
-    named = banded.join(first.select("key", "a"), "key").join(labels, F.col("e") == F.col("node"), "left").select("key", "a", "e", "n", F.coalesce("label", "e").alias("label"))
-    centre = labels.select(F.col("node").alias("a"), F.col("label").alias("known"))
-    named = cut(named.join(centre, "a", "left").withColumn("main", F.coalesce("known", "a")).drop("known"))
-    apart = named.filter("label != main").select("key", F.col("e").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = named.filter("e != a").join(apart, "key").filter("label != other and (label = main or e < b)").filter(_similar_sizes("n", "m", threshold))
-    more = verified(pairs.select(F.least("e", "b").alias("a"), F.greatest("e", "b").alias("b")).distinct())
-
-    labels = components(edges.union(more))
-    return rows.join(labels, F.col("e") == F.col("node"), "left").select("doc_id", "h", F.coalesce("label", "e").alias("label"))
+    schema = "doc_id long, h long, e long, n int, fp long, keys array<long>, bits array<long>"
+    with Cuts(spark) as hold:
+        rows = hold(own.mapInArrow(_entries, schema))
+        lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row")
+        entry = hold(rows.groupBy("e").agg(lowest, *[F.first(c).alias(c) for c in ("n", "fp", "keys", "bits")]).select("e", "row.doc_id", "row.h", "n", "fp", "keys", "bits"))
+        banded = entry.select("e", F.explode("keys").alias("key"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            """The pairs ``a, b`` that are similar enough, by their whole sets."""
+            pairs = hold(pairs)
+            used = hold(entry.select("e", "doc_id", "h").join(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct(), "e", "left_semi"))
+            left, right = own.filter(among(["doc_id", "h"], used)).alias("x"), used.alias("y")
+            texts = left.join(right, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.h") == F.col("y.h"))).select("y.e", "x.text")
+            sets = hold(texts.mapInArrow(_sets, "e long, found binary").dropDuplicates(["e"]))
+            both = pairs.join(sets.select(F.col("e").alias("a"), F.col("found").alias("one")), "a").join(sets.select(F.col("e").alias("b"), F.col("found").alias("other")), "b")
+            found = hold(both.select("a", "b", "one", "other").mapInArrow(_verified(threshold), "a long, b long"))
+            hold.drop(pairs, used, sets)
+            return found
+
+        def possible(pairs: DataFrame) -> DataFrame:
+            """Those of different pairs ``a, b`` that their sizes and bitmaps allow."""
+            a, b = entry.select("e", "n", "bits").alias("x"), entry.select("e", "n", "bits").alias("y")
+            joined = pairs.join(a, F.col("a") == F.col("x.e")).join(b, (F.col("b") == F.col("y.e")) & _may_be_similar("x", "y", threshold))
+            return joined.select("a", "b")
+
+        # fingerprints: one entry of each stands for it
+        print_of = hold(entry.filter("n > 0").groupBy("fp").agg(F.min("e").alias("a")))
+        alike = entry.filter("n > 0").select("fp", F.col("e").alias("b")).join(print_of, "fp").filter("a != b").select("a", "b")
+        near = links(print_of.select("fp"), RADIUS).select(F.col("a").alias("one"), F.col("b").alias("other"))
+        near = near.join(print_of.select(F.col("fp").alias("one"), "a"), "one").join(print_of.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        # buckets: each entry and the smallest one
+        first = hold(banded.groupBy("key").agg(F.min("e").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "a"))
+        shared = hold(banded.join(first, "key").select("key", "a", "e"))
+        star = shared.filter("e != a").select("a", F.col("e").alias("b"))
+        edges = verified(possible(star.union(alike).union(near).distinct()))
+
+        # what the first round left apart
+        labels = components(edges)
+        named = shared.join(labels, F.col("e") == F.col("node"), "left").select("key", "a", "e", F.coalesce("label", "e").alias("label"))
+        centre = labels.select(F.col("node").alias("a"), F.col("label").alias("known"))
+        named = hold(named.join(centre, "a", "left").select("key", "a", "e", "label", F.coalesce("known", "a").alias("main")))
+        hold.drop(first, shared)
+        # a bucket whose entries are all linked to its smallest one is done
+        sized = entry.select("e", "n", "bits")
+        apart = named.filter("label != main").join(sized, "e").select("key", "e", "label", "n", "bits")
+        apart = hold(apart)
+        others = named.filter("e != a").join(apart.select("key").distinct(), "key", "left_semi").join(sized, "e")
+        unlinked = (F.col("x.label") != F.col("y.label")) & ((F.col("x.label") == F.col("x.main")) | (F.col("x.e") < F.col("y.e")))
+        pairs = others.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & unlinked & _may_be_similar("x", "y", threshold))
+        more = verified(pairs.select(F.least("x.e", "y.e").alias("a"), F.greatest("x.e", "y.e").alias("b")).distinct())
+
+        labels = components(edges.union(more))
+        return cut(rows.select("doc_id", "h", "e").join(labels, F.col("e") == F.col("node"), "left").select("doc_id", "h", F.coalesce("label", "e").alias("label")))
 
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,6 +215,6 @@ def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: s
     groups = near_groups(docs, threshold, id_col, text_col)
     kept = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.h").alias("kept_h"))
     h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    own = docs.withColumn("kept_h", h)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (own.kept_h == kept.kept_h)
-    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "kept_h"]).drop("kept_h")
+    own = docs.withColumn("_near_h", h)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_near_h") == F.col("kept_h"))
+    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "_near_h"]).drop("_near_h")
