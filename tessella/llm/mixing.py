@@ -3,28 +3,34 @@
 Each source gets a target number of words; every document of a source is then
 due the same fraction of copies, target over source size. Whole copies are
 taken as they are. What remains is a probability ``p`` for one more copy, and
-pivotal rounding makes it 0 or 1: two documents meet, and mass (``p`` times
-size, so words) moves from one to the other, in a direction drawn so that each
-``p`` keeps its expectation, until one of them is integral. The other goes on
-with the residual. No word of mass is lost on the way.
-
-Documents meet in a reduction tree. At its leaves, bounded groups of about
-``FAN`` documents of one source, chosen by a hash of their ids, fold into one
-residual each; ``FAN`` residuals of neighbouring groups then fold into one, and
-so on until a source has one group. There, from the largest document down, each
-is rounded at once and the mass this moves goes to or comes from the next,
-smaller ones, so that a source misses its target by no more than its smallest
-open documents. Every level is one grouped aggregation, so a source of a third
-of the corpus is as many groups as its size needs. Draws are hashes of ids, so
-reruns agree.
+pivotal rounding makes it 0 or 1: two sides meet, and mass (``p`` times size,
+so words) moves from one to the other, in a direction drawn so that each ``p``
+keeps its expectation, until one of them is integral. The other goes on with
+the residual. No word of mass is lost on the way.
+
+First, documents of more than a ``LARGE``-th of their source (so fewer than
+``LARGE`` of each) meet, from the largest down, the pool of all that are
+smaller: what a document gains the pool loses evenly, so the pool keeps one
+probability. Then come the leaves of a reduction tree, groups of about ``FAN``
+documents of one source, chosen by a hash. In a leaf, too, each document meets
+the pool of the smaller ones, so what is left open is one of the smallest. The
+open documents of ``FAN`` neighbouring groups then meet one another and leave
+one open, and so on until a source has one, which is drawn; this is all by which
+a source can miss its target. Every level is one grouped aggregation, so a
+source of a third of the corpus is as many groups as its size needs. Draws are
+hashes of rows, so reruns agree.
+
+A document that outweighs all smaller ones of its source can stay open to the
+end. Then the miss is as large as what its drawing changes.
 
 Everything is DataFrame operations. Sources are ranked by a range-partitioned
 sort and prefix sums over partitions, targets found by a loop over sums.
 
 Cases: a null source is a source of its own, ranked last; null and empty texts
-have size zero and take nothing; repeated ids are separate rows (groups of
-identical rows share a leaf); null ids hash like others; an empty table gives
-no rows. Extra columns are not read unless asked to be carried.
+have size zero and take nothing; repeated and null ids are separate rows, told
+apart by a hash of all columns and, where that is equal, by a number, so they
+spread over leaves as others do; an empty table gives no rows. Extra columns
+count only in that hash.
 """
 
 from __future__ import annotations
@@ -36,6 +42,10 @@ from .common import cut
 
 #: Documents that a leaf has on average, and children of an inner node.
 FAN = 32
+#: A document of more than this part of its source meets the pool of all others first.
+LARGE = 64
+#: Rows that are made at once from a count.
+BLOCK = 4096
 WEIGHTS = (1, 2, 3)
 #: A target is at most this many times its source's size.
 MOST = 3.0
@@ -77,7 +87,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return table.withColumn("target", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(pour, cap)))
 
 
-_DOC = "struct<size:bigint,h:bigint,doc:struct<id:bigint,source:string,source_size:bigint,target:double,whole:int>,p:double>"
+_DOC = "struct<size:bigint,h:bigint,doc:struct<id:bigint,source:string,source_size:bigint,target:double,whole:int,key:bigint,rows:bigint>,p:double>"
 
 
 def _with(name: str, p: str) -> str:
@@ -90,6 +100,31 @@ def _draw(*values: str | int) -> str:
     return f"(shiftrightunsigned(xxhash64({', '.join(map(str, values))}), 11) / 9007199254740992D)"
 
 
+def _pool(seed: int, rest: str) -> str:
+    """SQL that folds the documents ``docs``, from the largest down, all of one probability, into ``done``, ``o`` and ``q``.
+
+    Each document is paired with the pool of all that are smaller, which hold
+    ``rest`` words with it and share the probability ``q``. ``up`` words may
+    move to the document, ``down`` words to the pool; either makes one of both
+    integral. ``o`` is the document that is left open, if any, and ``q`` what
+    the rest of the pool beyond ``docs`` has come to.
+    """
+    said = "struct(v.q AS q, v.s AS rest, v.o AS o, v.done AS done)"
+    moves = "struct(least((1 - a.q) * x.size, a.q * (a.rest - x.size)) AS up, least(a.q * x.size, (1 - a.q) * (a.rest - x.size)) AS down, a.rest - x.size AS s)"
+    state = lambda q, o, done: f"struct({q} AS q, m.s AS s, {o} AS o, {done} AS done)"
+    more = lambda p: f"concat(a.done, array({_with('x', p)}))"
+    return f"""
+aggregate(docs, struct(docs[0].p AS q, CAST({rest} AS double) AS rest, CAST(null AS {_DOC}) AS o, CAST(array() AS array<{_DOC}>) AS done), (a, x) ->
+  CASE WHEN x.size = 0 OR a.q <= 0 OR a.q >= 1 THEN struct(a.q AS q, a.rest - x.size AS rest, a.o AS o, {more("CASE WHEN a.q >= 1 AND x.size > 0 THEN 1D ELSE 0D END")} AS done)
+  WHEN a.rest <= x.size THEN struct(0D AS q, 0D AS rest, {_with("x", "a.q")} AS o, a.done AS done)
+  ELSE transform(transform(array({moves}), m ->
+    CASE WHEN {_draw("x.h", seed, "'pool'")} * (m.up + m.down) < m.down THEN
+      CASE WHEN m.up >= (1 - a.q) * x.size THEN {state("greatest(0D, a.q - m.up / m.s)", "a.o", more("1D"))}
+      ELSE {state("0D", _with("x", "least(1D, a.q + m.up / x.size)"), "a.done")} END
+    WHEN m.down >= a.q * x.size THEN {state("least(1D, a.q + m.down / m.s)", "a.o", more("0D"))}
+    ELSE {state("1D", _with("x", "greatest(0D, a.q - m.down / x.size)"), "a.done")} END), v -> {said})[0] END)"""
+
+
 def _pivot(level: int, seed: int) -> str:
     """SQL that folds the documents ``docs`` of a group into ``done``, the decided ones, and ``o``, the open one.
 
@@ -113,23 +148,35 @@ aggregate(docs, struct(CAST(null AS {_DOC}) AS o, CAST(array() AS array<{_DOC}>)
     CASE WHEN {_draw("a.o.h", "x.h", level, seed)} * (v.up + v.down) < v.down THEN {to_next} ELSE {to_open} END)[0] END)"""
 
 
-def _settle(seed: int) -> str:
-    """SQL that rounds the documents ``docs`` of a source's last group, each in its turn.
+def _rounded(seed: int) -> str:
+    """SQL: ``f`` with its open document, the last of its source, rounded."""
+    last = _with("f.o", f"CASE WHEN {_draw('f.o.h', seed, chr(39) + 'last' + chr(39))} < f.o.p THEN 1D ELSE 0D END")
+    return f"CASE WHEN f.o IS NULL THEN f.done ELSE concat(f.done, array({last})) END"
 
-    ``owed`` is the mass that rounding has moved so far; the next document's
-    probability takes as much of it as it can before it is rounded itself.
-    """
-    shifted = "CASE WHEN x.size = 0 OR x.doc.target <= 0 THEN 0D ELSE greatest(0D, least(1D, x.p + a.owed / x.size)) END"
-    return f"""
-aggregate(docs, struct(0D AS owed, CAST(array() AS array<{_DOC}>) AS done), (a, x) ->
-  transform(transform(array({shifted}), p -> struct(p AS p, CASE WHEN {_draw("x.h", seed, "'last'")} < p THEN 1D ELSE 0D END AS got)), v ->
-    struct(a.owed + (x.p - v.got) * x.size AS owed, concat(a.done, array({_with("x", "v.got")})) AS done))[0])"""
+
+def _each_row(groups: DataFrame, n: str, ordinal: str) -> DataFrame:
+    """Each row of ``groups`` as often as its column ``n`` says, numbered from 0, without an array of ``n`` elements."""
+    block = F.lit(BLOCK).cast("long")
+    blocked = groups.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, block)))
+    own = F.sequence(F.col("_block"), F.least(F.col(n), F.col("_block") + block) - 1)
+    return blocked.withColumn(ordinal, F.explode(own)).drop("_block")
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: ``doc_id, source, size, source_size, target, copies, taken``."""
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")))
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    """Per document: ``doc_id, source, size, source_size, target, copies, taken``, and ``key, rows``.
+
+    Rows equal in id and ``key``, a hash of all columns, are interchangeable;
+    ``rows`` tells how many there are.
+    """
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), _row_key(docs).alias("key"))
+    groups = cut(own.groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows")))
+    per = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
     goal = cut(targets(per, weights, most).select(F.col("source").alias("name"), "source_size", "target", "n"))
     most_docs = goal.agg(F.max("n")).head()[0] or 0
     # a source has FAN ** depth leaves, with the depth that its own number of documents needs
@@ -138,41 +185,54 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         depth += 1
     own_depth = sum((F.when(F.col("n") > 2 * FAN ** (k + 1), 1).otherwise(0) for k in range(depth)), F.lit(0))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    h = F.xxhash64(F.lit(seed), "id")
-    open_docs = rows.join(goal, F.col("source").eqNullSafe(F.col("name"))).select(
+    h = F.xxhash64(F.lit(seed), "id", "key", "k")
+    rows = _each_row(groups.join(goal, F.col("source").eqNullSafe(F.col("name"))), "rows", "k").select(
         "size",
         h.alias("h"),
-        F.struct("id", "source", "source_size", "target", F.floor(each).cast("int").alias("whole")).alias("doc"),
+        F.struct("id", "source", "source_size", "target", F.floor(each).cast("int").alias("whole"), "key", "rows").alias("doc"),
         (each - F.floor(each)).alias("p"),
         own_depth.alias("left"),
         F.pmod(h, F.pow(F.lit(float(FAN)), own_depth).cast("long")).alias("node"),
     )
-    decided = []
+    collected = F.sort_array(F.collect_list(F.struct("size", "h", "doc", "p")), asc=False).alias("docs")
+    # documents that outweigh a leaf are paired with all the rest of their source first; a source has fewer than LARGE
+    large = F.col("size") * LARGE > F.col("doc.source_size")
+    first = rows.filter(large).groupBy(F.col("doc.source").alias("s")).agg(collected)
+    first = cut(first.select("s", F.expr(_pool(seed, "docs[0].doc.source_size")).alias("f")).select("s", F.expr(_rounded(seed)).alias("done"), "f.q"))
+    decided = [first.select(F.explode("done").alias("d")).select("d.*")]
+    rest = rows.filter(~large).join(first.select(F.col("s"), "q", F.lit(True).alias("met")), F.col("doc.source").eqNullSafe(F.col("s")), "left")
+    open_docs = rest.select("size", "h", "doc", F.when(F.col("met"), F.col("q")).otherwise(F.col("p")).alias("p"), "left", "node")
     for level in range(depth + 1):
-        docs_of = F.sort_array(F.collect_list(F.struct("size", "h", "doc", "p")), asc=False).alias("docs")
-        groups = open_docs.groupBy(F.col("doc.source").alias("s"), "node", "left").agg(docs_of)
-        settled = F.expr(_settle(seed)).getField("done")
-        folded = F.when(F.col("left") == 0, F.struct(F.lit(None).cast(_DOC).alias("o"), settled.alias("done"))).otherwise(F.expr(_pivot(level, seed)))
-        folded = cut(groups.select("node", "left", folded.alias("f")))
-        decided.append(folded.select(F.explode("f.done").alias("d")).select("d.*"))
+        folded = open_docs.groupBy(F.col("doc.source").alias("s"), "node", "left").agg(collected)
+        fold = F.expr(_pivot(level, seed) if level else _pool(seed, "aggregate(docs, 0D, (s, x) -> s + x.size)"))
+        folded = folded.select("node", "left", fold.alias("f"))
+        done = F.when(F.col("left") == 0, F.expr(_rounded(seed))).otherwise(F.col("f.done"))
+        folded = cut(folded.select("node", "left", F.when(F.col("left") > 0, F.col("f.o")).alias("o"), done.alias("done")))
+        decided.append(folded.select(F.explode("done").alias("d")).select("d.*"))
         # a group none of whose documents stays open hands nothing on
-        open_docs = folded.filter("f.o IS NOT NULL").select("f.o.*", (F.col("left") - 1).alias("left"), F.floor(F.col("node") / FAN).alias("node"))
+        open_docs = folded.filter("o IS NOT NULL").select("o.*", (F.col("left") - 1).alias("left"), F.floor(F.col("node") / FAN).alias("node"))
     out = decided[0]
     for x in decided[1:]:
         out = out.union(x)
     copies = F.col("doc.whole") + F.when(F.col("p") >= 1, 1).otherwise(0)
     return out.select(
         F.col("doc.id").alias("doc_id"), F.col("doc.source").alias("source"), "size", F.col("doc.source_size").alias("source_size"), F.col("doc.target").alias("target"),
-        copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+        copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.col("doc.key").alias("key"), F.col("doc.rows").alias("rows"),
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as :func:`mix` takes it. Ids must be distinct or equal in all columns."""
+    """The mix itself: rows of ``docs``, each as often as :func:`mix` takes it.
+
+    Rows equal in all columns are interchangeable: their copies are made from
+    one of them.
+    """
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    taken = mix(docs, **options).groupBy(F.col("key").alias("_mix_key"), F.col("doc_id").alias("_mix_id"), F.col("rows").alias("_mix_rows"))
+    copies = cut(taken.agg(F.sum("copies").alias("_mix_n")).filter("_mix_n > 0"))
     id_col = options.get("id_col", "doc_id")
-    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_mix_n"), F.count(F.lit(1)).alias("_mix_rows"))
-    numbered = docs.withColumn("_mix_k", F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0))))
-    # copies of rows that share an id are dealt evenly among them
-    own = F.floor(F.col("_mix_n") / F.col("_mix_rows")) + F.when(F.col("_mix_k") <= F.col("_mix_n") % F.col("_mix_rows"), 1).otherwise(0)
-    joined = numbered.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id"))).withColumn("_mix_own", own.cast("int"))
-    return joined.filter("_mix_own > 0").withColumn("_mix_each", F.explode(F.sequence(F.lit(1), F.col("_mix_own")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn("_mix_own", _row_key(docs))
+    same = (F.col("_mix_own") == F.col("_mix_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id"))
+    once = keyed.join(copies.filter("_mix_rows = 1"), same)
+    often = keyed.join(copies.filter("_mix_rows > 1"), same).dropDuplicates(["_mix_own", id_col])
+    return _each_row(once.select(*plain, "_mix_n").union(often.select(*plain, "_mix_n")), "_mix_n", "_mix_k").select(*plain)
