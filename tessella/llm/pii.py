@@ -13,11 +13,13 @@ occurrences whose instances are known to be of that kind, shrunk towards zero
 by ``PRIOR`` unknown occurrences. An instance's score is the best pattern it
 occurs with; seeds keep score one. Candidates of patterns that score at
 least ``CONFIDENT`` and have at least ``SUPPORT`` different instances are taken as spans, and as
-instances of the next round's patterns. Base spans always stay.
+instances of the next round's patterns. Known instances and good patterns only
+grow, and the rounds end when no pattern has become good. Base spans always stay.
 
 Matches are found by setting a mark around each, splitting at the marks, and
-adding up lengths; regular expressions start only where a run of their first
-characters starts or the last match ended, so no text costs quadratic time.
+adding up lengths, in blocks of pieces; regular expressions start only where a
+run of their first characters starts or the last match ended. Which candidates
+touch base spans is told by one sort of both. So no text costs quadratic time.
 
 Cases: null counts as the empty text and has no spans; the mark, U+E000, counts
 as U+E001 where a text has it, and positions stay; repeated rows are scanned
@@ -27,17 +29,18 @@ are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Cuts, cut
 
 KINDS = ("email", "ip", "card", "phone")
 MARK, OTHER = "\ue000", "\ue001"
-ROUNDS = 2
 PRIOR, CONFIDENT, SUPPORT = 2.0, 0.8, 5
 #: Characters next to a match in which its neighbour words are looked for.
 NEAR = 64
+#: Pieces whose lengths are added up together; a fold that appends to an array copies it each time.
+BLOCK = 128
 
 _SPACE = r"\x20\x09-\x0D"
 #: Where a match of a run of these characters can start.
@@ -91,13 +94,14 @@ def _word(near: Column, pattern: str) -> Column:
 
 def _spans(pieces: Column, kind: Column) -> Column:
     """Matches as structs: start, end, kind, what was matched, and the words before and after."""
-    # ends[i] is where piece i ends
-    ends = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda a, p: F.struct((a.at + F.length(p)).alias("at"), F.concat(a.ends, F.array(a.at + F.length(p))).alias("ends")),
-        lambda a: a.ends,
-    )
+    # ends[i] is where piece i ends: within its block, plus where the block starts
+    append = lambda a, n: F.struct((a.at + n).alias("at"), F.concat(a.ends, F.array(a.at + n)).alias("ends"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK)), lambda k: F.aggregate(F.slice(pieces, k, BLOCK), none, lambda a, p: append(a, F.length(p))))
+    placed = lambda found, tops: F.flatten(F.transform(found, lambda x, k: F.transform(x.ends, lambda e: e + F.when(k > 0, F.get(tops, k - 1)).otherwise(0))))
+    tops = lambda found: F.aggregate(found, none, lambda a, x: append(a, x.at), lambda a: a.ends)
+    # each transform binds what it is of to a name, so that it is computed once
+    ends = F.transform(F.transform(F.array(blocks), lambda x: F.struct(x.alias("found"), tops(x).alias("tops"))), lambda y: placed(y.found, y.tops))[0]
     odd = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
     before = lambda i: F.right(F.get(pieces, i - 1), F.lit(NEAR))
     after = lambda i: F.left(F.get(pieces, i + 1), F.lit(NEAR))
@@ -134,11 +138,22 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*found), lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(a.kind - b.kind))
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """Loose matches that touch no base span; their kind is open."""
+def _candidates(text: Column) -> Column:
+    """Loose matches; their kind is open."""
     spans = F.transform(F.array(_pieces(text, CANDIDATE)), lambda p: _spans(p, F.lit(-1)))[0]
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
-    return F.when(text.rlike("[0-9@]|at[\\])]"), free).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike("[0-9@]|at[\\])]"), spans).otherwise(F.array().cast(_SPAN))
+
+
+def _free(rows: DataFrame) -> DataFrame:
+    """``row, s``: the loose matches that touch no base span, by one sort of both for each text that has both."""
+    each = rows.filter(F.size("loose") > 0).select("row", F.explode(F.concat("base", "loose")).alias("s"))
+    by_start = Window.partitionBy("row").orderBy("s.start")
+    seed = F.col("s.kind") >= 0
+    before = F.max(F.when(seed, F.col("s.end"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(seed, F.col("s.start"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    told = each.select("row", "s", before.alias("ended"), after.alias("starts"))
+    touches = (F.coalesce("ended", F.lit(0)) > F.col("s.start")) | (F.coalesce("starts", F.col("s.end")) < F.col("s.end"))
+    return told.filter((F.col("s.kind") < 0) & ~touches).select("row", "s")
 
 
 def _may_be(kind: int, match: Column) -> Column:
@@ -165,29 +180,33 @@ def _edges(found: DataFrame) -> DataFrame:
     return each
 
 
-def _bootstrap(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+def _bootstrap(seeds: DataFrame, candidates: DataFrame, hold: Cuts) -> DataFrame:
     """Accepted candidates: ``row, start, end, kind``.
 
-    Both inputs have a row for each occurrence; candidates one for each kind
-    that their shape allows as well.
+    Both inputs have a row for each occurrence; candidates have ``kinds``, all
+    that their shape allows, instead of a kind.
     """
-    edges = cut(
+    open_kinds = candidates.withColumn("kind", F.explode("kinds")).drop("kinds")
+    edges = hold(
         seeds.select("pattern", "kind", "instance", F.lit(True).alias("seed"))
-        .union(candidates.select("pattern", "kind", "instance", F.lit(False)))
+        .union(open_kinds.select("pattern", "kind", "instance", F.lit(False)))
         .groupBy("pattern", "kind", "instance")
         .agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
         .withColumn("known", F.col("seed").cast("double"))
     )
-    # what a pattern occurs with, of whatever kind
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    for k in range(ROUNDS):
+    # what a pattern occurs with, of whatever kind, each occurrence once
+    totals = hold(seeds.select("pattern").union(candidates.select("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total")))
+    n_good = -1
+    while True:
         own = edges.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("known")).alias("hits"), F.count_if(F.col("known") > 0).alias("support"))
         patterns = own.join(totals, "pattern").select("pattern", "kind", "support", (F.col("hits") / (F.col("total") + PRIOR)).alias("score"))
-        good = cut(patterns.filter((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT)))
-        if k + 1 < ROUNDS:
-            instances = edges.join(good, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("best"))
-            edges = cut(edges.join(instances, ["instance", "kind"], "left").withColumn("known", F.greatest("known", F.coalesce("best", F.lit(0.0)))).drop("best"))
-    taken = candidates.join(good, ["pattern", "kind"]).groupBy("row", "start", "end").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
+        good = hold(patterns.filter((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT)))
+        n_before, n_good = n_good, good.count()
+        if n_good in (0, n_before):
+            break
+        instances = edges.join(good, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("best"))
+        edges = hold(edges.join(instances, ["instance", "kind"], "left").withColumn("known", F.greatest("known", F.coalesce("best", F.lit(0.0)))).drop("best"))
+    taken = open_kinds.join(good, ["pattern", "kind"]).groupBy("row", "start", "end").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
     return taken.select("row", "start", "end", (-F.col("b.col2")).alias("kind"))
 
 
@@ -195,13 +214,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per document: ``doc_id, n_email, n_ip, n_card, n_phone, base, spans``; counts are of base spans."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK, OTHER)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = cut(rows.select("row", "doc_id", "text", _base(F.col("text")).alias("base")).select("row", "doc_id", "base", _candidates(F.col("text"), F.col("base")).alias("loose")))
-    seeds = _edges(rows.select("row", F.explode("base").alias("s")))
-    loose = rows.select("row", F.explode("loose").alias("s"))
-    kinds = F.array(*[F.when(_may_be(k, F.col("s.match")), F.lit(k)) for k in range(len(KINDS))])
-    open_kinds = loose.withColumn("k", F.explode(F.filter(kinds, lambda k: k.isNotNull()))).withColumn("s", F.col("s").withField("kind", F.col("k"))).drop("k")
-    added = _bootstrap(seeds, _edges(open_kinds))
-    per_row = added.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))
+    rows = cut(rows.select("row", "doc_id", _base(F.col("text")).alias("base"), _candidates(F.col("text")).alias("loose")))
+    with Cuts(docs.sparkSession) as hold:
+        seeds = hold(_edges(rows.select("row", F.explode("base").alias("s"))))
+        kinds = F.array(*[F.when(_may_be(k, F.col("instance")), F.lit(k)) for k in range(len(KINDS))])
+        loose = hold(_edges(_free(rows)).withColumn("kinds", F.array_compact(kinds)).drop("kind"))
+        added = _bootstrap(seeds, loose, hold)
+        per_row = cut(added.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more")))
     plain = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
     all_spans = F.concat(plain, F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:int>>")))
     by_start = F.array_sort(all_spans, lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(a.kind - b.kind))
