@@ -75,7 +75,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
     found = scan_secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "unscanned")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "windowed")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
