@@ -18,11 +18,14 @@ what the job's result named, so a lost executor leaves at most unused files.
 
 Cases: null and empty texts hold the end id alone; null ids come first;
 repeated ids stand side by side in the order of their texts; an empty table
-gives a manifest of no rows. Other columns are not read.
+gives a manifest of no rows. Other columns are not read. Special tokens that
+stand in a text get their own ids, as the tokenizer does by itself. Where a
+tokenizer is not known to allow cutting texts into parts, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -63,6 +66,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _cuts_at_spaces(tokenizer: dict) -> bool:
+    """Whether texts may be cut into parts: that is known of byte-level pair encoding with its own pattern,
+    without a normalizer, and with special tokens that have no white space and take none in."""
+    before, model = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    model_plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    marked = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in tokenizer.get("added_tokens", []))
+    return bool(plain and model_plain and marked and not tokenizer.get("normalizer"))
+
+
 class Encoder(dict):
     """Ids of texts, each followed by the end id. As a dict it holds the ids of parts met lately.
 
@@ -76,7 +89,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.parted = _cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.end, self.dtype = end_id, np.dtype(dtype)
         self.code = self.dtype.char
@@ -132,6 +145,8 @@ class Encoder(dict):
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
+        if not self.parted:
+            return [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, self.end], self.dtype) for t in texts.to_pylist()]
         even = pc.invert(pc.match_substring_regex(texts, UNEVEN))
         out: list[np.ndarray] = [None] * len(texts)
         places = np.flatnonzero(np.asarray(even))
