@@ -20,14 +20,15 @@ def write_csv(df: DataFrame, path: str, formats: Mapping[str, str] | None = None
     (out.coalesce(1) if one_file else out).write.mode("overwrite").csv(path, header=True, sep=sep, nullValue="", emptyValue="")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; a number that is not finite is an error, raised by the task that meets it."""
+def write_json(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """JSON lines; a number that is not finite is an error, raised by the task that meets it. One file is for results of bounded size."""
     checked = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             x = F.col(f.name)
             checked[f.name] = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit(f"{f.name} is not finite"))).otherwise(x)
-    (df.withColumns(checked) if checked else df).write.mode("overwrite").json(path)
+    out = df.withColumns(checked) if checked else df
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").json(path)
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:

@@ -128,7 +128,10 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="not finite"):
         sinks.write_json(df, f"file://{tmp_path}/j")
     sinks.write_json(df.filter("id = 1"), f"file://{tmp_path}/k")
-    assert json.loads(next((tmp_path / "k").glob("part-*")).read_text())["v"] == 0.1
+    sinks.write_json(df.filter("id = 1").repartition(4), f"file://{tmp_path}/m", one_file=False)
+    for folder in ("k", "m"):
+        lines = [x for part in (tmp_path / folder).glob("part-*") for x in part.read_text().splitlines()]
+        assert [json.loads(x) for x in lines] == [{"id": 1, "v": 0.1}]
     assert sinks.markdown(df.filter("id = 1").select("id", "v")) == "| id | v |\n|---|---|\n| 1 | 0.1 |"
 
 
