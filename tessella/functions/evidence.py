@@ -77,3 +77,11 @@ def overclaims(df: DataFrame, key: str, text: str) -> DataFrame:
     c = df.select(key, F.explode(clauses(F.lower(text))).alias("c"))
     causal, hedged = F.col("c").rlike(_CAUSAL), F.col("c").rlike(_HEDGES)
     return c.groupBy(key).agg(F.count_if(causal & ~hedged).alias("overclaims"), F.count_if(causal & hedged).alias("disclaimers"))
+
+
+def interval_convention(text: Column) -> Column:
+    """How a text says that its intervals count: ``0-based half-open``, ``1-based inclusive``, ``mixed``, or null if it does not say."""
+    own = F.lower(text)
+    zero = own.rlike(r"\b(?:0|zero)[- ]based\b|\bhalf[- ]open\b|\bbed\b")
+    one = own.rlike(r"\b(?:1|one)[- ]based\b|\b(?:inclusive|closed)\b|\b(?:gtf|gff3?|vcf)\b")
+    return F.when(zero & one, "mixed").when(zero, "0-based half-open").when(one, "1-based inclusive")

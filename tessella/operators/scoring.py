@@ -67,3 +67,19 @@ def paired(df: DataFrame, by: str, order: str, step: str, opens: str, closes: st
     kinds = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(order, step))), lambda x: x[step]), lambda s: s.isin(opens, closes))
     state = lambda k: F.aggregate(k, F.lit(0), lambda a, s: F.when((a == 0) & (s == opens), 1).when((a == 1) & (s == closes), 0).otherwise(-1))
     return df.groupBy(by).agg(kinds.alias("_k")).select(by, (state(F.col("_k")) == 0).alias("ok"))
+
+
+def long_form(df: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
+    """A row for each score, in the order of ``parts``: ``key, i, part, score``."""
+    each = F.posexplode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).cast("double").alias("score")) for p in parts])).alias("i", "x")
+    return df.select(key, each).select(key, "i", "x.part", "x.score")
+
+
+def merge_back(table: DataFrame, scores: DataFrame, key: str, cells: Sequence[str], score: str) -> DataFrame:
+    """Add to each row the score whose ``key`` is in the first of ``cells`` that matches any; null if none does."""
+    out = table
+    for i, cell in enumerate(cells):
+        own = scores.select(F.col(key).alias(f"_k{i}"), F.col(score).alias(f"_s{i}")).dropDuplicates([f"_k{i}"])
+        out = out.join(own, F.col(cell) == F.col(f"_k{i}"), "left")
+    matched = F.coalesce(*[F.when(F.col(f"_k{i}").isNotNull(), F.struct(F.lit(c).alias("cell"), F.col(f"_s{i}").alias("s"))) for i, c in enumerate(cells)])
+    return out.withColumns({"matched_cell": matched["cell"], score: matched["s"]}).select(*table.columns, "matched_cell", score)

@@ -7,7 +7,8 @@ problem comes in many groups, each group is solved in its own task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import permutations
 from math import erfc, exp, lgamma, log, pi, sqrt
 
 import numpy as np
@@ -78,8 +79,31 @@ def assignment(weights: DataFrame, row: str, col: str, weight: str, by: Sequence
     return kept.groupBy(*by).applyInPandas(solve, kept.schema)
 
 
+def permutation_audit(weights: np.ndarray) -> tuple[float, float]:
+    """The largest and second largest total over all permutations of a small square matrix, by trying all."""
+    n = len(weights)
+    if n > 9:
+        raise ValueError("at most 9 rows")
+    best = sorted((float(weights[range(n), list(p)].sum()) for p in permutations(range(n))), reverse=True)
+    return best[0], best[1] if len(best) > 1 else best[0]
+
+
+def fixed_pair_totals(weights: np.ndarray, row: int) -> np.ndarray:
+    """The largest total with ``row`` held to each column in turn."""
+    n, m = weights.shape
+    out = np.empty(m)
+    for c in range(m):
+        rest = np.delete(np.delete(weights, row, 0), c, 1)
+        own = best_assignment(rest) if n > 1 else np.empty(0, int)
+        out[c] = weights[row, c] + (rest[range(n - 1), own].sum() if n > 1 else 0.0)
+    return out
+
+
 # ------------------------------------------------------------------ mixtures
 
+#: Cells of a table of profiles that is sent to the tasks.
+MOST_CELLS = 20_000_000
+
 
 def nonnegative_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least squares of ``a x = b`` with no x below 0, by an active set."""
@@ -109,7 +133,7 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def multinomial_mixture(profiles: np.ndarray, counts: np.ndarray, rounds: int = 500) -> np.ndarray:
+def multinomial_mixture(profiles: np.ndarray, counts: np.ndarray, rounds: int = 5000) -> np.ndarray:
     """Weights of profiles (columns that sum to 1) that make counts likeliest, by expectation and maximisation."""
     w = np.full(profiles.shape[1], 1 / profiles.shape[1])
     for _ in range(rounds):
@@ -129,9 +153,12 @@ def multinomial_mixture(profiles: np.ndarray, counts: np.ndarray, rounds: int =
 def unmix(spots: DataFrame, profiles: DataFrame, spot: str, feature: str, value: str, kind: str, method: str = "nnls") -> DataFrame:
     """Weights of each kind in each spot: ``spot, kind, weight``, summing to 1.
 
-    ``profiles`` is a table of kinds by features that fits in memory; it goes
-    to the tasks as one matrix, and each spot is solved in its group.
+    ``profiles`` is a table of kinds by features of at most ``MOST_CELLS`` cells;
+    it goes to the tasks as one matrix, and each spot is solved in its group.
     """
+    n_features, n_kinds = profiles.agg(F.countDistinct(feature), F.countDistinct(kind)).head()
+    if n_features * n_kinds > MOST_CELLS:
+        raise ValueError(f"profiles have {n_features} x {n_kinds} cells; the bound is {MOST_CELLS}")
     table = profiles.groupBy(feature).pivot(kind).agg(F.first(value)).na.fill(0.0).toPandas().set_index(feature).sort_index()
     matrix, kinds, place = table.to_numpy(float), list(table.columns), {f: i for i, f in enumerate(table.index)}
 
@@ -160,17 +187,32 @@ def logistic(df: DataFrame, y: str, x: Sequence[str], rounds: int = 25) -> DataF
     rows = df.select(F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in x]).na.drop()
     beta = np.zeros(k)
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, h = np.zeros(k), np.zeros((k, k))
-        for b in batches:
-            m = np.column_stack([np.ones(len(b)), b[list(x)].to_numpy(float)])
-            p = 1 / (1 + np.exp(-np.clip(m @ beta, -500, 500)))
-            g += m.T @ (b["_y"].to_numpy() - p)
-            h += m.T @ (m * (p * (1 - p))[:, None])
-        yield pd.DataFrame({"i": range(k + k * k), "v": np.concatenate([g, h.ravel()])})
+    def parts(beta: np.ndarray) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g, h = np.zeros(k), np.zeros((k, k))
+            for b in batches:
+                m = np.column_stack([np.ones(len(b)), b[list(x)].to_numpy(float)])
+                p = 1 / (1 + np.exp(-np.clip(m @ beta, -500, 500)))
+                g += m.T @ (b["_y"].to_numpy() - p)
+                h += m.T @ (m * (p * (1 - p))[:, None])
+            yield pd.DataFrame({"i": range(k + k * k), "v": np.concatenate([g, h.ravel()])})
+
+        return run
+
+    rows = rows.persist()  # every round reads them
+    try:
+        beta, h = _newton(rows, parts, beta, k, rounds)
+    finally:
+        rows.unpersist()
+    se = np.sqrt(np.diag(np.linalg.inv(h)))
+    out = [("(intercept)" if i == 0 else x[i - 1], float(b), float(s), float(b / s), erfc(abs(b / s) / sqrt(2)), float(np.exp(b))) for i, (b, s) in enumerate(zip(beta, se, strict=True))]
+    return df.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, z double, p_value double, odds_ratio double")
 
+
+def _newton(rows: DataFrame, parts: Callable, beta: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and information matrix where the steps have ended; an error if they do not."""
     for _ in range(rounds):
-        sums = rows.mapInPandas(parts, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+        sums = rows.mapInPandas(parts(beta), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
         if not len(sums):
             raise ValueError("no complete rows")
         g, h = sums[:k], sums[k:].reshape(k, k)
@@ -178,11 +220,17 @@ def logistic(df: DataFrame, y: str, x: Sequence[str], rounds: int = 25) -> DataF
             raise ValueError("the design is not of full rank")
         step = np.linalg.solve(h, g)
         beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    se = np.sqrt(np.diag(np.linalg.inv(h)))
-    out = [("(intercept)" if i == 0 else x[i - 1], float(b), float(s), float(b / s), erfc(abs(b / s) / sqrt(2)), float(np.exp(b))) for i, (b, s) in enumerate(zip(beta, se, strict=True))]
-    return df.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, z double, p_value double, odds_ratio double")
+        if np.abs(step).max() < 1e-10 * max(1.0, np.abs(beta).max()):
+            return beta, h
+    raise ValueError(f"no convergence in {rounds} rounds")
+
+
+def design_rank(df: DataFrame, columns: Sequence[str]) -> int:
+    """Rank of a design with an intercept, from sums of products; columns are scaled first."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop().withColumn("_one", F.lit(1.0))
+    g = gram(rows, ["_one", *columns])
+    scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
+    return int(np.linalg.matrix_rank(g * scale[:, None] * scale, tol=1e-9))
 
 
 def gram(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -248,6 +296,20 @@ def hypergeometric(df: DataFrame, k: str, drawn: str, marked: str, total: str) -
     return df.withColumn("p", tail(k, drawn, marked, total))
 
 
+def binomial(df: DataFrame, k: str, n: str, p: float, side: str = "greater", name: str = "p") -> DataFrame:
+    """Add the tail of a binomial with success probability ``p`` to each row; equal pairs are computed once in a batch."""
+
+    @F.pandas_udf("double")
+    def tail(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[tuple[int, int], float] = {}
+        for x in zip(a, b, strict=True):
+            if x not in known:
+                known[x] = binomial_tail(int(x[0]), int(x[1]), p, side)
+        return pd.Series([known[x] for x in zip(a, b, strict=True)], dtype=float)
+
+    return df.withColumn(name, tail(k, n))
+
+
 def t_quantile_normal_start(p: float) -> float:
     """A normal quantile by bisection."""
     low, high = -40.0, 40.0

@@ -11,8 +11,31 @@ from pyspark.sql import functions as F
 MAD_SCALE = 1.4826
 
 
+def global_median(df: DataFrame, value: str, spread: float = 1e-3) -> float | None:
+    """The exact median of all rows, without one task that holds all different values.
+
+    A sketch bounds it within ``spread`` of the ranks on both sides; only rows
+    within these bounds are sorted, by ranges.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(x.alias("x")).filter("x IS NOT NULL")
+    low, high, n = rows.agg(F.percentile_approx("x", 0.5 - spread, 100_000), F.percentile_approx("x", 0.5 + spread, 100_000), F.count("x")).head()
+    if not n:
+        return None
+    # a little beyond the values themselves, so that no rounding of a recomputed value crosses a bound
+    low, high = low - 1e-9 * abs(low) - 1e-12, high + 1e-9 * abs(high) + 1e-12
+    below = rows.filter(F.col("x") < low).count()
+    middle = rows.filter(F.col("x").between(low, high)).orderBy("x").offset((n - 1) // 2 - below).limit(2 - n % 2).collect()
+    return sum(r.x for r in middle) / len(middle)
+
+
 def mad(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median and scaled median absolute deviation of each group."""
+    if not by:
+        middle = global_median(df, value)
+        spread = None if middle is None else global_median(df.select(F.abs(F.col(value) - middle).alias("_apart")), "_apart")
+        one = [(middle, None if spread is None else spread * MAD_SCALE)]
+        return df.sparkSession.createDataFrame(one, "median double, mad double")
     centre = df.groupBy(*by).agg(F.median(value).alias("median"))
     joined = df.join(centre, list(by)) if by else df.crossJoin(F.broadcast(centre))  # one row
     return joined.groupBy(*by, "median").agg((F.median(F.abs(F.col(value) - F.col("median"))) * MAD_SCALE).alias("mad"))
@@ -184,3 +207,119 @@ def thresholds(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     """Rows at or below each of several thresholds, in one pass."""
     each = F.array(*[F.struct(F.lit(float(c)).alias("cut"), (F.col(value) <= c).alias("hit")) for c in cuts])
     return df.select(F.explode(each).alias("c")).groupBy("c.cut").agg(F.count_if("c.hit").alias("hits"), F.count(F.lit(1)).alias("n")).withColumn("share", F.col("hits") / F.col("n"))
+
+
+def fold_change(df: DataFrame, by: Sequence[str], group: str, first: object, second: object, value: str, pseudo: float = 1.0) -> DataFrame:
+    """Means of two groups, their ratio and its binary logarithm, with a pseudocount; null if a group is empty."""
+    a, b = (F.avg(F.when(F.col(group) == g, F.col(value))) for g in (first, second))
+    means = df.groupBy(*by).agg(a.alias("mean_first"), b.alias("mean_second"))
+    ratio = (F.col("mean_first") + pseudo) / (F.col("mean_second") + pseudo)
+    return means.withColumn("fold_change", ratio).withColumn("log2_fold_change", F.log2(ratio))
+
+
+def negative_binomial_wald(counts: DataFrame, gene: str, sample: str, value: str, groups: DataFrame, group: str, first: object, second: object) -> DataFrame:
+    """Differential expression between two groups of samples, for each gene.
+
+    Counts are divided by median-of-ratios size factors. The dispersion is that
+    of moments, pooled over the groups; the test is Wald's on the log ratio of
+    the group means with negative binomial weights. A gene without counts in a
+    group has nulls. Missing entries are zeros.
+    """
+    factors = size_factors(counts, gene, sample, value)
+    design = groups.filter(F.col(group).isin(first, second)).select(sample, (F.col(group) == first).alias("_first")).join(factors, sample)
+    cells = counts.select(gene).distinct().join(design)  # every gene meets the samples, which are few
+    full = cells.join(counts.select(gene, sample, F.col(value).cast("double").alias("_v")), [gene, sample], "left").withColumn("_k", F.coalesce("_v", F.lit(0.0)) / F.col("size_factor"))
+    own = full.groupBy(gene, "_first").agg(F.avg("_k").alias("_m"), F.var_samp("_k").alias("_s2"), F.count(F.lit(1)).alias("_n"), F.collect_list("size_factor").alias("_f"), F.avg(1 / F.col("size_factor")).alias("_inv"))
+    # a mean's variance is m / f + a m^2, so a follows from both
+    own = own.withColumn("_a", F.when(F.col("_m") > 0, (F.col("_s2") - F.col("_m") * F.col("_inv")) / (F.col("_m") * F.col("_m"))))
+    side = lambda flag, c: F.max(F.when(F.col("_first") == flag, F.col(c)))
+    wide = own.groupBy(gene).agg(*[side(flag, c).alias(f"{c}{k}") for k, flag in enumerate((True, False)) for c in ("_m", "_n", "_f")], (F.sum(F.col("_a") * (F.col("_n") - 1)) / F.sum(F.when(F.col("_a").isNotNull(), F.col("_n") - 1))).alias("_alpha"))
+    alpha = F.greatest(F.lit(1e-8), F.coalesce("_alpha", F.lit(0.0)))
+    weight = lambda k: F.aggregate(f"_f{k}", F.lit(0.0), lambda total, f: total + F.col(f"_m{k}") * f / (1 + F.col("dispersion") * F.col(f"_m{k}") * f))
+    out = wide.withColumn("dispersion", alpha).withColumns({"_w0": weight(0), "_w1": weight(1)})
+    both = (F.col("_m0") > 0) & (F.col("_m1") > 0)
+    log = F.when(both, F.ln(F.col("_m0") / F.col("_m1")))
+    se = F.when(both, F.sqrt(1 / F.col("_w0") + 1 / F.col("_w1")))
+    return out.select(gene, ((F.col("_m0") * F.col("_n0") + F.col("_m1") * F.col("_n1")) / (F.col("_n0") + F.col("_n1"))).alias("base_mean"), "dispersion", (log / F.ln(F.lit(2.0))).alias("log2_fold_change"), (log / se).alias("wald"))
+
+
+def conditional(df: DataFrame, given: Sequence[str], event: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Share of each event among the rows (or the sums of ``weight``) of what is given, from pooled sums."""
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    pooled = df.groupBy(*given, *event).agg(amount.alias("joint"))
+    return pooled.withColumn("probability", share_of("joint", given))
+
+
+def vote_share(df: DataFrame, unit: str, feature: str, candidate: str, score: str) -> DataFrame:
+    """Each feature votes for its unit's candidate of the highest score, the first by name of equals: votes and their share."""
+    order = Window.partitionBy(unit, feature).orderBy(F.desc(score), candidate)
+    won = df.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return won.groupBy(unit, candidate).agg(F.count(F.lit(1)).alias("votes")).withColumn("share", share_of("votes", [unit]))
+
+
+def cell_quality(counts: DataFrame, cell: str, gene: str, value: str, marked: Column) -> DataFrame:
+    """Library size, detected genes and the share of ``marked`` genes (such as mitochondrial ones) of each cell."""
+    own = F.sum(F.when(marked, F.col(value)).otherwise(0))
+    return counts.groupBy(cell).agg(F.sum(value).alias("library"), F.countDistinct(F.when(F.col(value) > 0, F.col(gene))).alias("detected"), F.try_divide(own, F.sum(value)).alias("marked_share"))
+
+
+def split_half(df: DataFrame, group: str, half: str, feature: str, value: str) -> DataFrame:
+    """Correlation of each group's mean profile in one half (``half`` is 0) with every group's in the other: ``a, b, r``.
+
+    A group that is told apart matches itself best; shuffled halves give the
+    null to compare with.
+    """
+    means = df.groupBy(group, half, feature).agg(F.avg(value).alias("_m"))
+    a = means.filter(F.col(half) == 0).select(F.col(group).alias("a"), feature, F.col("_m").alias("x"))
+    b = means.filter(F.col(half) == 1).select(F.col(group).alias("b"), feature, F.col("_m").alias("y"))
+    return a.join(b, feature).groupBy("a", "b").agg(pearson("x", "y").alias("r"))
+
+
+def winner_counts(df: DataFrame, candidate: str, feature: str, score: str, rounds: int) -> DataFrame:
+    """How often each candidate has the highest sum of scores when features are drawn with replacement.
+
+    A feature's number of draws in a round comes from a digest of both, in
+    shares near those of a Poisson variable of mean one: so nothing is collected, and
+    each run gives the same.
+    """
+    digit = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("round").cast("string"), F.col(feature).cast("string"))), 1, 1), 16, 10).cast("int")
+    drawn = F.when(digit < 6, 0).when(digit < 12, 1).when(digit < 15, 2).otherwise(3)
+    each = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_w", drawn)
+    sums = each.groupBy("round", candidate).agg(F.sum(F.col("_w") * F.col(score)).alias("_s"))
+    won = sums.withColumn("_n", F.row_number().over(Window.partitionBy("round").orderBy(F.desc("_s"), candidate))).filter("_n = 1")
+    return won.groupBy(candidate).agg(F.count(F.lit(1)).alias("wins"))
+
+
+def pearson_without(df: DataFrame, by: Sequence[str], feature: str, x: str, y: str) -> DataFrame:
+    """Correlation of each group with one feature left out at a time, from sums less the feature's own."""
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    own = moments(df, [*by, feature], x, y)
+    total = moments(df, by, x, y).select(*by, *[F.col(c).alias(f"_{c}") for c in names])
+    joined = own.join(total, list(by)) if by else own.crossJoin(F.broadcast(total))  # one row
+    left = joined.select(*by, feature, *[(F.col(f"_{c}") - F.col(c)).alias(c) for c in names])
+    return left.select(*by, feature, pearson_of_moments().alias("r"))
+
+
+def within_effect(df: DataFrame, y: str, group: str, covariate: str) -> DataFrame:
+    """Effect of a 0/1 group on ``y`` beside one level of the covariate for each of its values: least squares of what differs from the level's means."""
+    w = Window.partitionBy(covariate)
+    apart = df.select((F.col(y) - F.avg(y).over(w)).alias("_y"), (F.col(group) - F.avg(group).over(w)).alias("_g"))
+    return apart.agg(F.try_divide(F.sum(F.col("_y") * F.col("_g")), F.sum(F.col("_g") * F.col("_g"))).alias("effect"), F.count(F.lit(1)).alias("n"))
+
+
+def k_means(df: DataFrame, key: str, features: Sequence[str], centres: Sequence[Sequence[float]], rounds: int) -> DataFrame:
+    """Lloyd's iterations from given centres: ``key, cluster``; the first of equally near centres.
+
+    Centres are few and go with the plan; each round is one grouped
+    aggregation, and a cluster that loses all its rows keeps its centre.
+    """
+    def nearest(at: Sequence[Sequence[float]]) -> Column:
+        far = [sum(((F.col(f) - float(c)) ** 2 for f, c in zip(features[1:], centre[1:], strict=True)), (F.col(features[0]) - float(centre[0])) ** 2) for centre in at]
+        return F.array_position(F.array(*far), F.least(*far) if len(far) > 1 else far[0]).cast("int") - 1
+
+    at = [list(map(float, c)) for c in centres]
+    for _ in range(rounds):
+        found = df.groupBy(nearest(at).alias("_c")).agg(*[F.avg(f).alias(f) for f in features]).collect()  # a row for each centre
+        for r in found:
+            at[r["_c"]] = [r[f] for f in features]
+    return df.select(key, nearest(at).alias("cluster"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,6 +92,16 @@ def last_leaves(leaves: DataFrame) -> DataFrame:
     return leaves.filter("name <> '!'").groupBy("key", "name").agg(F.max_by("value", "path").alias("value"))
 
 
+def labelled_after(features: DataFrame, labels: DataFrame, key: str, label: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scores made without labels, then joined with them: ``score`` never sees the table of labels.
+
+    A label that is among the features is an error.
+    """
+    if label in features.columns:
+        raise ValueError(f"{label} is among the features")
+    return score(features).join(labels.select(key, label), key)
+
+
 _FACTS = "syntax_ok boolean, calls array<string>, strings array<string>, numbers array<double>, absolute_paths array<string>, tainted array<string>"
 
 

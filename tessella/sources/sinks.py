@@ -14,9 +14,15 @@ def formatted(df: DataFrame, formats: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))) for c, f in formats.items()})
 
 
-def write_csv(df: DataFrame, path: str, formats: Mapping[str, str] | None = None, sep: str = ",", one_file: bool = True) -> None:
-    """CSV with a header, columns in order, nulls as empty fields. One file is for results of bounded size."""
+def write_csv(df: DataFrame, path: str, formats: Mapping[str, str] | None = None, sep: str = ",", one_file: bool = True, bom: bool = False) -> None:
+    """CSV with a header, columns in order, nulls as empty fields. One file is for results of bounded size.
+
+    With ``bom`` the header begins with a byte order mark, which some programs
+    need to read UTF-8.
+    """
     out = formatted(df, formats or {})
+    if bom:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
     (out.coalesce(1) if one_file else out).write.mode("overwrite").csv(path, header=True, sep=sep, nullValue="", emptyValue="")
 
 
@@ -39,10 +45,10 @@ def markdown(df: DataFrame, most: int = 200) -> str:
 
 
 def write_twins(df: DataFrame, csv_path: str, json_path: str) -> None:
-    """The same rows as CSV and as JSON, computed once."""
+    """The same rows as CSV with a byte order mark and as JSON, computed once."""
     kept = df.persist()
     try:
-        write_csv(kept, csv_path)
+        write_csv(kept, csv_path, bom=True)
         write_json(kept, json_path)
     finally:
         kept.unpersist()
