@@ -34,7 +34,9 @@ entries like others; an empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log, log2
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +47,9 @@ SKETCH = 1 << 14
 THRESHOLD = 0.8
 #: Sets of more words have a bitmap of half their words, too, as 64 bits tell long lines apart less well:
 #: with it the bitmap of all words falls into two, and the differences of both halves add up.
-WIDE = 50
+WIDE = 80
 #: How many of their rarest words let entries meet the earliest one first, and how many entries of a word do so.
-STAR, CROWD = 6, 64
+STAR, CROWD = 5, 64
 #: No place of a prefix is that high.
 CROSSED = 1 << 29
 _KEY = ["doc_id", "h"]
@@ -59,7 +61,8 @@ def _bucket(hashed: Column) -> Column:
 
 def _split(text: Column) -> Column:
     """Words, perhaps with empty strings between them; splitting at one plain character is Java's fast path."""
-    return F.when(text.rlike(r"[\x09-\x0D]"), F.split(text, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(text, " ", -1))
+    other = reduce(or_, [text.contains(c) for c in "\t\n\x0b\x0c\r"])
+    return F.when(other, F.split(text, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(text, " ", -1))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -102,14 +105,15 @@ def _unlike(a: str, b: str) -> Column:
 
 def _stars(entries: DataFrame, threshold: float, hold: Cuts) -> DataFrame:
     """Pairs ``x, y`` of an entry ``y`` and the earliest one, ``x``, with which it shares one of its ``STAR`` rarest words, where ``CROWD`` entries do."""
-    words = entries.select("id", F.explode(F.slice("prefix", 1, STAR)).alias("word"))
-    centres = hold(words.groupBy("word").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("members")).filter(F.col("members") >= CROWD).select("word", "x"))
-    pairs = words.join(centres, "word").filter("id != x").select("x", F.col("id").alias("y")).distinct()
+    columns = ["n", "parity", "half"]
+    words = entries.select("id", *columns, F.explode(F.slice("prefix", 1, STAR)).alias("word"))
+    crowds = hold(words.groupBy("word").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("members")).filter(F.col("members") >= CROWD).select("word", "x"))
+    centres = hold(crowds.join(entries.select(F.col("id").alias("x"), *columns), "x"))
     share = threshold / (1 + threshold)
     a_n, b_n = F.col("a.n"), F.col("b.n")
     alike = (F.least(a_n, b_n) >= F.greatest(a_n, b_n) * threshold - 1e-9) & (a_n + b_n - _unlike("a", "b") >= 2 * _least(a_n + b_n, share))
-    sides = [entries.select(F.col("id").alias(f"{c}_id"), "n", "parity", "half").alias(c) for c in "ab"]
-    return pairs.join(sides[0], F.col("x") == F.col("a_id")).join(sides[1], (F.col("y") == F.col("b_id")) & alike).select("x", "y")
+    joined = words.alias("b").join(centres.alias("a"), (F.col("a.word") == F.col("b.word")) & (F.col("a.x") != F.col("b.id")) & alike)
+    return joined.select("a.x", F.col("b.id").alias("y")).distinct()
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +175,8 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
             return pairs.select(F.col("y").alias("id"))
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
         wanted = hold(entries.join(ids, "id").select("id", "first"))
-        again = split.filter(among(place, wanted.select("first.*"))).select(F.struct(*place).alias("first"), "words").join(wanted, "first")
+        texts = own.filter(among(_KEY, wanted.select("first.*")))
+        again = texts.select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "words")).filter(among(place, wanted.select("first.*"))).select(F.struct(*place).alias("first"), "words").join(wanted, "first")
         sets = hold(again.select("id", _tokens(F.col("words"), rarity).alias("t")).dropDuplicates(["id"]))
         x, y = (sets.select(F.col("id").alias(c), F.col("t").alias(f"{c}_t")) for c in "xy")
         common = F.size(F.array_intersect("x_t", "y_t"))
