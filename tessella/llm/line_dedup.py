@@ -170,7 +170,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
 
     def near(pairs: DataFrame, entries: DataFrame, hold: Cuts) -> DataFrame:
         """Ids of the later ones of the pairs that are similar; their words are read again."""
-        pairs = hold(pairs)
+        pairs = hold(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         if pairs.isEmpty():
             return pairs.select(F.col("y").alias("id"))
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
@@ -180,10 +180,14 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
         sets = hold(again.select("id", _tokens(F.col("words"), rarity).alias("t")).dropDuplicates(["id"]))
         x, y = (sets.select(F.col("id").alias(c), F.col("t").alias(f"{c}_t")) for c in "xy")
         common = F.size(F.array_intersect("x_t", "y_t"))
-        similar = pairs.join(x, "x").join(y, "y").filter(common >= (F.size("x_t") + F.size("y_t") - common) * threshold - 1e-9)
-        found = hold(similar.select(F.greatest("x", "y").alias("id")).distinct())
-        hold.drop(pairs, wanted, sets)
-        return found
+        similar = lambda some: some.join(x, "x").join(y, "y").filter(common >= (F.size("x_t") + F.size("y_t") - common) * threshold - 1e-9).select(F.col("y").alias("id"))
+        # one earlier entry is enough: each entry is compared with the earliest first, and with the others only if that one is not near
+        first = hold(pairs.groupBy("y").agg(F.min("x").alias("x")))
+        found = hold(similar(first))
+        open_ = first.join(found, F.col("y") == F.col("id"), "left_anti").select("y", F.col("x").alias("tried"))
+        rest = hold(similar(pairs.join(open_, "y").filter("x > tried").select("x", "y")).distinct())
+        hold.drop(pairs, wanted, sets, first)
+        return found.union(rest)
 
     with Cuts(docs.sparkSession) as hold:
         found = hold(grouped)
