@@ -52,6 +52,8 @@ WIDE = 80
 STAR, CROWD = 5, 64
 #: No place of a prefix is that high.
 CROSSED = 1 << 29
+#: The join on prefix words is made in so many parts of the words, one after the other, so that only one part's rows are on disk.
+PARTS = 2
 _KEY = ["doc_id", "h"]
 
 
@@ -116,7 +118,7 @@ def _stars(entries: DataFrame, threshold: float, hold: Cuts) -> DataFrame:
     return joined.select("a.x", F.col("b.id").alias("y")).distinct()
 
 
-def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
+def _candidates(entries: DataFrame, threshold: float, hold: Cuts) -> DataFrame:
     """Pairs ``x, y`` of the ids of sets that may be similar; ``entries`` has ``id, n, parity, half, prefix, near``.
 
     If the later of two entries, that of the greater id, is known to be near an earlier one, they make no pair, as nothing follows from it.
@@ -129,27 +131,27 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     # the next class has CROSSED added to its place, so that it is never taken for a larger one.
     crosses = (at <= n - _least(n, 2 * share)) & (class_of(F.floor(n / threshold + 1e-9)) > class_of(n))
     up = F.explode(F.when(crosses, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("up")
-    rows = places.select("*", up).select(
+    rows = lambda part: places.filter(F.pmod("word", F.lit(PARTS)) == part).select("*", up).select(
         F.shiftleft(F.col("word").cast("long"), 20).bitwiseOR(class_of(n) + F.col("up")).alias("word"),
         "id",
         F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(F.col("near").cast("long"), 31)).bitwiseOR((at + F.col("up") * CROSSED).cast("long")).alias("told"),
         "parity",
         "half",
     )
-    part = lambda side, shift, mask: F.shiftrightunsigned(f"{side}.told", shift).bitwiseAND(F.lit(mask).cast("long")).cast("int")
-    a_n, b_n = part("a", 32, 0x7FFFFFFF), part("b", 32, 0x7FFFFFFF)
-    a_at, b_at = part("a", 0, CROSSED - 1), part("b", 0, 2 * CROSSED - 1)
+    told = lambda side, shift, mask: F.shiftrightunsigned(f"{side}.told", shift).bitwiseAND(F.lit(mask).cast("long")).cast("int")
+    a_n, b_n = told("a", 32, 0x7FFFFFFF), told("b", 32, 0x7FFFFFFF)
+    a_at, b_at = told("a", 0, CROSSED - 1), told("b", 0, 2 * CROSSED - 1)
     needed = _least(a_n + b_n, share)
     possible = F.least(a_n - a_at, b_n - b_at)
     # The index prefix is of the smaller set. Conditions are on both sides, so that these read one shuffle.
     indexed = a_at <= F.least(a_n, b_n) - _least(F.least(a_n, b_n), 2 * share)
-    later_near = F.when(F.col("a.id") < F.col("b.id"), part("b", 31, 1)).otherwise(part("a", 31, 1)) == 1
-    joined = rows.alias("a").join(
-        rows.alias("b"),
+    later_near = F.when(F.col("a.id") < F.col("b.id"), told("b", 31, 1)).otherwise(told("a", 31, 1)) == 1
+    met = (
         (F.col("a.word") == F.col("b.word")) & (a_n <= b_n) & (a_n >= b_n * threshold - 1e-9) & ((a_n < b_n) | (F.col("a.id") < F.col("b.id")))
-        & indexed & ~later_near & (possible >= needed) & (a_n + b_n - _unlike("a", "b") >= 2 * needed),
+        & indexed & ~later_near & (possible >= needed) & (a_n + b_n - _unlike("a", "b") >= 2 * needed)
     )
-    return joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    found = [hold(rows(k).alias("a").join(rows(k).alias("b"), met).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()) for k in range(PARTS)]
+    return reduce(DataFrame.union, found)
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +199,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
         comparable = entries.filter(F.size("prefix") > 0)
         known = near(_stars(comparable, threshold, hold), entries, hold)
         marked = comparable.join(known.withColumn("near", F.lit(True)), "id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-        gone = known.union(near(_candidates(marked, threshold), entries, hold)).distinct()
+        gone = known.union(near(_candidates(marked, threshold, hold), entries, hold)).distinct()
         # what stays is the first line of each set that is not near an earlier one
         stay = cut(entries.join(gone, "id", "left_anti").select("first.*").groupBy(*_KEY).agg(F.collect_list("line").alias("stay")))
     worded = F.transform(F.split("text", "\n", -1), lambda line, k: F.when(line.rlike(r"[^\x20\x09-\x0D]"), k))
