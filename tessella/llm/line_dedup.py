@@ -79,9 +79,10 @@ def _rarity(docs: DataFrame) -> Column:
 
 def _tokens(line: Column, rarity: Column) -> Column:
     """A line's different words as numbers, rarest first: rank in the top bits, word hash below."""
-    # no value is null, and Spark is told so, as it sorts such numbers without boxing them
-    number = lambda w: F.coalesce(F.get(rarity, _bucket(F.xxhash64(w))), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 12))
-    return F.sort_array(F.array_distinct(F.array_remove(F.transform(_split(line), number), number(F.lit("")))))
+    # no value is null, and Spark is told so, as it sorts such numbers without boxing them; each word is hashed once
+    number = lambda h: F.coalesce(F.get(rarity, _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 12))
+    hashes = F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_distinct(F.transform(hashes, number)))
 
 
 def _parity(tokens: str | Column) -> Column:
