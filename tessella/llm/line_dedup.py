@@ -62,8 +62,8 @@ def _bucket(hashed: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
-    """Words, perhaps with empty strings between them; splitting at one plain character is Java's fast path."""
-    other = reduce(or_, [text.contains(c) for c in "\t\n\x0b\x0c\r"])
+    """Words of a text without line feeds, perhaps with empty strings between them; splitting at one plain character is Java's fast path."""
+    other = reduce(or_, [text.contains(c) for c in "\t\x0b\x0c\r"])
     return F.when(other, F.split(text, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(text, " ", -1))
 
 
@@ -203,7 +203,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
         gone = known.union(near(_candidates(marked, threshold, hold), entries, hold)).distinct()
         # what stays is the first line of each set that is not near an earlier one
         stay = cut(entries.join(gone, "id", "left_anti").select("first.*").groupBy(*_KEY).agg(F.collect_list("line").alias("stay")))
-    worded = F.transform(F.split("text", "\n", -1), lambda line, k: F.when(line.rlike(r"[^\x20\x09-\x0D]"), k))
+    worded = F.transform(F.split("text", "\n", -1), lambda line, k: F.when(F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != "", k))
     counted = own.select(*_KEY, worded.alias("worded")).select(*_KEY, F.size("worded").cast("long").alias("n_lines"), F.array_compact("worded").alias("worded")).dropDuplicates(_KEY)
     joined = counted.alias("c").join(stay.alias("s"), F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.h") == F.col("s.h")), "left")
     removed = F.array_except("worded", F.coalesce("stay", F.array().cast("array<int>")))
