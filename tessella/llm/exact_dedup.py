@@ -1,9 +1,11 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
 Every input partition makes a run: its texts' digests in order, each with the
-smallest id and the number of its rows. Runs then meet in rounds. A run sits in
-a slot, a number of a few octal digits that starts as its partition's number;
-there are as many digits, and rounds, as the number of partitions asks for. In
+smallest id and the number of its rows. The rows are a written table that can be
+read back in any splits, so a partition's run can come in pieces; they are merged
+first. Runs then meet in rounds. A run sits in a slot, a number of a few octal
+digits that starts as its partition's number; there are as many digits, and
+rounds, as the number of partitions asks for. In
 round ``r`` digit ``r`` of the slot gives way to digit ``r`` of the digest, so
 eight slots that differ in that digit alone exchange parts of their runs. Runs
 travel as sorted chunks. A slot takes its chunks by their first digest and
@@ -163,28 +165,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(spark)
     text = normalised(F.col(text_col).cast("string"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = cut(rows.select("doc_id", _key("text").alias("key"), F.spark_partition_id().alias("slot")))
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.max("slot")).head()[0] or 0) + 1)
-    digits = 1
-    while 8**digits < partitions:
-        digits += 1
-    rounds = [*range(digits), None]
     with Cuts(spark) as hold:
-        # without a shuffle: each partition sorts its own rows
-        runs = [hold(rows.select("slot", "key", "doc_id").sortWithinPartitions("slot", "key").mapInArrow(_runs(0), _CHUNK))]
-        for digit in rounds[1:]:
+        rows = hold(rows.select("doc_id", _key("text").alias("key"), F.spark_partition_id().alias("slot")))
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.max("slot")).head()[0] or 0) + 1)
+        digits = 1
+        while 8**digits < partitions:
+            digits += 1
+        # without a shuffle: each split sorts its own rows; the pieces of a slot stay in it
+        pieces = hold(rows.select("slot", "key", "doc_id").sortWithinPartitions("slot", "key").mapInArrow(_runs(None), _CHUNK))
+        runs = [pieces]
+        for digit in [*range(digits), None]:
             dealt = runs[-1].select(F.col("met").alias("slot"), "first", "keys", "low", "n").repartition("slot").sortWithinPartitions("slot", "first")
             runs.append(hold(dealt.mapInArrow(_merge(digit), _CHUNK)))
+        hold.drop(pieces)
         final = runs.pop().mapInArrow(_entries, _ENTRY).select("slot", "key", "low", "n")
-        for chunks in reversed(runs):
+        for chunks in reversed(runs[1:]):  # of which each has a key once in a slot
             own = chunks.mapInArrow(_entries, _ENTRY).select("slot", "met", "key")
             final = own.join(final.withColumnRenamed("slot", "met"), ["met", "key"]).select("slot", "key", "low", "n")
-        final = cut(final)
-    out = rows.join(final, ["slot", "key"])
-    return out.select(
-        "doc_id",
-        F.col("low").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("low")).alias("kept"),
-        F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"),
-    )
+        final = hold(final)
+        out = rows.join(final, ["slot", "key"])
+        return cut(
+            out.select(
+                "doc_id",
+                F.col("low").alias("keep_id"),
+                F.col("n").alias("group_size"),
+                F.col("doc_id").eqNullSafe(F.col("low")).alias("kept"),
+                F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"),
+            )
+        )

@@ -227,12 +227,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows equal in all columns are interchangeable: their copies are made from
     one of them.
     """
-    plain = [F.col(f"`{c}`") for c in docs.columns]
-    taken = mix(docs, **options).groupBy(F.col("key").alias("_mix_key"), F.col("doc_id").alias("_mix_id"), F.col("rows").alias("_mix_rows"))
-    copies = cut(taken.agg(F.sum("copies").alias("_mix_n")).filter("_mix_n > 0"))
-    id_col = options.get("id_col", "doc_id")
-    keyed = docs.withColumn("_mix_own", _row_key(docs))
-    same = (F.col("_mix_own") == F.col("_mix_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id"))
-    once = keyed.join(copies.filter("_mix_rows = 1"), same)
-    often = keyed.join(copies.filter("_mix_rows > 1"), same).dropDuplicates(["_mix_own", id_col])
-    return _each_row(once.select(*plain, "_mix_n").union(often.select(*plain, "_mix_n")), "_mix_n", "_mix_k").select(*plain)
+    taken = mix(docs, **options).groupBy(F.col("key").alias("mix_key"), F.col("doc_id").alias("mix_id"), F.col("rows").alias("mix_rows"))
+    copies = cut(taken.agg(F.sum("copies").alias("n")).filter("n > 0"))
+    # whole rows travel in one column, so that no name of theirs can clash
+    keyed = docs.select(_row_key(docs).alias("own"), F.col(options.get("id_col", "doc_id")).cast("long").alias("own_id"), F.struct("*").alias("row"))
+    same = (F.col("own") == F.col("mix_key")) & F.col("own_id").eqNullSafe(F.col("mix_id"))
+    once = keyed.join(copies.filter("mix_rows = 1"), same)
+    often = keyed.join(copies.filter("mix_rows > 1"), same).dropDuplicates(["own", "own_id"])
+    return _each_row(once.select("row", "n").union(often.select("row", "n")), "n", "k").select("row.*")

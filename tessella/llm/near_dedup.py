@@ -215,6 +215,7 @@ def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: s
     groups = near_groups(docs, threshold, id_col, text_col)
     kept = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.h").alias("kept_h"))
     h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    own = docs.withColumn("_near_h", h)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_near_h") == F.col("kept_h"))
-    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "_near_h"]).drop("_near_h")
+    # whole rows travel in one column, so that no name of theirs can clash
+    own = docs.select(F.col(id_col).cast("long").alias("own_id"), h.alias("own_h"), F.struct("*").alias("row"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_h") == F.col("kept_h"))
+    return own.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_h"]).select("row.*")
