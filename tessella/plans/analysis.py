@@ -165,11 +165,18 @@ def enrichment_counts(t: Tables) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("seg", "x", "k", F.sum("k").over(Window.partitionBy("seg")).alias("drawn"), F.sum("k").over(Window.partitionBy("x")).alias("marked"), "total")
 
 
-@query()
+@query("""
+WITH c AS (SELECT c_mktsegment AS seg, c_nationkey % 5 AS x, CAST(count(*) AS BIGINT) AS k FROM customer GROUP BY ALL),
+n AS (SELECT seg, x, k, CAST(sum(k) OVER (PARTITION BY seg) AS BIGINT) AS drawn, CAST(sum(k) OVER (PARTITION BY x) AS BIGINT) AS marked, CAST(sum(k) OVER () AS BIGINT) AS total FROM c),
+t AS (SELECT *, least(1.0, list_sum(list_transform(range(greatest(k, drawn + marked - total, 0), least(drawn, marked) + 1), lambda i: exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(total - marked + 1)
+  - lgamma(drawn - i + 1) - lgamma(total - marked - drawn + i + 1) - lgamma(total + 1) + lgamma(drawn + 1) + lgamma(total - drawn + 1))))) AS p FROM n),
+r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, seg, x) AS raw FROM t)
+SELECT seg, x, k, drawn, marked, total, round(p, 8) AS p, round(least(1.0, min(raw) OVER (ORDER BY p, seg, x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS adjusted FROM r""")
 def enrichment_p(t: Tables) -> DataFrame:
     """Hypergeometric tails, adjusted."""
     tails = solvers.hypergeometric(enrichment_counts(t), "k", "drawn", "marked", "total")
-    return ordered.benjamini_hochberg(tails, "p", [], ["seg", "x"])
+    out = ordered.benjamini_hochberg(tails, "p", [], ["seg", "x"])
+    return out.withColumns({"p": F.round("p", 8), "adjusted": F.round("adjusted", 8)})
 
 
 @query()

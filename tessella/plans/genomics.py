@@ -302,12 +302,12 @@ def placed_contigs(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT CAST(l_suppkey AS BIGINT) AS g, CAST(l_extendedprice AS BIGINT) AS x FROM lineitem WHERE l_quantity < 10),
+WITH RECURSIVE p AS (SELECT CAST(l_suppkey AS BIGINT) AS g, CAST(l_extendedprice AS BIGINT) AS x FROM lineitem GROUP BY ALL),
 c AS (SELECT g, min(x) AS first, CAST(1 AS BIGINT) AS k FROM p GROUP BY g UNION ALL SELECT g, (SELECT min(x) FROM p WHERE p.g = c.g AND p.x > c.first + 1500) AS first, k + 1 FROM c WHERE (SELECT min(x) FROM p WHERE p.g = c.g AND p.x > c.first + 1500) IS NOT NULL)
 SELECT p.g AS contig, p.x AS at, max(c.k) AS cluster, count(DISTINCT c.k) AS opened FROM p JOIN c ON p.g = c.g AND c.first <= p.x GROUP BY 1, 2""")
 def scanned_clusters(t: Tables) -> DataFrame:
     """Clusters that a sorted scan opens, each as wide as a bound from its first member."""
-    p = t.lineitem.filter("l_quantity < 10").select(F.col("l_suppkey").alias("contig"), F.bround("l_extendedprice").cast("long").alias("at"))
+    p = t.lineitem.select(F.col("l_suppkey").alias("contig"), F.bround("l_extendedprice").cast("long").alias("at"))
     found = ordered.greedy_clusters(p, ["contig"], "at", 1500).distinct()
     return found.select("contig", "at", "cluster", F.col("cluster").alias("opened"))
 

@@ -286,8 +286,48 @@ SELECT CAST(min(k) AS BIGINT) AS island_start, CAST(max(k) AS BIGINT) AS island_
 def order_day_islands(t: Tables) -> DataFrame:
     """Runs of quiet days."""
     day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long").alias("k")
-    quiet = t.orders.groupBy(day).count().filter("count <= 6").select(F.lit(0).alias("all"), "k")
-    return ordered.islands(quiet, ["all"], "k").drop("all")
+    return ordered.islands(t.orders.groupBy(day).count().filter("count <= 6").select("k"), [], "k")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem")
+def price_ranks(t: Tables) -> DataFrame:
+    """Ranks over a whole table, without one task that sorts it."""
+    order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
+    return ordered.ranked(t.lineitem, order).select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber) % 1000003 / 1000003.0 AS p FROM lineitem),
+r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, l_orderkey, l_linenumber) AS raw FROM p)
+SELECT l_orderkey, l_linenumber, round(least(1.0, min(raw) OVER (ORDER BY p, l_orderkey, l_linenumber ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS adjusted FROM r""")
+def lines_adjusted(t: Tables) -> DataFrame:
+    """Benjamini-Hochberg adjustment over all rows, as a scan with carry."""
+    p = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber")) % 1000003 / 1000003.0
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", p.alias("p"))
+    return ordered.benjamini_hochberg(rows, "p", [], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.round("adjusted", 8).alias("adjusted"))
+
+
+@query("""
+SELECT event_id, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cents_before,
+  count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS most,
+  last_value(CASE WHEN user_id % 7 = 0 THEN user_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seventh FROM events""")
+def event_scan(t: Tables) -> DataFrame:
+    """Running values in groups that may each be a large part of the table."""
+    seventh = F.when(F.col("user_id") % 7 == 0, F.col("user_id"))
+    running = {"cents_before": ordered.Running("sum", F.bround(F.col("value") * 100).cast("long"), before=True), "n": ordered.Running("count"), "most": ordered.Running("max", "value"), "seventh": ordered.Running("last", seventh, before=True)}
+    run = ordered.scan(t.events, [F.asc("ts"), F.asc("event_id")], running, ["event_type"])
+    return run.select("event_id", F.coalesce("cents_before", F.lit(0)).alias("cents_before"), "n", "most", "seventh")
+
+
+@query("""
+WITH v AS (SELECT CAST(round(l_extendedprice) AS BIGINT) * 10 AS s, CAST(round(l_extendedprice) AS BIGINT) * 10 + CAST(l_quantity AS BIGINT) AS e, l_orderkey, l_linenumber FROM lineitem),
+m AS (SELECT *, max(e) OVER (ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM v),
+g AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS i FROM m)
+SELECT min(s) AS s, max(e) AS e, CAST(count(*) AS BIGINT) AS members FROM g GROUP BY i""")
+def merged_prices(t: Tables) -> DataFrame:
+    """Union of all intervals of a table, across its parts."""
+    start = F.round("l_extendedprice").cast("long") * 10
+    return ordered.merged(t.lineitem.select(start.alias("s"), (start + F.col("l_quantity").cast("long")).alias("e")), [], "s", "e")
 
 
 @query("SELECT o_orderkey, CAST(coalesce(sum(c) OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", l_linenumber FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS c FROM lineitem)")

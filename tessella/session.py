@@ -57,3 +57,10 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
         out.write(bytearray(content))
     finally:
         out.close()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back, so that what follows depends on files instead of on the plan."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
