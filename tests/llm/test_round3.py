@@ -86,3 +86,52 @@ def test_radix_selection(spark, digit):
         bound = radix_kth(df, ["a", "b", "c"], k, digit)
         assert sorted(map(tuple, df.filter(up_to(["a", "b", "c"], bound)).collect())) == sorted(rows)[:k]
     assert radix_kth(df, ["a"], 401) is None and radix_kth(df.limit(0), ["a"], 1) is None
+
+
+# ---------------------------------------------------------- fill in middle
+
+
+def slow_fim(doc_id, text):
+    t = text or ""
+    digest = hashlib.sha256(f"1:{'null' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[k : k + 8], 16) for k in (0, 8, 16, 24))
+    n = len(t)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return doc_id, n, "plain", None, None, t, t
+    p, m, s = t[:a], t[a:b], t[b:]
+    if h4 % 100 < 20:
+        return doc_id, n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}", t
+    return doc_id, n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}", t
+
+
+@pytest.mark.parametrize("seen", [1 << 18, 2])
+def test_fill_in_middle_brute_force(spark, monkeypatch, seen):
+    """Texts of all widths, copies by the hundred, marks and half marks, null and repeated ids, a long text."""
+    from tessella.llm import fill_in_middle as fim
+
+    monkeypatch.setattr(fim, "SEEN", seen)
+    rng = np.random.default_rng(51)
+    wide = ["a", "é", "日", "😀", " ", "\n", "<", "P", "S>", "<M", "\u0301"]
+    texts = [*TEXTS, "x <P> y", "<S>", "a<M>", "<P", "S>", "<", ">", "😀" * 700, "aé日😀" * 90_000, *("".join(rng.choice(wide, int(rng.integers(0, 1500)))) for _ in range(60))]
+    rows = list(enumerate(texts)) + [(1000 + i, "one text with many copies, é") for i in range(500)] + [(None, "no id")] * 9 + [(None, None), (3, "again"), (3, "again"), (3, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("n", F.lit(1)).withColumn("part", F.lit(2)).repartition(5)
+    got = Counter(tuple(r) for r in fim.fill_in_middle(df).collect())
+    assert got == Counter(slow_fim(*r) for r in rows)
+    assert {x[2] for x in got} == {"plain", "psm", "spm"}
+    assert fim.fill_in_middle(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("sample", "chunk"), [(512, 1 << 20), (4, 7), (3, 16)])
+def test_boundary_lists(monkeypatch, sample, chunk):
+    from tessella.llm import fill_in_middle as fim
+
+    monkeypatch.setattr(fim, "SAMPLE", sample)
+    monkeypatch.setattr(fim, "CHUNK", chunk)
+    rng = np.random.default_rng(52)
+    for letters in ("ab", "aé", "日é😀a", "😀"):
+        for n in (0, 1, 8, 9, 300):
+            text = "".join(rng.choice(list(letters), n))
+            found = fim.boundaries(np.frombuffer(text.encode(), np.uint8))
+            views = [memoryview(x) if isinstance(x, bytes) else x for x in found]
+            assert [fim.select(i, *views) for i in range(n + 1)] == [len(text[:i].encode()) for i in range(n + 1)]
