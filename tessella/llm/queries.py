@@ -86,6 +86,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import crc_fold
+    from .quality import score_quality
+
+    found = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), crc_fold(F.col("_id"), 5) != 0)
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resample
 
@@ -110,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
+    "op11_quality": op11_quality,
     "op12_resample": op12_resample,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

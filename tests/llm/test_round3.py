@@ -135,3 +135,79 @@ def test_boundary_lists(monkeypatch, sample, chunk):
             found = fim.boundaries(np.frombuffer(text.encode(), np.uint8))
             views = [memoryview(x) if isinstance(x, bytes) else x for x in found]
             assert [fim.select(i, *views) for i in range(n + 1)] == [len(text[:i].encode()) for i in range(n + 1)]
+
+
+# ------------------------------------------------------------------ quality
+
+
+def quality_corpus(n=900):
+    """Good prose, and three kinds of junk of which no label is ever given."""
+    rng = np.random.default_rng(61)
+    words = ["house", "river", "morning", "table", "window", "garden", "über", "walked", "The", "a"]
+    texts, good = [], []
+    for i in range(n):
+        w = [str(x) for x in rng.choice(words, int(rng.integers(15, 120)))]
+        kind = ["caps", "marks", "echo", *["prose"] * 9][i % 12]
+        if kind == "caps":
+            w = [x.upper() + "!!" for x in w]
+        elif kind == "marks":
+            w = [x + "$$$" for x in w]
+        elif kind == "echo":
+            w = [w[0]] * 40 + [w[1]] * 40
+        else:
+            w[-1] += "."
+        texts.append(" ".join(w))
+        good.append(kind == "prose")
+    return texts, good
+
+
+def test_quality_held_out(spark):
+    from tessella.llm.language_id import crc_fold
+    from tessella.llm.quality import score_quality, train
+
+    texts, good = quality_corpus()
+    df = docs_of(spark, [*texts, None, ""], score=1, by="x", y=2)
+    # only some good texts are labelled; labels of bad ones say nothing to the fit
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good) if i % 3 or not g] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    learn = crc_fold(F.col("_id"), 5) != 0
+    got = {r.doc_id: r for r in score_quality(df, labels, learn).collect()}
+    assert len(got) == len(texts) + 2 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i].predicted for i in held if good[i]]) > 0.97
+    assert np.mean([got[i].predicted for i in held if not good[i]]) < 0.1
+    without = score_quality(df, labels.filter("quality = 1"), learn)
+    assert all(abs(r.score - got[r.doc_id].score) < 1e-6 for r in without.collect())
+    assert abs(train(df, labels, learn)[1] - np.mean(good)) < 0.08
+    assert score_quality(empty(spark), labels, F.lit(True)).count() == 0
+    assert {r.score for r in score_quality(df.limit(3), labels.limit(0), F.lit(True)).collect()} == {0.0}
+
+
+def test_quality_features_of_long_texts(monkeypatch):
+    """Blocks of any size give the same features; a long text is read in segments, all of it."""
+    from tessella.llm import quality
+
+    texts = [*quality_corpus(30)[0], None, "", "x", *TEXTS]
+    whole = np.concatenate([x for _, x in quality.vectors(texts)])
+    for piece, rows in ((50, 128), (1 << 18, 3)):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        monkeypatch.setattr(quality, "ROWS", rows)
+        found = list(quality.vectors(texts))
+        assert [a for a, _ in found] == list(np.cumsum([0, *[len(x) for _, x in found]])[:-1])
+        assert np.allclose(np.concatenate([x for _, x in found]), whole)
+    monkeypatch.setattr(quality, "SEGMENT", 60)  # of words that end in spaces, so that no word is cut
+    text = "abcde fghi " * 600 + "!!!! " * 300
+    a, b = next(quality.vectors([text]))[1][0], whole
+    assert a.shape == b[0].shape and a[:quality.SHAPES].sum() > 0
+    monkeypatch.setattr(quality, "SEGMENT", 1 << 20)
+    c = next(quality.vectors([text]))[1][0]
+    assert np.abs(a - c).max() < 0.2 and a @ c > 0.9 * (c @ c)
+
+
+def test_class_prior():
+    from tessella.llm.quality import SCORES, class_prior
+
+    rng = np.random.default_rng(62)
+    for share in (0.3, 0.6, 0.9):
+        count = lambda x: np.bincount((np.clip(x, 0, 0.999) * SCORES).astype(int), minlength=SCORES)
+        good, bad = rng.normal(0.6, 0.08, int(20_000 * share)), rng.normal(0.2, 0.08, int(20_000 * (1 - share)))
+        assert abs(class_prior(count(np.concatenate([good, bad])), count(rng.normal(0.6, 0.08, 600))) - share) < 0.06
