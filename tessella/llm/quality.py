@@ -26,7 +26,8 @@ fitted in numpy by minibatches.
 The fit takes at most ``MOST`` trusted and ``MOST_UNLABELLED`` unlabelled texts,
 drawn by a hash from those of ``LONGEST`` characters at most; these bounds are on
 what the driver holds. Every whole text is scored. Texts of more than ``SEGMENT`` characters are read in segments,
-whose counts add up; only words and n-grams across two segments are not seen.
+whose counts add up; words and n-grams across two segments are not seen, and words
+count as repeated within their segment.
 
 Cases: null and empty texts have the figures of an empty text and are scored like
 others; labels other than 1, or null, are not trusted; without trusted texts all
