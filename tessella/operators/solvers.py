@@ -105,16 +105,16 @@ def fixed_pair_totals(weights: np.ndarray, row: int) -> np.ndarray:
 MOST_CELLS = 20_000_000
 
 
-def nonnegative_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least squares of ``a x = b`` with no x below 0, by an active set."""
+def nonnegative_fit(a: np.ndarray, b: np.ndarray, gram: np.ndarray | None = None) -> np.ndarray:
+    """Least squares of ``a x = b`` with no x below 0, by an active set; ``gram`` is ``a.T @ a`` where many fits share it."""
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
-    gram, rhs = a.T @ a, a.T @ b
+    gram, rhs = a.T @ a if gram is None else gram, a.T @ b
     for _ in range(10 * n + 10):
         slope = rhs - gram @ x
         slope[free] = -np.inf
         if free.all() or slope.max() <= 1e-10 * max(1.0, np.abs(rhs).max()):
-            break
+            return x
         free[slope.argmax()] = True
         while True:
             at = np.flatnonzero(free)
@@ -130,31 +130,36 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x[~free] = 0
             if not free.any():
                 break
-    return x
+    raise ValueError("the active set does not settle")
 
 
-def multinomial_mixture(profiles: np.ndarray, counts: np.ndarray, rounds: int = 5000) -> np.ndarray:
-    """Weights of profiles (columns that sum to 1) that make counts likeliest, by expectation and maximisation."""
-    w = np.full(profiles.shape[1], 1 / profiles.shape[1])
+def multinomial_mixture(profiles: np.ndarray, counts: np.ndarray, rounds: int = 20_000) -> np.ndarray:
+    """Weights of profiles (columns that sum to 1) that make counts likeliest, by expectation and maximisation.
+
+    ``counts`` is a vector, or a matrix with a row for each of many spots, which
+    are fitted together. Spots without counts get even weights.
+    """
+    many = np.atleast_2d(counts).astype(float)
+    w = np.full((len(many), profiles.shape[1]), 1 / profiles.shape[1])
+    left = np.flatnonzero(many.sum(axis=1) > 0)
     for _ in range(rounds):
-        mix = profiles @ w
-        share = np.divide(counts, mix, out=np.zeros(len(counts)), where=mix > 0)
-        new = w * (profiles.T @ share)
-        total = new.sum()
-        if total <= 0:
-            break
-        new /= total
-        if np.abs(new - w).max() < 1e-10:
-            return new
-        w = new
-    return w
+        if not len(left):
+            return w if np.ndim(counts) == 2 else w[0]
+        mix = w[left] @ profiles.T
+        new = w[left] * (np.divide(many[left], mix, out=np.zeros_like(mix), where=mix > 0) @ profiles)
+        total = new.sum(axis=1, keepdims=True)
+        new = np.where(total > 0, new / np.where(total > 0, total, 1), w[left])
+        moved = np.abs(new - w[left]).max(axis=1)
+        w[left] = new
+        left = left[moved >= 1e-10]
+    raise ValueError(f"no convergence in {rounds} rounds")
 
 
 def unmix(spots: DataFrame, profiles: DataFrame, spot: str, feature: str, value: str, kind: str, method: str = "nnls") -> DataFrame:
     """Weights of each kind in each spot: ``spot, kind, weight``, summing to 1.
 
     ``profiles`` is a table of kinds by features of at most ``MOST_CELLS`` cells;
-    it goes to the tasks as one matrix, and each spot is solved in its group.
+    it goes to the tasks as one matrix, and the spots of a batch are solved together.
     """
     n_features, n_kinds = profiles.agg(F.countDistinct(feature), F.countDistinct(kind)).head()
     if n_features * n_kinds > MOST_CELLS:
@@ -162,16 +167,22 @@ def unmix(spots: DataFrame, profiles: DataFrame, spot: str, feature: str, value:
     table = profiles.groupBy(feature).pivot(kind).agg(F.first(value)).na.fill(0.0).toPandas().set_index(feature).sort_index()
     matrix, kinds, place = table.to_numpy(float), list(table.columns), {f: i for i, f in enumerate(table.index)}
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        b = np.zeros(len(matrix))
-        for f, v in zip(rows[feature], rows[value], strict=True):
-            if f in place:
-                b[place[f]] += v
-        w = nonnegative_fit(matrix, b) if method == "nnls" else multinomial_mixture(matrix / matrix.sum(axis=0), b)
-        return pd.DataFrame({spot: rows[spot].iloc[0], kind: kinds, "weight": w / w.sum() if w.sum() else w})
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram, shares = matrix.T @ matrix, matrix / matrix.sum(axis=0)
+        for rows in batches:
+            b = np.zeros((len(rows), len(matrix)))
+            for i, own in enumerate(rows["own"]):
+                for x in own:
+                    if x["f"] in place:
+                        b[i, place[x["f"]]] += x["v"]
+            w = np.stack([nonnegative_fit(matrix, x, gram) for x in b]) if method == "nnls" and len(b) else multinomial_mixture(shares, b)
+            total = w.sum(axis=1, keepdims=True)
+            w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+            yield pd.DataFrame({spot: np.repeat(rows[spot].to_numpy(), len(kinds)), kind: kinds * len(rows), "weight": w.ravel()})
 
     kind_of = lambda c: spots.schema[c].dataType.simpleString()
-    return spots.groupBy(spot).applyInPandas(solve, f"{spot} {kind_of(spot)}, {kind} string, weight double")
+    entries = F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).cast("double").alias("v"))).alias("own")  # features of a spot
+    return spots.groupBy(spot).agg(entries).mapInPandas(solve, f"{spot} {kind_of(spot)}, {kind} string, weight double")
 
 
 # ---------------------------------------------------------------- regression

@@ -174,7 +174,7 @@ c AS (SELECT *, substr(cds, f + 1, 3) AS codon, substr(cds, f + 1, q - f) || nb
 WITH {_TX.strip()}, e AS (SELECT *, {_amino('codon')} AS aa, {_amino('changed')} AS na FROM c)
 SELECT transcript, CAST(pos AS BIGINT) AS pos, CAST(q AS INTEGER) AS cds_pos, aa, na AS new_aa, CASE WHEN aa = na THEN 'synonymous' WHEN na = '*' THEN 'stop_gained' WHEN aa = '*' THEN 'stop_lost' WHEN q < 3 THEN 'start_lost' ELSE 'missense' END AS effect FROM e""")
 def coding_effects(t: Tables) -> DataFrame:
-    """Effects of single-base changes on transcripts of both strands."""
+    """Effects of single-base changes on transcripts of both strands."""
     r = F.col("r_regionkey")
     tx = t.region.select(F.concat(F.lit("T"), r).alias("transcript"), F.concat(F.lit("c"), r).alias("chrom"), F.when(r % 2 == 0, "+").otherwise("-").alias("strand"), F.expr(f"concat({_random('t', 'r_regionkey', chr(39) + '-a' + chr(39))}, left({_random('t', 'r_regionkey', chr(39) + '-b' + chr(39))}, 28))").alias("cds"))
     exons = tx.select("chrom", "transcript", "strand", F.explode(F.expr("array(named_struct('start', 100L, 'end', 130L), named_struct('start', 200L, 'end', 230L))")).alias("e")).select("chrom", "transcript", "strand", "e.start", "e.end")

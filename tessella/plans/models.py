@@ -57,25 +57,38 @@ def expression_flags(t: Tables) -> DataFrame:
     return tasks.expression_passes(_counts(t), results, names, least=700).select("gene", "symbol", "passed", "direction")
 
 
-_SPOTS = "SELECT o_custkey % 20 AS spot, o_orderpriority AS feature, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL"
-_KIND = "CASE WHEN feature < '3' THEN 'high' ELSE 'low' END"
+#: Two profiles over the brands that overlap everywhere, and what suppliers shipped of the brands.
+_TWO = "SELECT b, CAST(1 + b * b * 3 % 17 AS DOUBLE) AS p, CAST(1 + (7 + b * 5 + b * b * 3) % 17 AS DOUBLE) AS q FROM (SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT) AS b FROM part)"
+_SPOTS = "SELECT l_suppkey AS spot, CAST(substr(p_brand, 7) AS BIGINT) AS b, CAST(sum(l_quantity * (1 + (l_suppkey + b * b * l_suppkey) % 5)) AS DOUBLE) AS v FROM (SELECT *, CAST(substr(p_brand, 7) AS BIGINT) AS b FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY ALL"
 
 
 def _unmixed(t: Tables, method: str) -> DataFrame:
-    spots = t.orders.groupBy((F.col("o_custkey") % 20).alias("spot"), F.col("o_orderpriority").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-    profiles = t.orders.select(F.col("o_orderpriority").alias("feature")).distinct().select("feature", F.when(F.col("feature") < "3", "high").otherwise("low").alias("kind"), F.lit(1.0).alias("v"))
-    return solvers.unmix(spots, profiles, "spot", "feature", "v", "kind", method).select("spot", "kind", F.round("weight", 5).alias("weight"))
+    brand = F.substring("p_brand", 7, 9).cast("long").alias("b")
+    rows = t.lineitem.join(t.part.select("p_partkey", brand), F.col("l_partkey") == F.col("p_partkey"))
+    v = F.col("l_quantity") * (1 + (F.col("l_suppkey") + F.col("b") * F.col("b") * F.col("l_suppkey")) % 5)
+    spots = rows.groupBy(F.col("l_suppkey").alias("spot"), "b").agg(F.sum(v).cast("double").alias("v"))
+    b = F.col("b")
+    both = F.array(F.struct(F.lit("p").alias("kind"), (1 + b * b * 3 % 17).cast("double").alias("v")), F.struct(F.lit("q").alias("kind"), (1 + (7 + b * 5 + b * b * 3) % 17).cast("double").alias("v")))
+    profiles = t.part.select(brand).distinct().select("b", F.explode(both).alias("x")).select("b", "x.kind", "x.v")
+    return solvers.unmix(spots, profiles, "spot", "b", "v", "kind", method).select("spot", "kind", F.round("weight", 5).alias("weight"))
 
 
-@query(f"WITH s AS ({_SPOTS}), k AS (SELECT spot, {_KIND} AS kind, avg(v) AS w FROM s GROUP BY ALL) SELECT spot, kind, round(w / sum(w) OVER (PARTITION BY spot), 5) AS weight FROM k")
+@query(f"""
+WITH s AS (SELECT spot, v, p, q FROM ({_SPOTS}) JOIN ({_TWO}) USING (b)), g AS (SELECT spot, sum(p * p) AS pp, sum(q * q) AS qq, sum(p * q) AS pq, sum(v * p) AS vp, sum(v * q) AS vq FROM s GROUP BY 1),
+w AS (SELECT spot, (vp * qq - vq * pq) / (pp * qq - pq * pq) AS a, (vq * pp - vp * pq) / (pp * qq - pq * pq) AS b, vp * vp / pp > vq * vq / qq AS first FROM g),
+x AS (SELECT spot, CASE WHEN a > 0 AND b > 0 THEN a / (a + b) WHEN first THEN 1 ELSE 0 END AS a FROM w)
+SELECT spot, 'p' AS kind, round(a, 5) AS weight FROM x UNION ALL SELECT spot, 'q', round(1 - a, 5) FROM x""")
 def unmixed_squares(t: Tables) -> DataFrame:
-    """Weights of profiles in spots by non-negative least squares."""
+    """Weights of profiles that overlap, by non-negative least squares."""
     return _unmixed(t, "nnls")
 
 
-@query(f"WITH s AS ({_SPOTS}), k AS (SELECT spot, {_KIND} AS kind, sum(v) AS w FROM s GROUP BY ALL) SELECT spot, kind, round(w / sum(w) OVER (PARTITION BY spot), 5) AS weight FROM k")
+@query(f"""
+WITH z AS (SELECT b, p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM ({_TWO})), s AS (SELECT spot, list(v ORDER BY b) AS v, list(p ORDER BY b) AS p, list(q ORDER BY b) AS q FROM ({_SPOTS}) JOIN z USING (b) GROUP BY 1),
+x AS (SELECT spot, list_reduce(list_transform(range(1, 46), lambda i: CAST(i AS DOUBLE)), lambda w, i: w + CASE WHEN list_sum(list_transform(range(1, len(v) + 1), lambda k: v[k] * (p[k] - q[k]) / ((w + pow(2, -i)) * p[k] + (1 - w - pow(2, -i)) * q[k]))) > 0 THEN pow(2, -i) ELSE 0.0 END, CAST(0 AS DOUBLE)) AS a FROM s)
+SELECT spot, 'p' AS kind, round(a, 5) AS weight FROM x UNION ALL SELECT spot, 'q', round(1 - a, 5) FROM x""")
 def unmixed_likelihood(t: Tables) -> DataFrame:
-    """Weights of profiles in spots that make their counts likeliest."""
+    """Weights of profiles that overlap which make counts likeliest; the SQL halves the interval of the slope's zero."""
     return _unmixed(t, "em")
 
 
@@ -110,7 +123,7 @@ def fixed_pairs(t: Tables) -> DataFrame:
 WITH s AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, CAST((x.n_nationkey * 7 + y.n_nationkey * 13) % 17 AS DOUBLE) AS v FROM nation x, nation y)
 SELECT p.a, p.b, least(p.v - s.v, q.v - u.v) AS swap_score FROM s p JOIN s q ON p.a = q.b AND p.b = q.a AND p.a < p.b JOIN s s ON s.a = p.a AND s.b = p.a JOIN s u ON u.a = p.b AND u.b = p.b""")
 def swap_scores(t: Tables) -> DataFrame:
-    """How much better two items fit each other's labels than their own."""
+    """How much better two items fit each other's labels than their own."""
     a, b = t.nation.select(F.col("n_nationkey").alias("a")), t.nation.select(F.col("n_nationkey").alias("b"))
     similarity = a.crossJoin(F.broadcast(b)).withColumn("v", ((F.col("a") * 7 + F.col("b") * 13) % 17).cast("double"))  # 25 rows each
     return stats.swap_gain(similarity, "a", "b", "v")
@@ -174,7 +187,7 @@ def conditional_shares(t: Tables) -> DataFrame:
 WITH v AS (SELECT l_suppkey AS u, l_linenumber AS f, l_shipmode_ AS c, sum(l_quantity) AS s FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem) GROUP BY ALL), w AS (SELECT u, c, row_number() OVER (PARTITION BY u, f ORDER BY s DESC, c) AS k FROM v)
 SELECT u AS l_suppkey, c AS candidate, count(*) AS votes, round(count(*) / sum(count(*)) OVER (PARTITION BY u), 6) AS share FROM w WHERE k = 1 GROUP BY 1, 2""")
 def vote_shares(t: Tables) -> DataFrame:
-    """Votes of features for candidates, and their shares."""
+    """Votes of features for candidates, and their shares."""
     v = t.lineitem.groupBy("l_suppkey", "l_linenumber", F.col("l_returnflag").alias("candidate")).agg(F.sum("l_quantity").alias("s"))
     return stats.vote_share(v, "l_suppkey", "l_linenumber", "candidate", "s").withColumn("share", F.round("share", 6))
 
