@@ -236,12 +236,31 @@ def _newton(rows: DataFrame, parts: Callable, beta: np.ndarray, k: int, rounds:
     raise ValueError(f"no convergence in {rounds} rounds")
 
 
-def design_rank(df: DataFrame, columns: Sequence[str]) -> int:
-    """Rank of a design with an intercept, from sums of products; columns are scaled first."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop().withColumn("_one", F.lit(1.0))
-    g = gram(rows, ["_one", *columns])
-    scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
-    return int(np.linalg.matrix_rank(g * scale[:, None] * scale, tol=1e-9))
+def design_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str], name: str = "rank") -> DataFrame:
+    """Rank of each group's design of ``columns`` and an intercept: ``by, rank, n``.
+
+    Spark adds up the products of each two columns, less their means so that
+    a large offset hides nothing; numpy has the ranks of many groups at once. Rows with a
+    missing value do not count; a group without others has rank 0.
+    """
+    values = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+    whole = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in columns[1:]), F.when(F.col(columns[0]).isNull(), 1).otherwise(0)) == 0
+    rows = df.select(*by, whole.alias("_w"), *values)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    own = lambda c: F.when(F.col("_w"), c)
+    sums = rows.groupBy(*by).agg(F.count_if("_w").alias("n"), F.array(*[F.coalesce(F.covar_pop(own(F.col(f"_x{i}")), own(F.col(f"_x{j}"))), F.lit(0.0)) for i, j in pairs]).alias("_c"))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c = np.zeros((len(b), len(columns), len(columns)))
+            for k, (i, j) in enumerate(pairs):
+                c[:, i, j] = c[:, j, i] = [x[k] for x in b["_c"]]
+            scale = 1 / np.sqrt(np.maximum(np.diagonal(c, axis1=1, axis2=2), 1e-12))
+            found = np.linalg.matrix_rank(c * scale[:, :, None] * scale[:, None, :], tol=1e-9) if len(b) else np.empty(0)
+            yield b[[*by]].assign(**{name: np.where(b["n"] > 0, 1 + found, 0).astype("int32"), "n": b["n"]})
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return sums.mapInPandas(rank, f"{kinds + ', ' if by else ''}`{name}` int, n long")
 
 
 def gram(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -367,31 +386,6 @@ def minimum_n(d: float, power: float = 0.8, alpha: float = 0.05) -> int:
     return n
 
 
-# ---------------------------------------------------------------- resampling
-
-
-def cluster_bootstrap(sums: np.ndarray, estimate, rounds: int = 1000, seed: int = 0) -> np.ndarray:
-    """Estimates over resampled clusters, from each cluster's row of sums."""
-    rng = np.random.default_rng(seed)
-    picks = rng.integers(0, len(sums), (rounds, len(sums)))
-    return np.array([estimate(sums[p].sum(axis=0)) for p in picks])
-
-
-def parametric_bootstrap(profiles: np.ndarray, weights: np.ndarray, depth: int, rounds: int = 200, seed: int = 0) -> np.ndarray:
-    """Mixture weights fitted to counts drawn from a fitted mixture."""
-    rng = np.random.default_rng(seed)
-    p = profiles @ weights
-    return np.array([multinomial_mixture(profiles, rng.multinomial(depth, p / p.sum())) for _ in range(rounds)])
-
-
-def permutation_p(observed: float, values: np.ndarray, size: int, rounds: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """One-sided p with one added, and z, of a mean against means of random subsets."""
-    rng = np.random.default_rng(seed)
-    null = np.array([rng.choice(values, size, replace=False).mean() for _ in range(rounds)])
-    sd = null.std()
-    return (1 + int((null >= observed).sum())) / (rounds + 1), float((observed - null.mean()) / sd) if sd else 0.0
-
-
 def students_t_p(r: float, n: int) -> float:
     """Two-sided p of a correlation, by integrating Student's density."""
     if n < 3 or abs(r) >= 1:

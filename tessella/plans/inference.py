@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import mixtures
+from ..operators import mixtures, resampling
 from .registry import Tables, query
 
 #: Profiles of the regions over the brands, in a pattern of both numbers.
@@ -88,3 +88,85 @@ def nearest_votes(t: Tables) -> DataFrame:
     bought = rows.groupBy(F.col("o_custkey").alias("item"), "b").agg(F.sum("l_quantity").cast("double").alias("v"))
     labelled = bought.join(t.customer.select(F.col("c_custkey").alias("item"), F.col("c_mktsegment").alias("label")), "item")
     return mixtures.neighbour_votes(_shipped(t), labelled, "spot", "item", "b", "v", "label").withColumn("share", F.round("share", 6))
+
+
+# -------------------------------------------------------------- resampling
+
+
+def _u(*parts: str) -> str:
+    """SQL: a number from [0, 1) that a digest of the parts gives."""
+    return f"CAST('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+def _drawn(u: str) -> str:
+    """SQL: the Poisson variable of mean one at which a uniform number stands."""
+    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in resampling._POISSON) + ")"
+
+
+@query(f"""
+WITH v AS (SELECT n_regionkey, s_nationkey AS k, sum(s_acctbal) AS s, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+w AS (SELECT n_regionkey, r, s, n, CASE WHEN r = 0 THEN 1 ELSE {_drawn(_u("'b'", 'r', 'k'))} END AS w FROM v, range(0, 201) x(r)),
+m AS (SELECT n_regionkey, r, CASE WHEN sum(w) > 0 THEN sum(w * s) / sum(w * n) END AS m FROM w GROUP BY ALL)
+SELECT n_regionkey, round(any_value(m) FILTER (r = 0), 6) AS estimate, round(quantile_cont(m, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (r > 0), 6) AS high, round(avg(m) FILTER (r > 0), 6) AS mean, count(m) FILTER (r > 0) AS rounds FROM m GROUP BY 1""")
+def bootstrap_bounds(t: Tables) -> DataFrame:
+    """A mean of each region and its bounds when whole nations are drawn with replacement."""
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    values = resampling.bootstrap(rows, "s_nationkey", {"s": F.sum("s_acctbal"), "n": F.count(F.lit(1))}, F.col("s") / F.col("n"), 200, ["n_regionkey"])
+    found = resampling.bounds(values.filter("round > 0"), ["n_regionkey"], "value")
+    joined = values.filter("round = 0").select("n_regionkey", F.col("value").alias("estimate")).join(found, "n_regionkey")
+    return joined.select("n_regionkey", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high", "mean")], "rounds")
+
+
+@query(f"""
+WITH v AS (SELECT c_nationkey % 5 AS g, c_custkey AS k, CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS INTEGER) AS f, c_acctbal AS v FROM customer),
+t AS (SELECT g, count(*) AS n, sum(f) AS k, sum(v) AS t, sum(v * f) AS s FROM v GROUP BY 1), p AS (SELECT g, r, v, row_number() OVER (PARTITION BY g, r ORDER BY {_u("'p'", 'r', 'k')}, k) AS i FROM v, range(1, 101) x(r)),
+x AS (SELECT g, r, sum(v) FILTER (i <= k) AS x FROM p JOIN t USING (g) GROUP BY ALL), d AS (SELECT g, x / k - (t - x) / (n - k) AS d, s / k - (t - s) / (n - k) AS o FROM x JOIN t USING (g))
+SELECT g, round(o, 5) AS observed, round(avg(d), 5) AS null_mean, round(stddev_samp(d), 5) AS null_sd, round((count(*) FILTER (d >= o - 1e-12) + 1) / (count(*) + 1), 8) AS p, round((o - avg(d)) / stddev_samp(d), 5) AS z FROM d GROUP BY g, o""")
+def permuted_segments(t: Tables) -> DataFrame:
+    """Differences of means against flags dealt out anew, one-sided, with one added."""
+    v = t.customer.select((F.col("c_nationkey") % 5).alias("g"), "c_custkey", F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("f"), "c_acctbal")
+    out = resampling.permutation_test(v, "c_custkey", "f", "c_acctbal", 100, ["g"])
+    return out.select("g", *[F.round(c, 5).alias(c) for c in ("observed", "null_mean", "null_sd", "z")], F.round("p", 8).alias("p"))
+
+
+@query(f"""
+WITH s AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY p_type ORDER BY p_brand) / sum(n) OVER (PARTITION BY p_type) AS hi, (sum(n) OVER (PARTITION BY p_type ORDER BY p_brand) - n) / sum(n) OVER (PARTITION BY p_type) AS lo FROM s),
+d AS (SELECT m.p_type, r, {_u("'m'", 'm.p_type', 'r', 'i')} AS u FROM (SELECT DISTINCT p_type FROM s) m, range(1, 41) x(r), range(0, 200) y(i)),
+k AS (SELECT p_type, r, p_brand, count(*) AS n FROM d JOIN c USING (p_type) WHERE u >= lo AND u < hi GROUP BY ALL)
+SELECT p_type, p_brand, round(quantile_cont(n, 0.025), 6) AS low, round(quantile_cont(n, 0.975), 6) AS high, round(avg(n), 6) AS mean, count(*) AS rounds FROM k GROUP BY 1, 2""")
+def drawn_shares(t: Tables) -> DataFrame:
+    """Counts of categories in draws from their own shares."""
+    shares = t.part.groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    draws = resampling.multinomial(shares, "p_brand", "n", 200, 40, ["p_type"])
+    found = resampling.bounds(draws, ["p_type", "p_brand"], "n")
+    return found.select("p_type", "p_brand", *[F.round(c, 6).alias(c) for c in ("low", "high", "mean")], "rounds")
+
+
+_MIXED = "SELECT b, p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM (SELECT b, max(v) FILTER (kind = 0) AS p, max(v) FILTER (kind = 1) AS q FROM ({0}) GROUP BY 1)".format(_PROFILES)
+#: SQL: the weight of the likeliest mixture of two profiles, lists ``v, p, q``, by halving the interval of the slope's zero.
+_LIKELIEST = "list_reduce(list_transform(range(1, 46), lambda i: CAST(i AS DOUBLE)), lambda w, i: w + CASE WHEN list_sum(list_transform(range(1, len(v) + 1), lambda k: v[k] * (p[k] - q[k]) / ((w + pow(2, -i)) * p[k] + (1 - w - pow(2, -i)) * q[k]))) > 0 THEN pow(2, -i) ELSE 0.0 END, CAST(0 AS DOUBLE))"
+
+
+@query(f"""
+WITH z AS ({_MIXED}), o AS (SELECT b, sum(v) AS v FROM ({_SHIPPED}) GROUP BY 1), l AS (SELECT list(v ORDER BY b) AS v, list(p ORDER BY b) AS p, list(q ORDER BY b) AS q FROM o JOIN z USING (b)), f AS (SELECT {_LIKELIEST} AS w FROM l),
+c AS (SELECT b, sum(w * p + (1 - w) * q) OVER (ORDER BY b) AS hi, sum(w * p + (1 - w) * q) OVER (ORDER BY b) - (w * p + (1 - w) * q) AS lo FROM z, f), e AS (SELECT b, CASE WHEN b = max(b) OVER () THEN 2 ELSE hi END AS hi, CASE WHEN b = min(b) OVER () THEN 0 ELSE lag(hi) OVER (ORDER BY b) END AS lo FROM c),
+d AS (SELECT r, {_u("'m'", 'r', 'i')} AS u FROM range(1, 31) x(r), range(0, 500) y(i)), k AS (SELECT r, b, CAST(count(*) AS DOUBLE) AS v FROM d JOIN e ON u >= lo AND u < hi GROUP BY ALL),
+m AS (SELECT r, list(v ORDER BY b) AS v, list(p ORDER BY b) AS p, list(q ORDER BY b) AS q FROM k JOIN z USING (b) GROUP BY 1), g AS (SELECT r, {_LIKELIEST} AS w FROM m)
+SELECT round((SELECT w FROM f), 5) AS estimate, round(quantile_cont(w, 0.025), 5) AS low, round(quantile_cont(w, 0.975), 5) AS high, count(*) AS rounds FROM g""")
+def mixture_bounds(t: Tables) -> DataFrame:
+    """The likeliest weight of a profile, and its bounds over counts drawn from the fitted mixture."""
+    profiles = _profiles(t).filter("kind < 2").select("b", F.concat(F.lit("k"), "kind").alias("kind"), "v")
+    counts = _shipped(t).groupBy("b").agg(F.sum("v").alias("v"))
+    fit, drawn = resampling.mixture_bootstrap(counts, profiles, "b", "v", "kind", 500, 30)
+    found = resampling.bounds(drawn.filter("kind = 'k0'"), ["kind"], "weight").join(fit, "kind")
+    return found.select(F.round("weight", 5).alias("estimate"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "rounds")
+
+
+@query(f"""
+WITH s AS (SELECT c_nationkey AS u, c_mktsegment AS c, o_orderpriority AS f, sum(CAST(round(o_totalprice) AS BIGINT)) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+t AS (SELECT u, c, r, sum(w * s) AS t, sum(w) AS d FROM (SELECT *, {_drawn(_u("'v'", 'r', 'f'))} AS w FROM s, range(1, 61) x(r)) GROUP BY ALL), b AS (SELECT u, c, row_number() OVER (PARTITION BY u, r ORDER BY t DESC, c) AS k FROM t WHERE d > 0)
+SELECT u AS c_nationkey, c AS c_mktsegment, count(*) AS wins, round(count(*) / sum(count(*)) OVER (PARTITION BY u), 6) AS confidence FROM b WHERE k = 1 GROUP BY 1, 2""")
+def vote_confidence(t: Tables) -> DataFrame:
+    """How often each candidate of a unit wins when features are drawn with replacement."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("s", F.round("o_totalprice").cast("long"))
+    return resampling.vote_confidence(rows, "c_nationkey", "c_mktsegment", "o_orderpriority", "s", 60).withColumn("confidence", F.round("confidence", 6))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,11 +152,17 @@ def stratified_pick(t: Tables) -> DataFrame:
     return stats.stratified_sample(t.customer, "c_mktsegment", "c_custkey", 0.1).groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("n"))
 
 
-@query("SELECT CAST(2 AS INTEGER) AS rank, CAST(3 AS INTEGER) AS full_rank FROM region LIMIT 1")
+@query("""
+WITH v AS (SELECT l_suppkey AS g, l_quantity AS x, CASE l_suppkey % 4 WHEN 0 THEN 2 * l_quantity + 1 WHEN 1 THEN l_discount WHEN 2 THEN 7 ELSE l_quantity + l_tax * 100 END AS y, CASE WHEN l_suppkey % 3 = 0 THEN l_quantity - l_discount * 100 ELSE 1 END AS z FROM lineitem),
+c AS (SELECT g, count(*) AS n, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM v GROUP BY 1),
+d AS (SELECT *, xx * yy - xy * xy AS dxy, xx * zz - xz * xz AS dxz, yy * zz - yz * yz AS dyz, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM c)
+SELECT g, n, CAST(CASE WHEN yy > 1e-9 AND zz > 1e-9 AND det > 1e-6 * xx * yy * zz THEN 4 WHEN dxy > 1e-9 * xx * yy + 1e-12 OR dxz > 1e-9 * xx * zz + 1e-12 OR dyz > 1e-9 * yy * zz + 1e-12 THEN 3 WHEN xx > 1e-9 OR yy > 1e-9 OR zz > 1e-9 THEN 2 ELSE 1 END AS INTEGER) AS rank FROM d""")
 def design_ranks(t: Tables) -> DataFrame:
-    """Ranks of a design with a repeated column and of one without."""
-    v = t.lineitem.select(F.col("l_quantity").alias("x"), (2 * F.col("l_quantity") + 1).alias("y"), F.col("l_discount").alias("z"))
-    return t.spark.createDataFrame([(solvers.design_rank(v, ["x", "y"]), solvers.design_rank(v, ["x", "z"]))], "rank int, full_rank int")
+    """Ranks of designs with repeated, constant and free columns; the SQL has them from determinants."""
+    g, x = F.col("l_suppkey"), F.col("l_quantity")
+    y = F.when(g % 4 == 0, 2 * x + 1).when(g % 4 == 1, F.col("l_discount")).when(g % 4 == 2, F.lit(7.0)).otherwise(x + F.col("l_tax") * 100)
+    v = t.lineitem.select(g.alias("g"), x.alias("x"), y.alias("y"), F.when(g % 3 == 0, x - F.col("l_discount") * 100).otherwise(F.lit(1.0)).alias("z"))
+    return solvers.design_ranks(v, ["g"], ["x", "y", "z"])
 
 
 @query("""
@@ -361,13 +366,3 @@ def principal_axes(t: Tables) -> DataFrame:
     axes = solvers.principal_axes(g, 3)
     kept = float(np.trace(axes.T @ g @ axes))
     return t.spark.createDataFrame([(round(kept, 2), axes.shape[1], bool(np.allclose(axes.T @ axes, np.eye(3), atol=1e-9)))], "trace double, axes int, orthogonal boolean")
-
-
-@query("WITH v AS (SELECT count(*) AS n FROM (SELECT DISTINCT s_nationkey FROM supplier)) SELECT true AS covers, true AS ordered, n > 0 AS some FROM v")
-def bootstrap_bounds(t: Tables) -> DataFrame:
-    """Bounds of a mean by resampled groups and by permutation hold it."""
-    per = t.supplier.groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("s"), F.count(F.lit(1)).cast("double").alias("n")).orderBy("s_nationkey").toPandas()[["s", "n"]].to_numpy()  # a row for each nation
-    means = solvers.cluster_bootstrap(per, lambda x: x[0] / x[1])
-    low, high = np.quantile(means, [0.005, 0.995])
-    p, _ = solvers.permutation_p(float(per[:, 0].mean()), per[:, 0], max(1, len(per) - 1), rounds=200)
-    return t.spark.createDataFrame([(bool(low <= per[:, 0].sum() / per[:, 1].sum() <= high), bool(low < high and 0 < p <= 1), len(per) > 0)], "covers boolean, ordered boolean, some boolean")

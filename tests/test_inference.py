@@ -73,3 +73,77 @@ def test_mixtures_of_many_spots():
     assert np.allclose(got[:8], w, atol=1e-4) and np.allclose(got[8], 1 / 3)
     with pytest.raises(ValueError, match="convergence"):
         solvers.multinomial_mixture(p, counts, 2)
+
+
+# -------------------------------------------------------------- resampling
+
+
+def test_bootstrap_of_clusters(spark):
+    from tessella.operators import resampling
+
+    rng = np.random.default_rng(75)
+    rows = [(int(u), f"g{u % 2}", float(10 * (u % 2) + rng.normal(0, 1) + u / 50)) for u in range(200) for _ in range(3)]
+    df = spark.createDataFrame(rows, "u long, g string, v double")
+    values = resampling.bootstrap(df, "u", {"s": F.sum("v"), "n": F.count(F.lit(1))}, F.col("s") / F.col("n"), 400, ["g"])
+    again = resampling.bootstrap(df.repartition(9), "u", {"s": F.sum("v"), "n": F.count(F.lit(1))}, F.col("s") / F.col("n"), 400, ["g"])
+    key = lambda d: sorted((r.g, r.round, round(r.value, 9)) for r in d.collect())
+    assert key(values) == key(again)
+    for r in resampling.bounds(values.filter("round > 0"), ["g"], "value").collect():
+        own = np.array([v for _, g, v in rows if g == r.g])
+        units = own.reshape(-1, 3).mean(axis=1)
+        assert r.low < own.mean() < r.high and r.rounds == 400
+        assert (r.high - r.low) / (2 * 1.96 * units.std(ddof=1) / np.sqrt(len(units))) == pytest.approx(1, abs=0.25)
+
+
+def test_poisson_draws(spark):
+    from tessella.operators import resampling
+
+    n = spark.range(20_000).select(resampling.poisson_draw(resampling.uniform(F.lit("x"), "id")).alias("w")).groupBy("w").count().toPandas().set_index("w")["count"] / 20_000
+    assert [abs(n[k] - np.exp(-1) / f) < 0.015 for k, f in enumerate((1, 1, 2, 6))] == [True] * 4
+
+
+def test_permutation(spark):
+    from tessella.operators import resampling
+
+    rng = np.random.default_rng(76)
+    rows = [(i, g, i % 3 == 0, float(rng.normal(0, 1) + (1.5 if g == "shifted" and i % 3 == 0 else 0))) for i in range(90) for g in ("shifted", "same", "alone") if g != "alone" or i % 3]
+    out = {r.g: r for r in resampling.permutation_test(spark.createDataFrame(rows, "i long, g string, f boolean, v double"), "i", "f", "v", 199, ["g"]).collect()}
+    assert out["shifted"].p == pytest.approx(1 / 200) and out["shifted"].z > 4
+    assert 0.01 < out["same"].p <= 1 and abs(out["same"].null_mean) < 0.1
+    assert out["alone"].p is None and out["alone"].observed is None
+    whole = resampling.permutation_test(spark.createDataFrame(rows, "i long, g string, f boolean, v double").filter("g = 'shifted'"), "i", "f", "v", 199).head()
+    assert whole.observed == pytest.approx(out["shifted"].observed) and whole.p == out["shifted"].p
+
+
+def test_multinomial_and_mixture_bootstrap(spark):
+    from tessella.operators import resampling
+
+    shares = spark.createDataFrame([("x", "a", 1.0), ("x", "b", 3.0), ("x", "c", 0.0), ("y", "d", 2.0)], "g string, c string, s double")
+    got = resampling.multinomial(shares, "c", "s", 5000, 4, ["g"]).toPandas()
+    assert got.groupby(["g", "round"])["n"].sum().eq(5000).all() and "c" not in set(got["c"])
+    assert (got[got["c"] == "b"]["n"] / 5000 - 0.75).abs().max() < 0.03
+    rng = np.random.default_rng(77)
+    p = rng.random((2, 8))
+    profiles = long(spark, p, "kind", "int").withColumn("kind", F.concat(F.lit("k"), "kind"))
+    mix = 0.3 * p[0] / p[0].sum() + 0.7 * p[1] / p[1].sum()
+    counts = spark.createDataFrame([(f"f{j:03d}", float(1e4 * mix[j])) for j in range(8)], "f string, v double")
+    fit, drawn = resampling.mixture_bootstrap(counts, profiles, "f", "v", "kind", 2000, 20)
+    assert {r.kind: round(r.weight, 3) for r in fit.collect()} == {"k0": 0.3, "k1": 0.7}
+    found = {r.kind: r for r in resampling.bounds(drawn, ["kind"], "weight").collect()}
+    assert found["k0"].low < 0.3 < found["k0"].high and found["k0"].high - found["k0"].low < 0.4
+
+
+def test_vote_confidence(spark):
+    from tessella.operators import resampling
+
+    rows = [(u, c, f"f{i}", 2.0 if c == "a" and u == 1 else 1.0 if (i + len(c)) % 2 else 0.9) for u in (1, 2) for c in ("a", "bb") for i in range(8)]
+    got = {(r.u, r.c): r.confidence for r in resampling.vote_confidence(spark.createDataFrame(rows, "u int, c string, f string, s double"), "u", "c", "f", "s", 100).collect()}
+    assert got[1, "a"] == 1.0 and (1, "bb") not in got and 0.1 < got[2, "a"] < 0.9 and got[2, "a"] + got[2, "bb"] == pytest.approx(1)
+
+
+def test_design_ranks(spark):
+    rng = np.random.default_rng(78)
+    rows = [(g, float(x := rng.normal(1e6, 1)), float(2 * x + 1 if g == 0 else rng.normal()), 5.0 if g < 2 else float(rng.normal())) for g in range(3) for _ in range(40)] + [(3, None, 1.0, 1.0), (4, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double")
+    assert {(r.g, r["rank"], r.n) for r in solvers.design_ranks(df, ["g"], ["x", "y", "z"]).collect()} == {(0, 2, 40), (1, 3, 40), (2, 4, 40), (3, 0, 0), (4, 1, 1)}
+    assert solvers.design_ranks(df, [], ["x"]).head()["rank"] == 2
