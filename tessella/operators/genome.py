@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .joins import kmers, seed_join
 from .ordered import islands
-from .sequence import binned_depth, mismatches, reverse_complement, splice_priority, translated
+from .sequence import binned_depth, mismatches, reference_lookup, reverse_complement, splice_priority, translated
 
 
 def both_strands(reads: DataFrame, seq: str = "seq") -> DataFrame:
@@ -25,8 +25,8 @@ def reference_kmers(chunks: DataFrame, k: int) -> DataFrame:
     return each.select("contig", (F.col("offset") + F.col("x.at")).alias("pos"), F.col("x.kmer").alias("kmer")).distinct()
 
 
-def seed_votes(reads: DataFrame, index: DataFrame, k: int, step: int, most: int) -> DataFrame:
-    """Diagonals on which a read's seeds agree: ``read, strand, contig, diagonal, votes``. Seeds of repeats don't vote."""
+def seed_votes(reads: DataFrame, index: DataFrame, k: int, step: int, most: int | None) -> DataFrame:
+    """Diagonals on which a read's seeds agree: ``read, strand, contig, diagonal, votes``. Seeds with more than ``most`` places don't vote."""
     each = both_strands(reads).select("read", "strand", F.explode(F.filter(kmers(F.col("seq"), k), lambda x: x.at % step == 0)).alias("x"))
     seeds = each.select("read", "strand", F.col("x.at").alias("at"), F.col("x.kmer").alias("kmer"))
     return seed_join(seeds, index, "kmer", most).groupBy("read", "strand", "contig", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
@@ -49,6 +49,62 @@ def verified(placed: DataFrame, reads: DataFrame, chunks: DataFrame, width: int,
     return both.withColumn("mismatches", mismatches(F.col("seq"), window)).filter(F.col("mismatches") <= most_mismatches).drop("_o", "_ref", "chunk")
 
 
+def spliced(exons: DataFrame, chunks: DataFrame, width: int, piece: int = 64) -> DataFrame:
+    """``transcript, seq, joints`` of candidate transcripts: their exons' bases one after another, and where each exon ends in them.
+
+    ``exons`` has ``transcript, exon`` (its number in order), ``contig, start,
+    end`` (from 0, end exclusive). Bases are looked up in pieces of ``piece``,
+    by which chunks must overlap at least, so no contig is ever one row.
+    """
+    pieces = exons.select("transcript", "exon", "contig", "end", F.explode(F.sequence(F.col("start").cast("long"), F.col("end").cast("long") - 1, F.lit(piece).cast("long"))).alias("at"))
+    found = reference_lookup(pieces, chunks, "contig", "at", F.least(F.lit(piece), F.col("end") - F.col("at")).cast("int"), width)
+    order = F.array_sort(F.collect_list(F.struct("exon", "at", F.col("reference").alias("s"))))  # pieces of one transcript
+    seqs = found.groupBy("transcript").agg(F.array_join(F.transform(order, lambda x: x.s), "").alias("seq"))
+    lengths = F.array_sort(F.collect_list(F.struct("exon", (F.col("end") - F.col("start")).cast("long").alias("n"))))
+    ends = exons.groupBy("transcript").agg(lengths.alias("_l")).select("transcript", F.aggregate("_l", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x.n))).alias("joints"))
+    return seqs.join(ends, "transcript")
+
+
+def realigned(reads: DataFrame, transcripts: DataFrame, k: int = 12, step: int = 5, tried: int = 10, most_mismatches: int = 2) -> DataFrame:
+    """Reads laid on candidate transcripts without gaps, also over their joints: ``read, transcript, strand, start, end, mismatches, votes``.
+
+    Transcripts are indexed in spliced positions, so that a seed over two
+    exons is found like any other. Seeds of both strands vote for starts; of each
+    read, strand and transcript the ``tried`` starts of most votes, the first of
+    equals, are compared base by base. A read keeps its best place in each
+    transcript, by mismatches, votes, start and strand.
+    """
+    index = reference_kmers(transcripts.select(F.col("transcript").alias("contig"), F.lit(0).cast("long").alias("offset"), "seq"), k)
+    votes = seed_votes(reads, index, k, step, None).withColumnRenamed("contig", "transcript")
+    w = Window.partitionBy("read", "strand", "transcript").orderBy(F.desc("votes"), "diagonal")
+    few = votes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= tried)
+    laid = few.join(both_strands(reads).select("read", "strand", "seq"), ["read", "strand"]).join(transcripts.select("transcript", F.col("seq").alias("_t")), "transcript")
+    start, n = F.col("diagonal").cast("long"), F.length("seq")
+    inside = laid.filter((start >= 0) & (start + n <= F.length("_t")))
+    tested = inside.withColumn("mismatches", mismatches(F.col("seq"), F.substring("_t", (start + 1).cast("int"), n))).filter(F.col("mismatches") <= most_mismatches)
+    best = F.min(F.struct("mismatches", (-F.col("votes")).alias("v"), start.alias("start"), "strand", (start + n).alias("end"))).alias("_b")
+    return tested.groupBy("read", "transcript").agg(best).select("read", "transcript", "_b.strand", "_b.start", "_b.end", "_b.mismatches", (-F.col("_b.v")).alias("votes"))
+
+
+def exon_support(placed: DataFrame, transcripts: DataFrame, reads: DataFrame, overhang: int, weight: str | None = None) -> DataFrame:
+    """Reads for each exon of each candidate: ``transcript, exon, overlap, left, right, both``.
+
+    ``overlap`` counts reads that touch the exon, ``left`` and ``right`` those
+    that cross its joints by ``overhang`` bases on both sides, ``both`` those
+    that cross both; a transcript's outer ends are no joints and have nulls. Reads count
+    ``weight`` times, if given. Exons without reads have zeros.
+    """
+    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = placed.join(reads.select("read", n.alias("_w")), "read")
+    bounds = transcripts.select("transcript", F.size("joints").alias("_k"), F.posexplode(F.transform("joints", lambda e, i: F.struct(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("joints", i - 1)).alias("a"), e.alias("b")))).alias("_i", "_x"))
+    exons = bounds.select("transcript", (F.col("_i") + 1).alias("exon"), F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"), (F.col("_i") > 0).alias("_left"), (F.col("_i") + 1 < F.col("_k")).alias("_right"))
+    met = exons.join(rows, (exons.transcript == rows.transcript) & (F.col("start") < F.col("_b")) & (F.col("end") > F.col("_a")), "left").drop(rows.transcript)
+    over = lambda at: F.coalesce((F.col("start") <= F.col(at) - overhang) & (F.col("end") >= F.col(at) + overhang), F.lit(False))
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_w"))), F.lit(0).cast("long"))
+    sums = met.groupBy("transcript", "exon", "_left", "_right").agg(count(F.col("start").isNotNull()).alias("overlap"), count(over("_a")).alias("_l"), count(over("_b")).alias("_r"), count(over("_a") & over("_b")).alias("_lr"))
+    return sums.select("transcript", "exon", "overlap", F.when(F.col("_left"), F.col("_l")).alias("left"), F.when(F.col("_right"), F.col("_r")).alias("right"), F.when(F.col("_left") & F.col("_right"), F.col("_lr")).alias("both"))
+
+
 def split_reads(reads: DataFrame, left: str, right: str, seq: str, least: int) -> DataFrame:
     """Break points of reads that match the start of a left and the end of a right reference exactly: ``at`` bases come from the left."""
     n = F.length(seq)

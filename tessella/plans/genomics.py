@@ -120,6 +120,35 @@ def mapped_reads(t: Tables) -> DataFrame:
     return found.select("read", "contig", "strand", F.col("diagonal").cast("long").alias("position"), "mismatches")
 
 
+_GENES = f"SELECT s_suppkey AS k, string_agg({_PIECE.format('e', 's_suppkey', 'i')}, '' ORDER BY i) AS s FROM supplier, range(12) r(i) GROUP BY 1"
+_SPLICED = "substr(s, 11, 50) || substr(s, 121, 30 + k % 20) || substr(s, 251, 90)"
+_CHANGED = "substr(r, 1, 19) || translate(substr(r, 20, 1), 'ACGT', 'CGTA') || substr(r, 21)"
+
+
+@query(f"""
+WITH g AS ({_GENES}), t AS (SELECT k, s, {_SPLICED} AS t FROM g), o AS (SELECT k, t, i AS q, substr(t, i + 1, 40) AS r FROM t, range(0, 120, 7) x(i) UNION ALL SELECT k, t, 1000 + i, substr(s, i + 1, 40) FROM t, range(100, 260, 13) x(i)),
+c AS (SELECT k, t, q, CASE WHEN q % 3 = 0 THEN {_CHANGED} ELSE r END AS r, 1 + q % 3 AS n FROM o),
+h AS (SELECT k, q, n, i AS a, i + 40 AS b, hamming(substr(t, i + 1, 40), r) AS m FROM c, range(0, 160) x(i) WHERE i + 40 <= length(t)),
+p AS (SELECT k, q, n, a, b FROM (SELECT *, row_number() OVER (PARTITION BY k, q ORDER BY m, a) AS z FROM h WHERE m <= 2) WHERE z = 1),
+e AS (SELECT k, CAST(unnest([1, 2, 3]) AS INTEGER) AS exon, unnest([0, 50, 80 + k % 20]) AS x, unnest([50, 80 + k % 20, 170 + k % 20]) AS y FROM g),
+u AS (SELECT e.k, exon, x, y, a, b, n, coalesce(a <= x - 5 AND b >= x + 5, false) AS l, coalesce(a <= y - 5 AND b >= y + 5, false) AS r FROM e LEFT JOIN p ON e.k = p.k AND a < y AND b > x)
+SELECT 'T' || k AS transcript, exon, CAST(coalesce(sum(n), 0) AS BIGINT) AS overlap, CASE WHEN exon > 1 THEN CAST(coalesce(sum(n) FILTER (l), 0) AS BIGINT) END AS "left", CASE WHEN exon < 3 THEN CAST(coalesce(sum(n) FILTER (r), 0) AS BIGINT) END AS "right", CASE WHEN exon = 2 THEN CAST(coalesce(sum(n) FILTER (l AND r), 0) AS BIGINT) END AS "both"
+FROM u GROUP BY k, exon""")
+def transcript_support(t: Tables) -> DataFrame:
+    """Reads laid on candidate transcripts over their joints, counted for exons and joints; the SQL tries every place."""
+    pieces = ", ".join(_random("e", "s_suppkey", "'-'", str(i)) for i in range(12))
+    g = t.supplier.select(F.concat(F.lit("T"), "s_suppkey").alias("contig"), F.col("s_suppkey").alias("k"), F.expr(f"concat({pieces})").alias("s"))
+    bounds = F.array(*[F.struct(F.lit(i).alias("exon"), F.lit(a).cast("long").alias("start"), b.cast("long").alias("end")) for i, (a, b) in enumerate(((10, F.lit(60)), (120, 150 + F.col("k") % 20), (250, F.lit(340))), 1)])
+    exons = g.select(F.col("contig").alias("transcript"), "contig", F.explode(bounds).alias("x")).select("transcript", "contig", "x.*")
+    transcripts = genome.spliced(exons, sequence.chunked(g, "contig", "s", 128, 64), 128)
+    own = g.select("k", F.expr(f"{_SPLICED}").alias("t"), "s")
+    cut = lambda c, first, last, step, more: own.select("k", F.col(c).alias("c"), F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))).alias("i")).select("k", (F.col("i") + more).alias("q"), F.expr("substr(c, i + 1, 40)").alias("r"))
+    reads = cut("t", 0, 119, 7, 0).union(cut("s", 100, 259, 13, 1000))
+    r = F.when(F.col("q") % 3 == 0, F.expr(_CHANGED)).otherwise(F.col("r"))
+    reads = reads.select(F.concat_ws(":", "k", "q").alias("read"), F.when(F.col("q") % 2 == 0, r).otherwise(sequence.reverse_complement(r)).alias("seq"), (1 + F.col("q") % 3).alias("n"))
+    return genome.exon_support(genome.realigned(reads, transcripts), transcripts, reads, 5, "n")
+
+
 _BASES = "SELECT l_suppkey AS contig, l_linenumber AS pos, substr('ACGT', CAST(l_partkey % 4 AS INTEGER) + 1, 1) AS base, l_returnflag AS strand, l_quantity AS q FROM lineitem"
 
 
