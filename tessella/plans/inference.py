@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import mixtures, resampling
+from ..operators import axes, counts, mixtures, resampling
 from .registry import Tables, query
 
 #: Profiles of the regions over the brands, in a pattern of both numbers.
@@ -170,3 +170,87 @@ def vote_confidence(t: Tables) -> DataFrame:
     """How often each candidate of a unit wins when features are drawn with replacement."""
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("s", F.round("o_totalprice").cast("long"))
     return resampling.vote_confidence(rows, "c_nationkey", "c_mktsegment", "o_orderpriority", "s", 60).withColumn("confidence", F.round("confidence", 6))
+
+
+# ------------------------------------------------------------------- counts
+
+#: Twelve samples in two arms over genes; every fifth gene has one count that is far out.
+_ARMS = "SELECT p_brand || p_type AS gene, l_suppkey % 12 AS sample, CAST(sum(l_quantity) * CASE WHEN p_size % 5 = 0 AND l_suppkey % 12 = 3 THEN 40 ELSE 1 END AS DOUBLE) AS n FROM lineitem JOIN (SELECT p_partkey, p_brand, p_type, min(p_size) OVER (PARTITION BY p_brand, p_type) AS p_size FROM part) ON l_partkey = p_partkey GROUP BY p_brand, p_type, p_size, l_suppkey % 12"
+#: SQL: the mean of a group's scaled counts ``ks`` with factors ``fs`` that makes them likeliest under dispersion ``alpha``.
+_MEAN = "list_reduce(list_transform(range(0, 41), lambda i: CASE WHEN i = 0 THEN list_sum(ks) / list_sum(fs) ELSE 0.0 END), lambda m, i: m * exp(list_sum(list_transform(range(1, len(ks) + 1), lambda j: (ks[j] - m * fs[j]) / (1 + alpha * m * fs[j]))) / list_sum(list_transform(range(1, len(ks) + 1), lambda j: m * fs[j] / (1 + alpha * m * fs[j])))))"
+
+
+def _fitted(name: str, source: str) -> str:
+    """SQL: dispersions and fitted means of two groups of counts ``gene, sample, k, f``."""
+    return f"""
+{name}a AS (SELECT gene, least(12, greatest(1e-8, sum((pow(k / f - m, 2) - m / f) / (m * m)) / 10)) AS alpha FROM (SELECT *, greatest(avg(k / f) OVER (PARTITION BY gene, sample < 6), avg(k / f) OVER (PARTITION BY gene) / 10, 1e-9) AS m FROM {source}) GROUP BY 1),
+{name}g AS (SELECT gene, sample < 6 AS first, list(k ORDER BY sample) AS ks, list(f ORDER BY sample) AS fs FROM {source} GROUP BY ALL),
+{name}m AS (SELECT gene, first, alpha, {_MEAN} AS m, fs FROM {name}g JOIN {name}a USING (gene)),
+{name} AS (SELECT gene, first, alpha, m, list_sum(list_transform(fs, lambda f: m * f / (1 + alpha * m * f))) AS w FROM {name}m)"""
+
+
+_NORMAL = "list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow(abs(z) + i * 0.005, 2)))) * 0.005 / 3 * 2 / sqrt(2 * pi())"
+
+
+@query(f"""
+WITH c AS ({_ARMS}), whole AS (SELECT gene FROM c GROUP BY 1 HAVING count(*) = 12), l AS (SELECT gene, avg(ln(n)) AS m FROM c JOIN whole USING (gene) GROUP BY 1), s AS (SELECT sample, median(n / exp(m)) AS f FROM c JOIN l USING (gene) GROUP BY 1),
+k AS (SELECT g.gene, s.sample, coalesce(n, 0) AS k, f FROM (SELECT DISTINCT gene FROM c) g CROSS JOIN s LEFT JOIN c ON c.gene = g.gene AND c.sample = s.sample), {_fitted('one', 'k')},
+v AS (SELECT gene, k / f AS q, f, median(k / f) OVER (PARTITION BY gene, sample < 6) AS c FROM k), b AS (SELECT gene, pow(1.4826 * median(abs(q - c)), 2) AS s2, avg(c) AS m, avg(1 / f) AS inv FROM v GROUP BY 1), u AS (SELECT gene, least(12, greatest(0.04, (s2 - m * inv) / (m * m))) AS robust FROM b),
+d AS (SELECT k.*, pow(k - m * f, 2) / (m * f + robust * pow(m * f, 2)) / 2 * (m * f / (1 + alpha * m * f) / w) / pow(1 - m * f / (1 + alpha * m * f) / w, 2) AS cook FROM k JOIN one ON one.gene = k.gene AND first = (sample < 6) JOIN u ON u.gene = k.gene),
+t AS (SELECT gene, list_avg(list_sort(list(k / f))[3:10]) AS t, max(cook) AS most_cook, count(*) FILTER (cook > 7.5) AS replaced, avg(k / f) AS base_mean FROM d GROUP BY 1),
+r AS (SELECT d.gene, sample, f, CASE WHEN cook > 7.5 THEN t * f ELSE k END AS k FROM d JOIN t USING (gene)), {_fitted('two', 'r')},
+z AS (SELECT gene, any_value(alpha) AS alpha, ln(max(m) FILTER (first) / max(m) FILTER (NOT first)) AS b, sqrt(1 / max(w) FILTER (first) + 1 / max(w) FILTER (NOT first)) AS se FROM two GROUP BY 1),
+p AS (SELECT *, {_NORMAL} AS p FROM (SELECT *, b / se AS z FROM z)), q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, gene) AS raw FROM p)
+SELECT gene, round(base_mean, 4) AS base_mean, round(alpha, 7) AS dispersion, round(b / ln(2), 6) + 0.0 AS log2_fold_change, round(se / ln(2), 6) AS std_error, round(p, 7) AS p, round(least(1.0, min(raw) OVER (ORDER BY p, gene ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS adjusted,
+  round(most_cook, 5) AS most_cook, CAST(replaced AS INTEGER) AS replaced FROM q JOIN t USING (gene)""")
+def differential_model(t: Tables) -> DataFrame:
+    """Log-linear count models with Cook's distances, counts that are far out replaced and fitted anew, Wald tests and adjustment."""
+    far = F.min("p_size").over(Window.partitionBy("p_brand", "p_type"))
+    parts = t.part.select("p_partkey", F.concat("p_brand", "p_type").alias("gene"), far.alias("size"))
+    rows = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn("sample", F.col("l_suppkey") % 12)
+    n = F.sum("l_quantity") * F.when((F.col("size") % 5 == 0) & (F.col("sample") == 3), 40).otherwise(1)
+    table = rows.groupBy("gene", "size", "sample").agg(n.alias("n"))
+    design = t.supplier.select((F.col("s_suppkey") % 12).alias("sample")).distinct().withColumn("arm", (F.col("sample") < 6).cast("int"))
+    out = counts.negative_binomial(table, "gene", "sample", "n", design, ["arm"], "arm", cutoff=7.5)
+    return out.select("gene", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("base_mean", 4), ("dispersion", 7), ("log2_fold_change", 6), ("std_error", 6), ("p", 7), ("adjusted", 6), ("most_cook", 5))], "replaced")
+
+
+# --------------------------------------------------------------------- axes
+
+#: Rows over features with two patterns of unlike size beside what was shipped.
+_LATENT = f"SELECT spot, b, v + 300 * (spot % 5) * b + 700 * (spot % 3) * (b % 4) AS v FROM ({_SHIPPED})"
+
+
+def _power(g: str, start: str) -> str:
+    """SQL: the leading direction of a Gram matrix, a list of lists, by repeated products."""
+    product = f"list_transform({g}, lambda r: list_sum(list_transform(range(1, len(r) + 1), lambda j: r[j] * x[j])))"
+    scaled = "list_transform(y, lambda e: e / sqrt(list_sum(list_transform(y, lambda u: u * u))))"
+    return f"list_reduce(list_transform(range(0, 120), lambda i: CASE WHEN i = 0 THEN {start} ELSE CAST([] AS DOUBLE[]) END), lambda x, i: list_transform([{product}], lambda y: {scaled})[1])"
+
+
+_AXES = f"""
+l AS ({_LATENT}), n AS (SELECT count(DISTINCT spot) AS n FROM l), m AS (SELECT b, sum(v) / any_value(n) AS m FROM l, n GROUP BY 1), x AS (SELECT s.spot, m.b, coalesce(v, 0) - m AS x FROM (SELECT DISTINCT spot FROM l) s CROSS JOIN m LEFT JOIN l ON l.spot = s.spot AND l.b = m.b),
+c AS (SELECT a.b AS i, c.b AS j, sum(a.x * c.x) / any_value(n) AS c FROM x a JOIN x c USING (spot), n GROUP BY ALL), r AS (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY 1), g AS (SELECT list(r ORDER BY i) AS g, list(CAST(1 + i % 3 AS DOUBLE) ORDER BY i) AS s FROM r),
+p1 AS (SELECT g, s, {_power('g', 's')} AS p FROM g), e1 AS (SELECT *, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * list_sum(list_transform(range(1, len(p) + 1), lambda j: g[i][j] * p[j])))) AS e FROM p1),
+h AS (SELECT p AS p1, e AS e1, s, list_transform(range(1, len(p) + 1), lambda i: list_transform(range(1, len(p) + 1), lambda j: g[i][j] - e * p[i] * p[j])) AS g FROM e1), p2 AS (SELECT p1, e1, g, {_power('g', 's')} AS p2 FROM h),
+a AS (SELECT 1 AS axis, p1 AS p FROM p2 UNION ALL SELECT 2, p2 FROM p2), d AS (SELECT axis, CASE WHEN list_max(p) >= -list_min(p) THEN p ELSE list_transform(p, lambda e: -e) END AS p FROM a)"""
+
+
+@query(f"""
+WITH {_AXES.strip()}, v AS (SELECT spot, list(x ORDER BY b) AS x FROM x GROUP BY 1)
+SELECT spot, CAST(axis AS INTEGER) AS axis, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * x[i])), 2) + 0.0 AS score FROM v, d""")
+def latent_scores(t: Tables) -> DataFrame:
+    """Scores of rows on the axes of largest variance, by an iterated distributed product; the SQL iterates a Gram matrix."""
+    v = F.col("v") + 300 * (F.col("spot") % 5) * F.col("b") + 700 * (F.col("spot") % 3) * (F.col("b") % 4)
+    _, scores = axes.latent_axes(_shipped(t).withColumn("v", v), "spot", "b", "v", 2)
+    return scores.select("spot", "axis", (F.round("score", 2) + 0.0).alias("score"))
+
+
+@query(f"""
+WITH {_AXES.strip()}, f AS (SELECT list(b ORDER BY b) AS f FROM m), u AS (SELECT axis, unnest(range(1, len(p) + 1)) AS i, p FROM d)
+SELECT CAST(axis AS INTEGER) AS axis, f[i] AS b, round(p[i], 7) + 0.0 AS weight FROM u, f""")
+def principal_axes(t: Tables) -> DataFrame:
+    """Weights of the features on the axes of largest variance."""
+    v = F.col("v") + 300 * (F.col("spot") % 5) * F.col("b") + 700 * (F.col("spot") % 3) * (F.col("b") % 4)
+    found, _ = axes.latent_axes(_shipped(t).withColumn("v", v), "spot", "b", "v", 2)
+    return found.select("axis", "b", (F.round("weight", 7) + 0.0).alias("weight"))

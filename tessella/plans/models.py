@@ -357,12 +357,3 @@ def group_power(t: Tables) -> DataFrame:
     v = t.customer.select((F.col("c_mktsegment") == "BUILDING").cast("int").alias("g"), F.col("c_acctbal").alias("v"))
     out = tasks.power_summary(v, "g", 1, 0, "v")
     return out.select(F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"), (F.round("d", 6) + 0.0).alias("d"), (F.col("n_per_group") > 1).alias("has_n"))
-
-
-@query("SELECT round(sum(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax), 2) AS trace, CAST(3 AS INTEGER) AS axes, true AS orthogonal FROM lineitem")
-def principal_axes(t: Tables) -> DataFrame:
-    """Axes of a matrix from its sums of products: they are orthogonal and keep its trace."""
-    g = solvers.gram(t.lineitem, ["l_quantity", "l_discount", "l_tax"])
-    axes = solvers.principal_axes(g, 3)
-    kept = float(np.trace(axes.T @ g @ axes))
-    return t.spark.createDataFrame([(round(kept, 2), axes.shape[1], bool(np.allclose(axes.T @ axes, np.eye(3), atol=1e-9)))], "trace double, axes int, orthogonal boolean")

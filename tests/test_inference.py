@@ -147,3 +147,70 @@ def test_design_ranks(spark):
     df = spark.createDataFrame(rows, "g int, x double, y double, z double")
     assert {(r.g, r["rank"], r.n) for r in solvers.design_ranks(df, ["g"], ["x", "y", "z"]).collect()} == {(0, 2, 40), (1, 3, 40), (2, 4, 40), (3, 0, 0), (4, 1, 1)}
     assert solvers.design_ranks(df, [], ["x"]).head()["rank"] == 2
+
+
+# ------------------------------------------------------------ counts, axes
+
+
+def test_f_quantile():
+    from tessella.operators.counts import f_quantile
+
+    assert [f_quantile(0.99, *d) for d in ((2, 10), (1, 4), (5, 30))] == pytest.approx([7.559, 21.198, 3.699], rel=1e-3)
+
+
+def test_negative_binomial(spark):
+    from tessella.operators import counts
+
+    rng = np.random.default_rng(79)
+    n, arm, batch = 14, np.arange(14) % 2, (np.arange(14) // 7)
+    f = np.exp(rng.normal(0, 0.3, n))
+    fold = np.where(np.arange(60) < 5, 2.0, np.where(np.arange(60) < 10, -2.0, 0.0))  # as many up as down
+    mu = np.exp(rng.normal(5, 0.5, 60))[:, None] * np.exp(fold[:, None] * np.log(2) * arm + 0.4 * batch) * f
+    k = rng.negative_binomial(20, 20 / (20 + mu)).astype(float)
+    k[30, 3] = k[30].max() * 60  # far out
+    k[50] = 0
+    k[51, arm == 1] = 0
+    table = spark.createDataFrame([(f"g{i:02d}", j, float(k[i, j])) for i in range(60) for j in range(n) if k[i, j]], "gene string, s int, v double").repartition(5)
+    design = spark.createDataFrame([(j, int(arm[j]), int(batch[j])) for j in range(n)], "s int, arm int, batch int")
+    got = {r.gene: r for r in counts.negative_binomial(table, "gene", "s", "v", design, ["arm", "batch"], "arm").collect()}
+    assert len(got) == 59  # a gene without any count is not in the table
+    true = [got[f"g{i:02d}"] for i in range(50)]
+    assert all(r.adjusted < 0.01 and abs(r.log2_fold_change - fold[i]) < 0.8 for i, r in enumerate(true[:10]))
+    assert np.mean([r.p < 0.05 for r in true[10:]]) < 0.2  # dispersions of moments are not shared between genes
+    far = got["g30"]
+    assert far.replaced == 1 and far.most_cook > 10 and abs(far.log2_fold_change) < 1
+    assert sum(r.replaced for r in true) <= 3 and all(r.adjusted >= r.p - 1e-12 for r in true)
+    # scores are zero where the fit ends
+    x = np.column_stack([np.ones(n), arm, batch]).astype(float)
+    alpha = counts.dispersions(k[:50], f, x)
+    beta, covariance, mean = counts.fit(k[:50], f, x, alpha)
+    score = ((k[:50] - mean) / (1 + alpha[:, None] * mean)) @ x
+    assert np.abs(score).max() < 1e-5 and np.isfinite(beta).all() and (np.diagonal(covariance, axis1=1, axis2=2) > 0).all()
+    with pytest.raises(ValueError, match="rank"):
+        counts.negative_binomial(table, "gene", "s", "v", design.withColumn("twin", F.col("arm") * 2), ["arm", "twin"], "arm")
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_latent_axes(spark, monkeypatch, scale):
+    from tessella.operators import axes
+
+    monkeypatch.setattr(axes, "BLOCK", 100)
+    rng = np.random.default_rng(80)
+    m = rng.normal(size=(80, 2)) @ rng.normal(size=(2, 9)) * 5 + rng.normal(size=(80, 9)) * np.arange(1, 10) / 5 + 3
+    m[:, 4] = 2.0  # constant
+    m[7] = 0  # a row that has one value only, and that is nothing
+    df = long(spark, m, "id").unionByName(spark.createDataFrame([(7, "f000", 0.0)], "id long, f string, v double")).repartition(6)
+    table, scores = axes.latent_axes(df, "id", "f", "v", 3, scale)
+    x = m - m.mean(axis=0)
+    if scale:
+        x = np.divide(x, m.std(axis=0), out=np.zeros_like(x), where=m.std(axis=0) > 1e-9)
+    values, vectors = np.linalg.eigh(x.T @ x / 80)
+    got = {(r.axis, r.f): r for r in table.collect()}
+    mine = {(r.id, r.axis): r.score for r in scores.collect()}
+    assert len(mine) == 240
+    for j in range(3):
+        v = vectors[:, -1 - j]
+        v = v * np.sign(v[np.abs(v).argmax()])
+        assert [got[j + 1, f"f{i:03d}"].weight for i in range(9)] == pytest.approx(v.tolist(), abs=1e-6)
+        assert got[j + 1, "f000"].variance == pytest.approx(values[-1 - j])
+        assert [mine[i, j + 1] for i in range(80)] == pytest.approx((x @ v).tolist(), abs=1e-5)
