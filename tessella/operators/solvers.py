@@ -79,24 +79,51 @@ def assignment(weights: DataFrame, row: str, col: str, weight: str, by: Sequence
     return kept.groupBy(*by).applyInPandas(solve, kept.schema)
 
 
-def permutation_audit(weights: np.ndarray) -> tuple[float, float]:
-    """The largest and second largest total over all permutations of a small square matrix, by trying all."""
-    n = len(weights)
-    if n > 9:
-        raise ValueError("at most 9 rows")
-    best = sorted((float(weights[range(n), list(p)].sum()) for p in permutations(range(n))), reverse=True)
-    return best[0], best[1] if len(best) > 1 else best[0]
+def _table(rows: pd.DataFrame, row: str, col: str, weight: str) -> pd.DataFrame:
+    return rows.pivot_table(index=row, columns=col, values=weight, fill_value=0.0).sort_index().sort_index(axis=1)
 
 
-def fixed_pair_totals(weights: np.ndarray, row: int) -> np.ndarray:
-    """The largest total with ``row`` held to each column in turn."""
-    n, m = weights.shape
-    out = np.empty(m)
-    for c in range(m):
-        rest = np.delete(np.delete(weights, row, 0), c, 1)
-        own = best_assignment(rest) if n > 1 else np.empty(0, int)
-        out[c] = weights[row, c] + (rest[range(n - 1), own].sum() if n > 1 else 0.0)
-    return out
+def permutation_audit(weights: DataFrame, row: str, col: str, weight: str, by: Sequence[str]) -> DataFrame:
+    """The assignment of each group against all others: ``by, best, second, assigned``, of square tables of nine rows at most.
+
+    All totals are tried; ``assigned`` is what :func:`best_assignment` reaches.
+    """
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        w = _table(rows, row, col, weight).to_numpy(float)
+        n = len(w)
+        if n > 9 or w.shape[1] != n:
+            raise ValueError("a square table of at most 9 rows is needed")
+        totals = np.sort(w[np.arange(n), np.array(list(permutations(range(n))))].sum(axis=1))[::-1]
+        out = pd.DataFrame({"best": [totals[0]], "second": [totals[min(1, len(totals) - 1)]], "assigned": [w[range(n), best_assignment(w)].sum()]})
+        return out.assign(**{k: rows[k].iloc[0] for k in by})[[*by, "best", "second", "assigned"]]
+
+    kept = weights.select(*by, row, col, F.col(weight).cast("double").alias(weight))
+    kinds = ", ".join(f"`{c}` {weights.schema[c].dataType.simpleString()}" for c in by)
+    return kept.groupBy(*by).applyInPandas(solve, f"{kinds}, best double, second double, assigned double")
+
+
+def fixed_pair_totals(weights: DataFrame, row: str, col: str, weight: str, by: Sequence[str]) -> DataFrame:
+    """The largest total of each group with each pair held fixed in turn, and what that costs: ``by, row, col, total, loss``.
+
+    The loss is 0 for pairs of a best assignment. Tables have no more rows than columns.
+    """
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        table = _table(rows, row, col, weight)
+        w = table.to_numpy(float)
+        n, m = w.shape
+        totals = np.empty((n, m))
+        for r in range(n):
+            for c in range(m):
+                rest = np.delete(np.delete(w, r, 0), c, 1)
+                totals[r, c] = w[r, c] + (rest[range(n - 1), best_assignment(rest)].sum() if n > 1 else 0.0)
+        out = pd.DataFrame({row: np.repeat(table.index, m), col: np.tile(table.columns, n), "total": totals.ravel(), "loss": (totals.max() - totals).ravel()})
+        return out.assign(**{k: rows[k].iloc[0] for k in by})[[*by, row, col, "total", "loss"]]
+
+    kept = weights.select(*by, row, col, F.col(weight).cast("double").alias(weight))
+    kinds = ", ".join(f"`{c}` {weights.schema[c].dataType.simpleString()}" for c in (*by, row, col))
+    return kept.groupBy(*by).applyInPandas(solve, f"{kinds}, total double, loss double")
 
 
 # ------------------------------------------------------------------ mixtures

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence
-from ..operators import scoring, solvers, stats, validate
+from ..operators import matching, scoring, solvers, stats, validate
 from . import tasks
 from .registry import Tables, query
 
@@ -91,31 +91,37 @@ def unmixed_likelihood(t: Tables) -> DataFrame:
     return _unmixed(t, "em")
 
 
-_WEIGHTS = "SELECT x.r_regionkey AS i, y.r_regionkey AS j, CAST((x.r_regionkey * 7 + y.r_regionkey * y.r_regionkey * 3 + x.r_regionkey * y.r_regionkey * 5) % 17 AS DOUBLE) AS w FROM region x, region y"
+#: What each supplier shipped, in five classes of lines by five of orders.
+_PAIRS = "SELECT l_suppkey AS g, l_partkey % 5 AS i, l_orderkey % 5 AS j, CAST(sum(l_quantity) AS DOUBLE) AS w FROM lineitem GROUP BY ALL"
+_FILLED = f"SELECT g.g, i.i, j.j, coalesce(w, 0) AS w FROM (SELECT DISTINCT l_suppkey AS g FROM lineitem) g CROSS JOIN range(5) i(i) CROSS JOIN range(5) j(j) LEFT JOIN ({_PAIRS}) p ON p.g = g.g AND p.i = i.i AND p.j = j.j"
+_PERMUTED = f"w AS ({_FILLED}), l AS (SELECT g, i, list(w ORDER BY j) AS w FROM w GROUP BY ALL), h AS (SELECT g, list(w ORDER BY i) AS w FROM l GROUP BY 1), q AS (SELECT a.j AS a, b.j AS b, c.j AS c, d.j AS d, e.j AS e FROM range(5) a(j), range(5) b(j), range(5) c(j), range(5) d(j), range(5) e(j) WHERE len(list_distinct([a.j, b.j, c.j, d.j, e.j])) = 5), p AS (SELECT g, [a, b, c, d, e] AS js, w[1][a + 1] + w[2][b + 1] + w[3][c + 1] + w[4][d + 1] + w[5][e + 1] AS total FROM h, q)"
 
 
-def _weights(t: Tables) -> np.ndarray:
-    keys = sorted(r.r_regionkey for r in t.region.collect())
-    return np.array([[float((i * 7 + j * j * 3 + i * j * 5) % 17) for j in keys] for i in keys])
+def _weights(t: Tables, g: Column) -> DataFrame:
+    own = t.lineitem.groupBy(g.alias("g"), (F.col("l_partkey") % 5).alias("i"), (F.col("l_orderkey") % 5).alias("j")).agg(F.sum("l_quantity").cast("double").alias("w"))
+    five = F.array(*[F.lit(k).cast("long") for k in range(5)])
+    cells = t.lineitem.select(g.alias("g")).distinct().withColumn("i", F.explode(five)).withColumn("j", F.explode(five))
+    return cells.join(own, ["g", "i", "j"], "left").na.fill(0.0, ["w"])
 
 
-_PERMUTED = f"w AS ({_WEIGHTS}), p AS (SELECT a.j AS j0, a.w + b.w + c.w + d.w + e.w AS total FROM w a, w b, w c, w d, w e WHERE a.i = 0 AND b.i = 1 AND c.i = 2 AND d.i = 3 AND e.i = 4 AND len(list_distinct([a.j, b.j, c.j, d.j, e.j])) = 5)"
+@query(f"WITH {_PERMUTED} SELECT g, max(total) AS best, list_sort(list(total), 'DESC')[2] AS second, max(total) AS assigned FROM p GROUP BY 1")
+def permutation_audit(t: Tables) -> DataFrame:
+    """The best assignment of each group against all permutations."""
+    return solvers.permutation_audit(_weights(t, F.col("l_suppkey")), "i", "j", "w", ["g"])
 
 
-@query(f"WITH {_PERMUTED} SELECT max(total) AS best, list_sort(list(total), 'DESC')[2] AS second, max(total) AS assigned FROM p")
-def permutation_audit(t: Tables) -> DataFrame:
-    """The best assignment against all permutations."""
-    w = _weights(t)
-    best, second = solvers.permutation_audit(w)
-    assigned = float(w[range(len(w)), solvers.best_assignment(w)].sum())
-    return t.spark.createDataFrame([(best, second, assigned)], "best double, second double, assigned double")
+@query(f"WITH {_PERMUTED.replace('l_suppkey AS g', 'l_suppkey % 8 AS g')} SELECT g, CAST(5 AS BIGINT) AS pairs, max(total) AS total FROM p GROUP BY 1")
+def auction_totals(t: Tables) -> DataFrame:
+    """Totals of assignments that an auction finds, with prices as a table and the rows of each group in two tasks."""
+    found = matching.auction(_weights(t, F.col("l_suppkey") % 8), "i", "j", "w", ["g"], unit=1.0, blocks=2)
+    one = found.groupBy("g").agg(F.countDistinct("i", "j").alias("n"), F.countDistinct("j").alias("pairs"), F.sum("w").alias("total"))
+    return one.filter("n = pairs").select("g", "pairs", "total")
 
 
-@query(f"WITH {_PERMUTED} SELECT CAST(j0 AS INTEGER) AS col, max(total) AS total FROM p GROUP BY 1")
+@query(f"WITH {_PERMUTED}, u AS (SELECT g, unnest(range(5)) AS i, js, total FROM p), m AS (SELECT g, i, js[i + 1] AS j, max(total) AS total FROM u GROUP BY ALL) SELECT g, i, j, total, max(total) OVER (PARTITION BY g) - total AS loss FROM m")
 def fixed_pairs(t: Tables) -> DataFrame:
-    """The best total with one pair held fixed."""
-    totals = solvers.fixed_pair_totals(_weights(t), 0)
-    return t.spark.createDataFrame([(j, float(x)) for j, x in enumerate(totals)], "col int, total double")
+    """The best total of each group with each pair held fixed, and what it costs."""
+    return solvers.fixed_pair_totals(_weights(t, F.col("l_suppkey")), "i", "j", "w", ["g"])
 
 
 @query("""

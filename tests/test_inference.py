@@ -214,3 +214,44 @@ def test_latent_axes(spark, monkeypatch, scale):
         assert [got[j + 1, f"f{i:03d}"].weight for i in range(9)] == pytest.approx(v.tolist(), abs=1e-6)
         assert got[j + 1, "f000"].variance == pytest.approx(values[-1 - j])
         assert [mine[i, j + 1] for i in range(80)] == pytest.approx((x @ v).tolist(), abs=1e-5)
+
+
+# ----------------------------------------------------------------- matching
+
+
+@pytest.mark.parametrize(("rows", "cols", "blocks"), [(12, 12, 3), (7, 11, 2), (9, 9, 1)])
+def test_auction(spark, rows, cols, blocks):
+    from tessella.operators import matching
+
+    rng = np.random.default_rng(rows)
+    tables = {g: rng.integers(-20, 60, (rows, cols)) / 4 for g in ("a", None)}
+    data = [(g, i, f"c{j:02d}", float(w[i, j])) for g, w in tables.items() for i in range(rows) for j in range(cols)]
+    df = spark.createDataFrame([*data, ("a", None, "c00", 99.0), ("a", 0, "c01", None)], "g string, i int, c string, w double").repartition(5)
+    got = matching.auction(df, "i", "c", "w", ["g"], unit=0.25, blocks=blocks).collect()
+    for g, w in tables.items():
+        own = [r for r in got if r.g == g]
+        assert sorted(r.i for r in own) == list(range(rows)) and len({r.c for r in own}) == rows
+        assert all(r.w == w[r.i, int(r.c[1:])] for r in own)
+        assert sum(r.w for r in own) == pytest.approx(w[range(rows), solvers.best_assignment(w)].sum())
+
+
+def test_auction_of_a_sparse_table_and_edges(spark):
+    from tessella.operators import matching
+
+    df = spark.createDataFrame([(0, 0, 5.0), (0, 1, 4.0), (1, 0, 5.0), (2, 2, 1.0), (2, 1, 9.0)], "i int, j int, w double")
+    assert {(r.i, r.j) for r in matching.auction(df, "i", "j", "w").collect()} == {(0, 1), (1, 0), (2, 2)}
+    assert matching.auction(df.limit(0), "i", "j", "w").count() == 0
+    with pytest.raises(ValueError, match="more rows"):
+        matching.auction(df.withColumn("j", F.lit(1)), "i", "j", "w")
+
+
+def test_assignment_audits(spark):
+    rng = np.random.default_rng(81)
+    w = rng.integers(0, 30, (4, 4)).astype(float)
+    df = spark.createDataFrame([("x", i, j, float(w[i, j])) for i in range(4) for j in range(4)], "g string, i int, j int, w double")
+    totals = sorted((w[range(4), list(p)].sum() for p in permutations(range(4))), reverse=True)
+    r = solvers.permutation_audit(df, "i", "j", "w", ["g"]).head()
+    assert (r.best, r.second, r.assigned) == (totals[0], totals[1], totals[0])
+    for r in solvers.fixed_pair_totals(df, "i", "j", "w", ["g"]).collect():
+        want = max(w[range(4), list(p)].sum() for p in permutations(range(4)) if p[r.i] == r.j)
+        assert (r.total, r.loss) == (want, totals[0] - want)
