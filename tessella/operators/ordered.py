@@ -42,13 +42,13 @@ _HOWS: dict[str, tuple[Callable[..., Column], Callable[..., Column], Callable[[C
 
 
 def placed(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """Rows dealt out in ranges of ``by`` and ``order``: adds ``_part``, the range, and ``_place``, the place in it from 0.
+    """Rows dealt out in ranges of ``by`` and ``order``: adds ``_scan_part``, the range, and ``_scan_place``, the place in it from 0.
 
     The result is a written table, so both stay as they are.
     """
     keys = [*(F.col(c) for c in by), *order]
-    out = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    return out.withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    out = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_scan_at", F.monotonically_increasing_id()))
+    return out.withColumn("_scan_part", F.shiftright("_scan_at", 33)).withColumn("_scan_place", F.col("_scan_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_scan_at")
 
 
 def scan(df: DataFrame, order: Sequence[Column], running: dict[str, Running], by: Sequence[str] = ()) -> DataFrame:
@@ -58,25 +58,25 @@ def scan(df: DataFrame, order: Sequence[Column], running: dict[str, Running], by
     group; a running value of no rows is null, a count of none is zero.
     """
     # expressions are computed once, before the rows are dealt out
-    values = {f"_v{i}": F.col(x.value) if isinstance(x.value, str) else F.lit(1) if x.value is None else x.value for i, x in enumerate(running.values())}
+    values = {f"_scan_v{i}": F.col(x.value) if isinstance(x.value, str) else F.lit(1) if x.value is None else x.value for i, x in enumerate(running.values())}
     rows = placed(df.withColumns(values), order, by)
     summaries = [_HOWS[x.how][0](v).alias(v) for v, x in zip(values, running.values(), strict=True)]
-    parts = rows.groupBy(*by, "_part").agg(*summaries)
+    parts = rows.groupBy(*by, "_scan_part").agg(*summaries)
     if not by:  # a row for each part: few, whatever the number of rows
         parts = df.sparkSession.createDataFrame(parts.collect(), parts.schema).coalesce(1)
 
     def frame(place: str, x: Running, last: int) -> Window:
         at = F.desc(place) if x.down else F.asc(place)
-        return Window.partitionBy(*by, *(["_part"] if place == "_place" else [])).orderBy(at).rowsBetween(Window.unboundedPreceding, last)
+        return Window.partitionBy(*by, *(["_scan_part"] if place == "_scan_place" else [])).orderBy(at).rowsBetween(Window.unboundedPreceding, last)
 
-    carried = parts.select(*by, F.col("_part").alias("_of"), *[_HOWS[x.how][1](v).over(frame("_part", x, -1)).alias(f"{v}c") for v, x in zip(values, running.values(), strict=True)])
-    same = F.col("_part") == F.col("_of")
+    carried = parts.select(*by, F.col("_scan_part").alias("_scan_of"), *[_HOWS[x.how][1](v).over(frame("_scan_part", x, -1)).alias(f"{v}c") for v, x in zip(values, running.values(), strict=True)])
+    same = F.col("_scan_part") == F.col("_scan_of")
     for c in by:
-        carried = carried.withColumnRenamed(c, f"{c}_of")
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+        carried = carried.withColumnRenamed(c, f"_scan_of_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_scan_of_{c}"))
     met = rows.join(carried if by else F.broadcast(carried), same)
     for (name, x), v in zip(running.items(), values, strict=True):
-        own = _HOWS[x.how][0](v).over(frame("_place", x, -1 if x.before else 0))
+        own = _HOWS[x.how][0](v).over(frame("_scan_place", x, -1 if x.before else 0))
         both = _HOWS[x.how][2](F.col(f"{v}c"), own)
         met = met.withColumn(name, F.coalesce(both, F.lit(0)) if x.how == "count" else both)
     return met.select(*df.columns, *running)

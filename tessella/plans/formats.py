@@ -120,6 +120,19 @@ def fasta_records(t: Tables) -> DataFrame:
     return found.select("name", F.col("c.start").alias("cds_start"), F.col("c.end").alias("cds_end"), F.length("seq").alias("bases"), sequence.is_dna(F.col("seq")).alias("dna"), sequence.bounds_ok(F.col("c.start"), F.col("c.end"), F.length("seq")).alias("in_bounds"))
 
 
+@query(r"""
+WITH g AS (SELECT s_suppkey AS k, string_agg(translate(md5('f' || s_suppkey || '-' || i), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY i) AS s FROM supplier, range(12) r(i) GROUP BY 1),
+c AS (SELECT 'S' || k AS contig, CAST(unnest(range(0, 4)) AS INTEGER) AS chunk, s FROM g)
+SELECT contig, chunk, CAST(chunk AS BIGINT) * 100 AS "offset", substr(s, chunk * 100 + 1, 117) AS seq FROM c""")
+def fasta_ranges(t: Tables) -> DataFrame:
+    """Chunks of FASTA sequences, whose files are read in byte ranges."""
+    pieces = ", ".join(f"translate(md5(concat('f', s_suppkey, '-', {i})), '0123456789abcdef', 'ACGTACGTACGTACGT')" for i in range(12))
+    d = t.supplier.select("s_suppkey", F.expr(f"concat({pieces})").alias("s"))
+    cut = ", ".join(rf"lower(substr(s, {i}, 59)), '\n'" for i in range(1, 384, 59))
+    path = _lines(d, rf"concat('>S', s_suppkey, ' some words\n', {cut})", t.folder())
+    return text.fasta_chunks(t.spark, path, 100, 17).select("contig", "chunk", "offset", "seq")
+
+
 def _fastq(t: Tables, mate: int) -> DataFrame:
     d = t.part.select("p_partkey", F.expr(_SEQ).alias("s"))
     seq = "s" if mate == 1 else "reverse(translate(s, 'ACGT', 'TGCA'))"

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ordered import Running, scan
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path, or something that its pattern matches, is there."""
@@ -226,3 +228,38 @@ def markdown_cells(body: Column) -> Column:
 def read_xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     """Rows of an XML table, by Spark's own reader."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+
+
+def fasta_chunks(spark: SparkSession, path: str, width: int, overlap: int) -> DataFrame:
+    """Long FASTA sequences as rows of ``width`` bases and the next ``overlap``: ``file, contig, chunk, offset, seq``, in upper case.
+
+    Files are read in byte ranges, so a contig may lie in many splits. A scan
+    with carry over the lines of each file gives each its header and its place
+    in the sequence; lines are then cut into the chunks that they touch. No row
+    or task holds a whole contig. Headers count up to the first white space;
+    contigs of equal names in a file are told apart by order, ``record`` from 1.
+    Text before the first header is not read; a contig without bases has no row.
+    """
+    meta = F.col("_metadata")
+    line = F.trim("value")
+    lines = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("_b"), line.alias("_l")).withColumn("_i", F.monotonically_increasing_id())
+    head = F.startswith("_l", F.lit(">"))
+    order = [F.asc("_b"), F.asc("_i")]
+    first = {
+        "record": Running("count", F.when(head, 1)),
+        "contig": Running("last", F.when(head, F.regexp_extract("_l", r"^>\s*(\S*)", 1))),
+        "_at": Running("sum", F.when(head, 0).otherwise(F.length("_l")).cast("long"), before=True),
+    }
+    told = scan(lines, order, first, ["file"])
+    # places only grow along a file, so the last header's is the largest so far
+    told = scan(told, order, {"_from": Running("max", F.when(head, F.coalesce("_at", F.lit(0).cast("long"))))}, ["file"])
+    own = told.filter(~head & (F.length("_l") > 0) & (F.col("record") > 0)).select("file", "contig", "record", F.upper("_l").alias("_l"), (F.col("_at") - F.col("_from")).alias("_o"))
+    last = F.col("_o") + F.length("_l") - 1
+    low = F.greatest(F.lit(0), F.floor((F.col("_o") - overlap) / width))
+    each = own.withColumn("chunk", F.explode(F.sequence(low, F.floor(last / width)))).withColumn("_a", F.greatest(F.col("_o"), F.col("chunk") * width))
+    piece = F.substring("_l", (F.col("_a") - F.col("_o") + 1).cast("int"), (F.least(last + 1, (F.col("chunk") + 1) * width + overlap) - F.col("_a")).cast("int"))
+    pieces = each.select("file", "contig", "record", "chunk", "_a", piece.alias("_s")).filter(F.length("_s") > 0)
+    order = F.array_sort(F.collect_list(F.struct("_a", "_s")))  # lines of a chunk
+    joined = pieces.groupBy("file", "record", "contig", "chunk").agg(F.array_join(F.transform(order, lambda x: x["_s"]), "").alias("seq"))
+    # what follows a sequence's last base alone is no chunk
+    return joined.select("file", "record", "contig", F.col("chunk").cast("int").alias("chunk"), (F.col("chunk") * width).alias("offset"), "seq")

@@ -150,3 +150,32 @@ def test_streams_equal_tables(spark, tmp_path):
             assert got.count() > 0 and got.exceptAll(want).count() == 0
     log = spark.createDataFrame([("A", 1, "ok"), ("A", 10, "failed"), ("B", 2, "failed"), ("B", 9, "ok")], "well string, id int, status string")
     assert [tuple(r) for r in events.terminal_failures(log, "well", "id", "status").collect()] == [("A", 10)]
+
+
+def test_fasta_in_byte_ranges(spark, tmp_path):
+    """One long contig over many splits, contigs of equal names, empty ones, blank lines and both line ends."""
+    import numpy as np
+
+    from tessella.sources import text
+
+    rng = np.random.default_rng(91)
+    seqs = ["".join(rng.choice(list("ACGTN"), n)) for n in (60_000, 0, 7, 100, 200)]
+    names = ["long", "none", "twin", "twin", "last"]
+    for f, eol in (("a", "\n"), ("b", "\r\n")):
+        lines = ["no header yet"]
+        for name, s in zip(names, seqs, strict=True):
+            lines += [f">{name} described here", *(s[i : i + 61].lower() for i in range(0, len(s), 61)), ""]
+        (tmp_path / f"{f}.fa").write_text(eol.join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(f"{tmp_path}/*.fa").rdd.getNumPartitions() > 20
+        got = text.fasta_chunks(spark, f"{tmp_path}/*.fa", 100, 30).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    for f in "ab":
+        own = {(r.record, r.contig, r.chunk, r.offset): r.seq for r in got if r.file.endswith(f"{f}.fa")}
+        want = {(k, n, c, c * 100): s[c * 100 : c * 100 + 130] for k, (n, s) in enumerate(zip(names, seqs, strict=True), 1) for c in range(-(-len(s) // 100))}
+        assert own == want
