@@ -9,9 +9,14 @@ labelled texts of each language, chosen by a hash of their ids. Texts of more
 than ``LONGEST`` characters are not sampled, and the sample has ``SAMPLE_CHARS``
 characters at most.
 
-Confidence is calibrated on a held-back tenth of the sample: a temperature is
-chosen by likelihood, and a text is rejected if its confidence is below what
-all but a fraction ``reject`` of the held-back texts reach, lowered by a margin.
+Rejection is learned and calibrated. The softmax has one more class, of no
+language: texts whose characters are shuffled, and random letters, made from the
+sample. A text's score is the probability of its best language beside that
+class. On a held-back tenth of the sample a temperature is chosen by
+likelihood, of passages of several lengths and as many shuffled and random ones;
+and for each class of lengths a text is rejected if its score is below one
+half, or below what all but a fraction ``reject`` of held-back real passages of
+that length reach, if that is less. So short texts, of which little can be said, stay.
 
 As the model is linear after the mean, its rows are sent out as scores for each
 language, which gives the same result. Every whole text is scored in numpy,
@@ -19,7 +24,7 @@ many at a time; no text is shuffled.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and counts
 as rejected; null labels are not learned from; with no labelled text every
-prediction is ``und``; one language alone is always predicted, with score 1.
+prediction is ``und``; one language alone is always predicted.
 Repeated rows are scored alike; an empty table gives no rows. Extra columns
 are not read.
 """
@@ -45,6 +50,8 @@ PER_LANG, LONGEST = 800, 200_000
 SAMPLE_CHARS = 64_000_000
 #: Code points that are scored together; bounds a worker's arrays.
 PIECE = 1 << 19
+#: Lengths, in characters, at which confidence is calibrated; a class of lengths reaches from each halfway, by ratio, to the next.
+LENGTHS = (20, 40, 80, 200, 1000)
 
 _STEP = np.uint32(0x9E3779B1)
 _letters: list[np.ndarray] = []
@@ -89,15 +96,15 @@ def grams(points: np.ndarray, size: int, buckets: int) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    scores: np.ndarray  # buckets x langs: embedding times softmax weights
+    scores: np.ndarray  # buckets x (langs and none): embedding times softmax weights
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray  # for each class of lengths
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, probability and whether it is rejected, of each text."""
         points, at = folded(texts)
-        k = len(self.langs)
+        k = len(self.bias)
         sums, counts = np.zeros((len(texts), k)), np.zeros(len(texts))
         for a, b in blocks(at, PIECE):
             own, edges = points[at[a] : at[b]], at[a : b + 1] - at[a]
@@ -115,10 +122,26 @@ class Model:
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
+        best = p[:, : len(self.langs)].argmax(axis=1)
         score = np.where(known, p[np.arange(len(p)), best], 0.0)
         lang = [self.langs[i] if ok else "und" for i, ok in zip(best, known, strict=True)]
-        return lang, score, ~known | (score < self.threshold)
+        return lang, score, ~known | (score < self.thresholds[_length_class(np.diff(at) - 2)])
+
+
+def _length_class(n: np.ndarray) -> np.ndarray:
+    """The class of folded lengths."""
+    edges = [(a * b) ** 0.5 for a, b in zip(LENGTHS[:-1], LENGTHS[1:], strict=True)]
+    return np.searchsorted(edges, n, "right")
+
+
+def scrambled(text: str, rng: np.random.Generator, letters: np.ndarray) -> str:
+    """A text of no language and the same length: its characters shuffled, or random letters of a few kinds in words."""
+    if rng.random() < 0.5:
+        return "".join(rng.permutation(list(text)))
+    few = rng.choice(letters, rng.integers(2, max(3, len(letters))))
+    own = rng.choice(few, len(text))
+    own[rng.random(len(text)) < rng.choice([0.0, 0.1, 0.2])] = " "
+    return "".join(own)
 
 
 def _sparse(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -135,29 +158,35 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
     """Fit a model; whole texts and passages of them, so that short texts are read as well."""
     langs = sorted(set(labels))
     if not langs:
-        return Model(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 2.0)
+        return Model(["und"], np.zeros((BUCKETS, 2), np.float32), np.zeros(2), 1.0, np.full(len(LENGTHS), 2.0))
     rng = np.random.default_rng(seed)
     target = np.array([langs.index(x) for x in labels])
+    none = len(langs)
     held = rng.random(len(texts)) < 0.1
     if held.all() or not held.any():
         held[:] = False
+    letters = np.array(sorted({c for t in texts for c in set(t.lower()) if c.isalpha()}) or ["x"])
     fit = np.flatnonzero(~held)
+
+    def passage(text: str, length: int) -> str:
+        start = rng.integers(0, max(1, len(text) - length))
+        return text[start : start + length]
+
     passages, of = [], []
     for i in fit:
         text = texts[i]
-        passages.append(text)
-        of.append(target[i])
-        for length in (40, 200):
-            start = rng.integers(0, max(1, len(text) - length))
-            passages.append(text[start : start + length])
+        for own in (text, passage(text, 40), passage(text, 200)):
+            passages.append(own)
             of.append(target[i])
+        passages.append(scrambled(passage(text, int(rng.choice([40, 200, 1000]))), rng, letters))
+        of.append(none)
     x, y = _sparse(passages), np.array(of)
-    k = len(langs)
+    k = len(langs) + 1
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, (WIDTH, k)).astype(np.float32), np.zeros(k, np.float32)
     # each parameter's steps shrink with the gradients it has had
     table_past, weights_past = np.full((BUCKETS, 1), 1e-8, np.float32), np.full((WIDTH, k), 1e-8, np.float32)
-    # languages weigh alike, whatever their share of the sample
+    # classes weigh alike, whatever their share of the sample
     share = np.bincount(y, minlength=k) / len(y)
     scale = (1 / (k * np.maximum(share, 1e-9))).clip(max=10).astype(np.float32)
     for epoch in range(epochs):
@@ -177,26 +206,34 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
             bias -= 0.01 * step * p
             table_past[ids, 0] += w * w * np.mean(back * back)
             table[ids] -= (step * w / np.sqrt(table_past[ids, 0]))[:, None] * back
-    model = Model(langs, table @ weights, bias, 1.0, 0.0)
-    check = [texts[i] for i in (np.flatnonzero(held) if held.any() else fit)]
-    truth = target[held] if held.any() else target[fit]
-    _calibrate(model, check, truth, reject)
+    model = Model(langs, table @ weights, bias, 1.0, np.zeros(len(LENGTHS)))
+    check = np.flatnonzero(held) if held.any() else fit
+    real = [passage(texts[i], n) for n in LENGTHS for i in check]
+    _calibrate(model, real, np.tile(target[check], len(LENGTHS)), [scrambled(t, rng, letters) for t in real], reject)
     return model
 
 
-def _calibrate(model: Model, texts: list[str], truth: np.ndarray, reject: float) -> None:
+def _calibrate(model: Model, real: list[str], truth: np.ndarray, negative: list[str], reject: float) -> None:
     best = (np.inf, 1.0)
     for t in np.geomspace(0.05, 20, 41):
         model.temperature = float(t)
-        lang, score, _ = model.predict(texts)
+        lang, score, _ = model.predict(real)
         right = np.array([model.langs.index(x) if x != "und" else -1 for x in lang]) == truth
-        rest = (1 - score) / max(1, len(model.langs) - 1)
-        loss = -np.log(np.clip(np.where(right, score, rest), 1e-9, 1)).mean()
+        loss = -np.log(np.clip(np.where(right, score, 1 - score), 1e-6, 1)).mean() - np.log(np.clip(1 - model.predict(negative)[1], 1e-6, 1)).mean()
         best = min(best, (loss, float(t)))
     model.temperature = best[1]
-    _, score, _ = model.predict(texts)
-    if len(score):
-        model.threshold = min(0.9, float(np.quantile(score, reject))) / 2
+    lang, score, _ = model.predict(real)
+    known = np.array([x != "und" for x in lang])
+    kind = _length_class(folded_lengths(real))
+    for c in range(len(LENGTHS)):
+        own = score[known & (kind == c)]
+        # where no passage of a length was seen, only what is surely no language goes
+        model.thresholds[c] = min(0.5, float(np.quantile(own, reject))) if len(own) else 0.01
+
+
+def folded_lengths(texts: list[str]) -> np.ndarray:
+    """How many characters of each text are left when it is folded, without the spaces around it."""
+    return np.diff(folded(texts)[1]) - 2
 
 
 def sample(docs: DataFrame, learn: Column, per_lang: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:

@@ -211,3 +211,28 @@ def test_class_prior():
         count = lambda x: np.bincount((np.clip(x, 0, 0.999) * SCORES).astype(int), minlength=SCORES)
         good, bad = rng.normal(0.6, 0.08, int(20_000 * share)), rng.normal(0.2, 0.08, int(20_000 * (1 - share)))
         assert abs(class_prior(count(np.concatenate([good, bad])), count(rng.normal(0.6, 0.08, 600))) - share) < 0.06
+
+
+# ------------------------------------------------------- language rejection
+
+
+def test_language_rejection_rates():
+    """Trained on a small corpus: shuffled texts, random letters and a language left out are rejected, held-out real texts and short ones are not."""
+    import duckdb
+
+    from tessella.llm.language_id import train
+
+    docs = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.01/documents.parquet' WHERE lang IS NOT NULL AND length(text) > 0 ORDER BY 1").fetchall()
+    held = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5 == 0]
+    learn = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5 != 0]
+    model = train([d[1] for d in learn], [d[2] for d in learn])
+    rng = np.random.default_rng(95)
+    lang, score, rejected = model.predict([d[1] for d in held])
+    assert np.mean([a == d[2] for a, d in zip(lang, held, strict=True)]) > 0.98 and rejected.mean() <= 0.01
+    assert model.predict([d[1][:25] for d in held])[2].mean() <= 0.02
+    assert model.predict(["".join(rng.permutation(list(d[1]))) for d in held])[2].mean() >= 0.9
+    assert model.predict(["".join(rng.choice(list("qxzjkvw   "), 300)) for _ in range(200)])[2].mean() >= 0.9
+    without = train([d[1] for d in learn if d[2] != "fr"], [d[2] for d in learn if d[2] != "fr"])
+    assert without.predict([d[1] for d in held if d[2] == "fr"])[2].mean() >= 0.9
+    assert train([], []).predict(["some text"])[0] == ["und"]
+    assert train(["one two three four"] * 20, ["en"] * 20).predict(["one two three"])[0] == ["en"]
