@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned for three kinds of secret. Then every place in it that is
-encoded, by percent signs, Unicode escapes or base64, is unwrapped into a layer
+encoded, by percent signs, Unicode escapes (of programs, URLs or character
+references by number) or base64, is unwrapped into a layer
 of its own, which is scanned and unwrapped in turn until nothing new comes up.
 What base64 holds may be compressed, any number of times over; it is inflated
 until it is no longer. A layer whose content was met before at the same place is
@@ -18,7 +19,8 @@ several readings are tried. All members of compressed data are read.
 
 Cases: a null text is empty and has no secrets; texts are scanned whole,
 however long; decoded data that is no UTF-8 text and does not decompress is
-dropped. Compressed data is inflated in a stream. Beyond ``WINDOW`` bytes it is
+dropped, so base64 of other character sets, raw deflate and other archives are
+not read, and neither is a token that is glued to a letter. Compressed data is inflated in a stream. Beyond ``WINDOW`` bytes it is
 scanned in windows of that size, each of which begins ``OVERLAP`` bytes before
 the end of the last, so memory is bounded; all secrets and tokens up to that
 length are found whole, and of longer ones a part. Such layers are counted in
@@ -56,7 +58,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _DIGIT = re.compile(r"[0-9]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+#: One Unicode escape: ``\\u0077``, ``\\U00000077``, ``\\u{77}``, ``\\x77``, ``%u0077``, ``&#119;`` or ``&#x77;``.
+_UNIT = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(f"(?:{re.sub(r'\((?!\?)', '(?:', _UNIT.pattern)})+")
+#: What every escape starts with.
+_MARK = re.compile(r"\\|%u|&#")
 #: A run over both alphabets and line breaks, and how parts of it may be read.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -154,8 +160,9 @@ def _percent(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _unicode(m: re.Match) -> list[tuple[str, int, int]]:
-    """Characters of a run of backslash escapes; surrogate pairs are one character, lone ones stay."""
-    units = [(int(x[2:], 16), m.start() + a, m.start() + b) for x, a, b in ((y.group(), *y.span()) for y in re.finditer(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}", m.group()))]
+    """Characters of a run of Unicode escapes; surrogate pairs are one character, lone ones and numbers of no character stay."""
+    units = [(int(y[7]) if y[7] else int(next(filter(None, y.groups())), 16), *y.span()) for y in _UNIT.finditer(m.group())]
+    units = [(c, m.start() + a, m.start() + b) for c, a, b in units]
     out, k = [], 0
     while k < len(units):
         c, a, b = units[k]
@@ -163,7 +170,7 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]]:
             out.append((chr(0x10000 + ((c - 0xD800) << 10) + units[k + 1][0] - 0xDC00), a, units[k + 1][2]))
             k += 2
             continue
-        if not 0xD800 <= c < 0xE000:
+        if not 0xD800 <= c < 0xE000 and c < 0x110000:
             out.append((chr(c), a, b))
         k += 1
     return out
@@ -266,13 +273,25 @@ def _begins(text: str, at: int) -> bool:
     return bool(raw) and (_is_packed(raw) or (raw.isascii() and all(c >= 32 or c in b"\t\n\r\x1b" for c in raw)))
 
 
+def _inflates(text: str, at: int) -> bool:
+    """Whether base64 from here on is compressed data, by what its first characters inflate to."""
+    raw = _bytes_of(_BREAK.sub("", text[at : at + 128])[:96])
+    if not raw or not _is_packed(raw):
+        return False
+    try:
+        zlib.decompressobj(47).decompress(raw, PIECE)
+    except zlib.error:
+        return False
+    return True
+
+
 def _readings(text: str, first: int, end: int) -> list[tuple[int, int]]:
     """Parts of a run that may be a token, by start, the longest first: the run, its lines
     and blocks of lines of one width, what starts like compressed data, and parts in one alphabet."""
     found = {(first, end)}
     lines = [m.span() for m in _LINE.finditer(text, first, end)]
     if len(lines) > 1:
-        found.update((a, end) for a, _ in lines if _PACKED.match(text, a))
+        found.update((a, end) for a, _ in lines if _PACKED.match(text, a) and _inflates(text, a))
         k = 0
         while k < len(lines):
             last = k
@@ -316,7 +335,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans, and how many windows of long layers were scanned."""
     text = text or ""
     base = base_spans(text)
-    if not _DIGIT.search(text) and "+" not in text and "/" not in text and "=" not in text and not re.search(r"[a-z][A-Z]|[_-]", text):
+    if not _DIGIT.search(text) and "\\" not in text and "%" not in text and "&#" not in text and "+" not in text and "/" not in text and "=" not in text and not re.search(r"[a-z][A-Z]|[_-]", text):
         return base, base, 0  # nothing in it can be encoded
     spans, windowed = list(base), 0
     places = np.arange(len(text), dtype=np.int64)
@@ -331,8 +350,8 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
     def inner(layer: Layer) -> Iterator[Layer]:
         """New layers of a layer, one after the other, so that a long one's windows are never held together."""
         nonlocal windowed
-        for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _unicode)):
-            if mark in layer.text and (found := _escaped(layer, pattern, decode)) and enter(found):
+        for mark, pattern, decode in ((_PERCENT, _PERCENT, _percent), (_MARK, _ESCAPE, _unicode)):
+            if mark.search(layer.text) and (found := _escaped(layer, pattern, decode)) and enter(found):
                 yield found
         for token, a, b, several in _tokens(layer):
             windowed += several

@@ -236,3 +236,75 @@ def test_language_rejection_rates():
     assert without.predict([d[1] for d in held if d[2] == "fr"])[2].mean() >= 0.9
     assert train([], []).predict(["some text"])[0] == ["und"]
     assert train(["one two three four"] * 20, ["en"] * 20).predict(["one two three"])[0] == ["en"]
+
+
+# ----------------------------------------------------------------- secrets
+
+
+def wrappers():
+    import base64
+    import gzip
+    import urllib.parse
+
+    text = lambda f: lambda s: "".join(f(c) for c in s)
+    packed = lambda f: lambda s: base64.b64encode(f(s.encode())).decode()
+    return {
+        "percent": text(lambda c: "".join(f"%{b:02X}" for b in c.encode())), "quoted": urllib.parse.quote, "u": text(lambda c: f"\\u{ord(c):04x}"), "U": text(lambda c: f"\\U{ord(c):08X}"), "brace": text(lambda c: f"\\u{{{ord(c):x}}}"),
+        "percent-u": text(lambda c: f"%u{ord(c):04X}"), "reference": text(lambda c: f"&#{ord(c)};"), "hexadecimal": text(lambda c: f"&#x{ord(c):x};"), "base64": packed(lambda b: b), "url-safe": lambda s: base64.urlsafe_b64encode(s.encode()).decode(),
+        "gzip": packed(lambda b: gzip.compress(b, mtime=0)), "zlib": packed(zlib.compress), "twice": packed(lambda b: gzip.compress(zlib.compress(b), mtime=0)),
+    }
+
+
+def test_secrets_in_random_nestings():
+    """A secret under one to four layers of any kinds is found, with the span of what hides it."""
+    from tessella.llm.secrets import scan
+
+    rng, ways = np.random.default_rng(96), wrappers()
+    for k in range(150):
+        secret = f'{rng.choice(["password", "api_key", "Token"])}: "{"".join(rng.choice(list("abcdXYZ0189"), 14))}"'
+        names = list(rng.choice(list(ways), int(rng.integers(1, 5))))
+        hidden = secret
+        for name in names:
+            hidden = ways[name](hidden)
+        if len(hidden) > 20_000 or hidden == secret:
+            continue
+        base, spans, _ = scan(f"before it {hidden} after it")
+        own = [(a, b) for kind, a, b in spans if kind == "assign" and a >= 10 and b <= 10 + len(hidden)]
+        assert own, (names, hidden[:200])
+        assert max(b - a for a, b in own) >= 0.5 * len(hidden), names
+    assert scan("&#99999999; \\U7fffffff \\u{ffffff} %uD800 &#xD800; token=abcdefgh")[1] == [("assign", 50, 64)]
+
+
+def test_secrets_reads_packed_looking_lines_once():
+    """Lines that only start like compressed data don't make a scan quadratic."""
+    import time
+
+    from tessella.llm.secrets import scan
+
+    rng = np.random.default_rng(97)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    took = []
+    for n in (1000, 4000):
+        text = "\n".join("eJ" + "".join(rng.choice(letters, 74)) for _ in range(n))
+        start = time.time()
+        scan(text)
+        took.append(time.time() - start)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_secrets_of_a_table(spark):
+    """Base spans equal plain patterns on a whole table, and each planted layer adds its span."""
+    from tessella.llm.secrets import scan_secrets
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").toPandas()
+    way = list(wrappers().items())
+    texts = {int(i): f"{t}\n{way[k % len(way)][1]('secret = hunter2hunter2')} end" if k % 3 == 0 else t for k, (i, t) in enumerate(zip(docs["doc_id"], docs["text"], strict=True))}
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    patterns = {"assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
+    for k, (i, t) in enumerate(texts.items()):
+        want = sorted((m.start(), n, m.end(), kind) for n, (kind, (p, g, least)) in enumerate(patterns.items()) for m in re.finditer(p, t, re.ASCII) if len(m.group(g)) >= least)
+        assert got[i].base == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(w[3] == kind for w in want) for kind in patterns)
+        if k % 3 == 0:
+            planted = t.rindex("\n") + 1
+            assert any(x.startswith("assign:") and int(x.split(":")[1]) >= planted for x in got[i].spans.split(",")), (i, t[planted:])
