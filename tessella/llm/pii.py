@@ -1,8 +1,9 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame operations.
 
 Four base patterns (mail addresses, IP addresses, card numbers, phone numbers),
-each with its check, find the seeds. The words next to a seed are lexical
-patterns: the word before it, and the word after it. A looser pattern finds
+each with its check, find the seeds. The words next to a seed give lexical
+patterns: the word before it or after it, two words on either side, the words on
+both sides, and the word before it with the seed's shape. A looser pattern finds
 candidates, things shaped like personal data that no base pattern takes: digit
 groups without a plus sign or a valid check digit, addresses spelled with "at".
 Candidates have words next to them as well, so patterns and instances (the
@@ -86,12 +87,15 @@ _VALID = {
 }
 
 
-def _word(near: Column, pattern: str) -> Column:
+def _word(near: Column, pattern: str, group: int = 1) -> Column:
     """The neighbour word that a pattern's group catches, lower-cased and bare of marks; null if there is none."""
-    word = F.regexp_replace(F.lower(F.regexp_extract(near, pattern, 1)), r"[^\p{L}\p{N}]+", "")
+    word = F.regexp_replace(F.lower(F.regexp_extract(near, pattern, group)), r"[^\p{L}\p{N}]+", "")
     return F.when(word != "", word)
 
 
+_LEFT, _RIGHT = rf"([^{_SPACE}]+)[{_SPACE}(\[\"':]*$", rf"^[{_SPACE})\]\"'.,;:!?]*([^{_SPACE}]+)"
+
+
 def _spans(pieces: Column, kind: Column) -> Column:
     """Matches as structs: start, end, kind, what was matched, and the words before and after."""
     # ends[i] is where piece i ends: within its block, plus where the block starts
@@ -114,15 +118,17 @@ def _spans(pieces: Column, kind: Column) -> Column:
                 F.get(e, i).alias("end"),
                 kind.alias("kind"),
                 F.get(pieces, i).alias("match"),
-                _word(before(i), rf"(?:^|[{_SPACE}])([^{_SPACE}]+)[{_SPACE}(\[\"':]*$").alias("left"),
-                _word(after(i), rf"^[{_SPACE})\]\"'.,;:!?]*([^{_SPACE}]+)").alias("right"),
+                _word(before(i), rf"(?:^|[{_SPACE}]){_LEFT}").alias("left"),
+                _word(after(i), _RIGHT).alias("right"),
+                _word(before(i), rf"(?:^|[{_SPACE}])([^{_SPACE}]+)[{_SPACE}]+{_LEFT}").alias("left2"),
+                _word(after(i), rf"{_RIGHT}[{_SPACE}]+([^{_SPACE}]+)", 2).alias("right2"),
             ),
         ),
     )[0]
     return F.when(F.size(pieces) > 2, found).otherwise(F.array().cast(_SPAN))
 
 
-_SPAN = "array<struct<start:int,end:int,kind:int,match:string,left:string,right:string>>"
+_SPAN = "array<struct<start:int,end:int,kind:int,match:string,left:string,right:string,left2:string,right2:string>>"
 
 
 def _base(text: Column) -> Column:
@@ -175,7 +181,9 @@ def _written(spans: Column) -> Column:
 
 def _edges(found: DataFrame) -> DataFrame:
     """Occurrences by pattern: ``row, start, end, kind, instance, pattern``."""
-    sides = F.array(F.concat(F.lit("< "), "s.left"), F.concat(F.lit("> "), "s.right"))
+    shape = F.regexp_replace(F.regexp_replace("s.match", r"\p{L}+", "a"), r"\p{N}", "0")
+    joined = lambda mark, *parts: F.concat(F.lit(mark), *[x for c in parts for x in (F.lit(" "), c)])  # noqa: E731  # null if a part is
+    sides = F.array(joined("<", "s.left"), joined(">", "s.right"), joined("<<", "s.left2", "s.left"), joined(">>", "s.right", "s.right2"), joined("<>", "s.left", "s.right"), joined("<#", "s.left", shape))
     each = found.select("row", "s.start", "s.end", "s.kind", F.lower("s.match").alias("instance"), F.explode(F.filter(sides, lambda p: p.isNotNull())).alias("pattern"))
     return each
 
