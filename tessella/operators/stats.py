@@ -196,6 +196,25 @@ def swap_gain(similarity: DataFrame, item: str, label: str, value: str) -> DataF
     return pairs.select("a", "b", F.least(F.col("ab") - F.col("aa"), F.col("ba") - F.col("bb")).alias("swap_score"))
 
 
+def swap_directions(scores: DataFrame, markers: DataFrame, item: str, feature: str, value: str) -> DataFrame:
+    """For pairs of items, how well each carries the other's markers: ``a, b, cross, win_rate, n, swap_score``.
+
+    ``markers`` has the features that mark an item. ``cross`` is the smaller of
+    both means of the one's markers in the other; ``win_rate`` the share of
+    the markers of both that are higher in the other than in their own item; the
+    score is ``cross + 2 win_rate - 1``. Markers without a value on either side do not count.
+    """
+    z = scores.select(F.col(feature).alias("f"), F.col(item).alias("i"), F.col(value).alias("v")).filter("v IS NOT NULL")
+    own = markers.select(F.col(item).alias("o"), F.col(feature).alias("f")).distinct()
+    held = own.join(z.withColumnRenamed("i", "o").withColumnRenamed("v", "self"), ["o", "f"])
+    met = held.join(z, "f").filter("i <> o").groupBy("o", "i").agg(F.avg("v").alias("m"), F.count_if(F.col("v") > F.col("self")).alias("w"), F.count(F.lit(1)).alias("n"))
+    one = met.filter("o < i").select(F.col("o").alias("a"), F.col("i").alias("b"), F.col("m").alias("ma"), F.col("w").alias("wa"), F.col("n").alias("na"))
+    two = met.filter("o > i").select(F.col("i").alias("a"), F.col("o").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"), F.col("n").alias("nb"))
+    win = (F.col("wa") + F.col("wb")) / (F.col("na") + F.col("nb"))
+    pairs = one.join(two, ["a", "b"]).select("a", "b", F.least("ma", "mb").alias("cross"), win.alias("win_rate"), (F.col("na") + F.col("nb")).alias("n"))
+    return pairs.withColumn("swap_score", F.col("cross") + 2 * F.col("win_rate") - 1)
+
+
 def stratified_sample(df: DataFrame, group: str, key: str, share: float, seed: int = 0) -> DataFrame:
     """About ``share`` of each group without replacement, by a hash of keys; the same rows in each run."""
     n = F.count(F.lit(1)).over(Window.partitionBy(group))

@@ -134,6 +134,19 @@ def swap_scores(t: Tables) -> DataFrame:
     return stats.swap_gain(similarity, "a", "b", "v")
 
 
+@query("""
+WITH c AS (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS f, l_linenumber AS i, CAST(sum(l_quantity) AS DOUBLE) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), z AS (SELECT f, i, (n - avg(n) OVER (PARTITION BY f)) / stddev_pop(n) OVER (PARTITION BY f) AS v FROM c), k AS (SELECT DISTINCT f, f % 7 + 1 AS o FROM c),
+m AS (SELECT o, z.i, avg(z.v) AS m, count(*) FILTER (z.v > s.v) AS w, count(*) AS n FROM k JOIN z s ON s.f = k.f AND s.i = o JOIN z ON z.f = k.f AND z.i <> o GROUP BY ALL)
+SELECT x.o AS a, CAST(x.i AS BIGINT) AS b, round(least(x.m, y.m), 6) AS "cross", round((x.w + y.w) / (x.n + y.n), 6) AS win_rate, x.n + y.n AS n, round(least(x.m, y.m) + 2 * (x.w + y.w) / (x.n + y.n) - 1, 6) AS swap_score FROM m x JOIN m y ON x.o = y.i AND x.i = y.o WHERE x.o < x.i""")
+def swap_directions(t: Tables) -> DataFrame:
+    """How well two items carry each other's markers: the smaller mean, the win rate and both as a score."""
+    rows = t.lineitem.join(t.part.select("p_partkey", F.substring("p_brand", 7, 9).cast("long").alias("f")), F.col("l_partkey") == F.col("p_partkey"))
+    n = rows.groupBy("f", F.col("l_linenumber").cast("long").alias("i")).agg(F.sum("l_quantity").cast("double").alias("n"))
+    z = n.select("f", "i", stats.row_z("n", ["f"]).alias("v"))
+    out = stats.swap_directions(z, n.select("f", (F.col("f") % 7 + 1).alias("i")).distinct(), "i", "f", "v")
+    return out.select("a", "b", F.round("cross", 6).alias("cross"), F.round("win_rate", 6).alias("win_rate"), "n", F.round("swap_score", 6).alias("swap_score"))
+
+
 @query("""
 WITH v AS (SELECT l_extendedprice AS y, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS g, l_linenumber AS k FROM lineitem), d AS (SELECT y - avg(y) OVER (PARTITION BY k) AS y, g - avg(g) OVER (PARTITION BY k) AS g FROM v)
 SELECT round(sum(y * g) / sum(g * g), 4) + 0.0 AS effect, count(*) AS n FROM d""")
