@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import axes, counts, mixtures, resampling
+from . import tasks
 from .registry import Tables, query
 
 #: Profiles of the regions over the brands, in a pattern of both numbers.
@@ -76,11 +77,15 @@ def selected_subsets(t: Tables) -> DataFrame:
 _BOUGHT = "SELECT o_custkey AS item, CAST(substr(p_brand, 7) AS BIGINT) AS b, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"
 
 
-@query(f"""
-WITH y AS ({_SHIPPED}), c AS ({_BOUGHT}), f AS (SELECT DISTINCT b FROM (SELECT b FROM y UNION ALL SELECT b FROM c)), n AS (SELECT count(*) AS n FROM f),
+_NEAR = f"""
+y AS ({_SHIPPED}), c AS ({_BOUGHT}), f AS (SELECT DISTINCT b FROM (SELECT b FROM y UNION ALL SELECT b FROM c)), n AS (SELECT count(*) AS n FROM f),
 ys AS (SELECT spot, sum(v) AS s, sum(v * v) AS ss FROM y GROUP BY 1), cs AS (SELECT item, sum(v) AS s, sum(v * v) AS ss FROM c GROUP BY 1), x AS (SELECT spot, item, sum(y.v * c.v) AS xy FROM y JOIN c USING (b) GROUP BY ALL),
 r AS (SELECT ys.spot, cs.item, round((n * coalesce(xy, 0) - ys.s * cs.s) / sqrt((n * ys.ss - ys.s * ys.s) * (n * cs.ss - cs.s * cs.s)), 9) AS r FROM ys JOIN cs ON true JOIN n ON true LEFT JOIN x ON x.spot = ys.spot AND x.item = cs.item WHERE n * ys.ss > ys.s * ys.s AND n * cs.ss > cs.s * cs.s),
-k AS (SELECT spot, item, row_number() OVER (PARTITION BY spot ORDER BY r DESC, item) AS k FROM r)
+k AS (SELECT spot, item, row_number() OVER (PARTITION BY spot ORDER BY r DESC, item) AS k FROM r)"""
+
+
+@query(f"""
+WITH {_NEAR.strip()}
 SELECT spot, c_mktsegment AS label, count(*) AS votes, round(count(*) / sum(count(*)) OVER (PARTITION BY spot), 6) AS share FROM k JOIN customer ON item = c_custkey WHERE k <= 100 GROUP BY 1, 2""")
 def nearest_votes(t: Tables) -> DataFrame:
     """Labels of the hundred rows that correlate best with each spot, found by blocks of products."""
@@ -254,3 +259,40 @@ def principal_axes(t: Tables) -> DataFrame:
     v = F.col("v") + 300 * (F.col("spot") % 5) * F.col("b") + 700 * (F.col("spot") % 3) * (F.col("b") % 4)
     found, _ = axes.latent_axes(_shipped(t).withColumn("v", v), "spot", "b", "v", 2)
     return found.select("axis", "b", (F.round("weight", 7) + 0.0).alias("weight"))
+
+
+# ---------------------------------------------------------- whole analyses
+
+_CELLS = "SELECT o_custkey AS cell, c_nationkey % 5 AS kind, CAST(substr(p_brand, 7) AS BIGINT) AS b, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
+
+
+@query(f"""
+WITH {_lattice(_PROFILES, _SHIPPED)}, best AS (SELECT spot, size, kinds, CASE WHEN yy > 0 THEN greatest(1 - res / yy, 0) ELSE 0 END AS r, row_number() OVER (PARTITION BY spot, size ORDER BY res, kinds) AS n FROM lattice),
+wide AS (SELECT spot, any_value(kinds) FILTER (size = 1) AS k1, any_value(kinds) FILTER (size = 2) AS k2, any_value(kinds) FILTER (size = 3) AS k3, max(r) FILTER (size = 1) AS r1, max(r) FILTER (size = 2) AS r2, max(r) FILTER (size = 3) AS r3 FROM best WHERE n = 1 GROUP BY 1),
+model AS (SELECT spot, CASE WHEN r2 - r1 >= 0.02 AND r3 - r2 >= 0.02 THEN 3 WHEN r2 - r1 >= 0.02 THEN 2 ELSE 1 END AS n, k1, k2, k3, r1, r2, r3 FROM wide),
+near AS ({"WITH " + _NEAR.strip()} SELECT spot, c_nationkey % 5 AS label, count(*) AS votes FROM k JOIN customer ON item = c_custkey WHERE k <= 100 GROUP BY 1, 2),
+label AS (SELECT spot, label, votes / sum(votes) OVER (PARTITION BY spot) AS share, row_number() OVER (PARTITION BY spot ORDER BY votes DESC, label) AS n FROM near),
+out AS (SELECT m.spot, ['pure', 'pair', 'triplet'][m.n] AS model, CASE m.n WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END AS kinds, CASE m.n WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END AS r2, label, share FROM model m LEFT JOIN label l ON l.spot = m.spot AND l.n = 1)
+SELECT spot, model, array_to_string(kinds, ',') AS kinds, round(r2, 7) AS r2, label, round(share, 6) AS label_share, coalesce(list_contains(kinds, label), false) AS agrees FROM out""")
+def deconvolved_spots(t: Tables) -> DataFrame:
+    """A whole analysis: what each spot is a mixture of, and whether its nearest rows say the same."""
+    named = {"b": "feature", "v": "value"}
+    rows = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.part.select("p_partkey", _brand()), F.col("l_partkey") == F.col("p_partkey"))
+    bought = rows.groupBy(F.col("o_custkey").alias("cell"), F.col("b").alias("feature")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    cells = bought.join(t.customer.select(F.col("c_custkey").alias("cell"), (F.col("c_nationkey") % 5).alias("kind")), "cell")
+    out = tasks.deconvolution(_shipped(t).withColumnsRenamed(named), _profiles(t).withColumnsRenamed(named), cells, 0.02)
+    return out.select("spot", "model", F.array_join(F.col("kinds").cast("array<string>"), ",").alias("kinds"), F.round(F.greatest("r2", F.lit(0.0)), 7).alias("r2"), "label", F.round("label_share", 6).alias("label_share"), "agrees")
+
+
+@query("""
+WITH c AS (SELECT CAST(l_linenumber AS BIGINT) AS i, CAST(substr(p_brand, 7) AS BIGINT) AS f, sum(l_quantity * (1 + (l_linenumber * 5 + CAST(substr(p_brand, 7) AS BIGINT) * 3) % 7)) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+z AS (SELECT f, i, (n - avg(n) OVER (PARTITION BY f)) / stddev_pop(n) OVER (PARTITION BY f) AS v FROM c), k AS (SELECT f, i AS o FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(v, 9) DESC, f) AS k FROM z) WHERE k <= 5),
+m AS (SELECT o, z.i, avg(z.v) AS m, count(*) FILTER (z.v > s.v) AS w, count(*) AS n FROM k JOIN z s ON s.f = k.f AND s.i = o JOIN z ON z.f = k.f AND z.i <> o GROUP BY ALL),
+p AS (SELECT x.o AS a, x.i AS b, least(x.m, y.m) AS cr, (x.w + y.w) / (x.n + y.n) AS win, least(x.m, y.m) + 2 * (x.w + y.w) / (x.n + y.n) - 1 AS s FROM m x JOIN m y ON x.o = y.i AND x.i = y.o WHERE x.o < x.i)
+SELECT row_number() OVER (ORDER BY round(s, 9) DESC, a, b) AS rank, a, b, round(cr, 6) AS "cross", round(win, 6) AS win_rate, round(s, 6) AS swap_score, round(s - lead(s) OVER (ORDER BY round(s, 9) DESC, a, b), 6) AS margin FROM p""")
+def swapped_samples(t: Tables) -> DataFrame:
+    """A whole analysis: pairs of samples that carry each other's markers, ranked."""
+    rows = t.lineitem.join(t.part.select("p_partkey", _brand()), F.col("l_partkey") == F.col("p_partkey"))
+    n = (F.col("l_quantity") * (1 + (F.col("l_linenumber") * 5 + F.col("b") * 3) % 7)).cast("double")
+    out = tasks.sample_swaps(rows.select(F.col("l_linenumber").cast("long").alias("sample"), F.col("b").alias("feature"), n.alias("value")), 5)
+    return out.select("rank", "a", "b", *[F.round(c, 6).alias(c) for c in ("cross", "win_rate", "swap_score", "margin")])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..operators import ordered, sequence, solvers, stats
+from ..operators import mixtures, ordered, sequence, solvers, stats
 
 
 def guide_ranking(guides: DataFrame, hits: DataFrame) -> DataFrame:
@@ -193,3 +193,38 @@ def response_model(df: DataFrame, outcome: str, positive: str, numeric: list[str
     whole, _ = coerce.complete_cases(df.select(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns]), columns)
     rows = whole.select((F.col(outcome) == positive).cast("int").alias("_outcome"), *[coerce.number(F.col(c)).alias(c) for c in numeric], *[(F.col(c) == v).cast("int").alias(c) for c, v in flags.items()])
     return solvers.logistic(rows, "_outcome", [*numeric, *flags])
+
+
+def deconvolution(spots: DataFrame, profiles: DataFrame, cells: DataFrame, gain: float = 0.01, nearest: int = 100) -> DataFrame:
+    """What each spot is a mixture of: ``spot, model, kinds, r2, label, label_share, agrees``.
+
+    Spots: spot, feature, value. Profiles: kind, feature, value. Cells: cell,
+    kind, feature, value. The model is the largest of one, two or three profiles whose last one adds ``gain``
+    of the spot's sum of squares at least, by non-negative fits; the label is that of most of the
+    ``nearest`` best correlated cells, the first of equals, and agrees if the model has it.
+    """
+    fits = mixtures.subset_fits(spots, profiles, "spot", "feature", "value", "kind", 3)
+    at = lambda k, c: F.max(F.when(F.col("size") == k, F.col(c)))
+    wide = fits.groupBy("spot").agg(*[at(k, "kinds").alias(f"_k{k}") for k in (1, 2, 3)], *[F.coalesce(at(k, "r2"), F.lit(0.0)).alias(f"_r{k}") for k in (1, 2, 3)])
+    two = F.col("_r2") - F.col("_r1") >= gain
+    size = F.when(two & (F.col("_r3") - F.col("_r2") >= gain), 3).when(two, 2).otherwise(1)
+    pick = lambda c: F.when(F.col("_n") == 3, F.col(f"{c}3")).when(F.col("_n") == 2, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
+    model = wide.withColumn("_n", size).select("spot", F.element_at(F.array(F.lit("pure"), F.lit("pair"), F.lit("triplet")), F.col("_n")).alias("model"), pick("_k").alias("kinds"), pick("_r").alias("r2"))
+    votes = mixtures.neighbour_votes(spots, cells, "spot", "cell", "feature", "value", "kind", nearest)
+    best = votes.groupBy("spot").agg(F.min(F.struct((-F.col("votes")).alias("v"), "kind", "share")).alias("b")).select("spot", F.col("b.kind").alias("label"), F.col("b.share").alias("label_share"))
+    return model.join(best, "spot", "left").withColumn("agrees", F.coalesce(F.array_contains("kinds", F.col("label")), F.lit(False)))
+
+
+def sample_swaps(signal: DataFrame, markers: int) -> DataFrame:
+    """Pairs of samples ranked by how well each carries the other's markers: ``rank, a, b, cross, win_rate, swap_score, margin``.
+
+    Signal: sample, feature, value. Values are scored within features; a
+    sample's markers are the ``markers`` features that it scores highest, the
+    first of equals. ``margin`` is what a pair is ahead of the next one.
+    """
+    z = signal.groupBy("sample", "feature").agg(F.sum("value").alias("value")).select("sample", "feature", stats.row_z("value", ["feature"]).alias("z")).filter("z IS NOT NULL")
+    own = ordered.top_k(z, ["sample"], [F.desc(F.round("z", 9)), F.asc("feature")], markers).select("sample", "feature")
+    pairs = stats.swap_directions(z, own, "sample", "feature", "z")
+    placed = ordered.ranked(pairs.withColumn("_s", F.round("swap_score", 9)), [F.desc("_s"), F.asc("a"), F.asc("b")])
+    after = placed.select((F.col("rank") - 1).alias("rank"), F.col("swap_score").alias("_next"))
+    return placed.join(after, "rank", "left").select("rank", "a", "b", "cross", "win_rate", "swap_score", (F.col("swap_score") - F.col("_next")).alias("margin"))
