@@ -188,7 +188,7 @@ _MEAN = "list_reduce(list_transform(range(0, 41), lambda i: CASE WHEN i = 0 THEN
 def _fitted(name: str, source: str) -> str:
     """SQL: dispersions and fitted means of two groups of counts ``gene, sample, k, f``."""
     return f"""
-{name}a AS (SELECT gene, least(12, greatest(1e-8, sum((pow(k / f - m, 2) - m / f) / (m * m)) / 10)) AS alpha FROM (SELECT *, greatest(avg(k / f) OVER (PARTITION BY gene, sample < 6), avg(k / f) OVER (PARTITION BY gene) / 10, 1e-9) AS m FROM {source}) GROUP BY 1),
+{name}a AS (SELECT gene, least(greatest(10, count(*)), greatest(1e-8, sum((pow(k / f - m, 2) - m / f) / (m * m)) / (count(*) - 2))) AS alpha FROM (SELECT *, greatest(avg(k / f) OVER (PARTITION BY gene, sample < 6), avg(k / f) OVER (PARTITION BY gene) / 10, 1e-9) AS m FROM {source}) GROUP BY 1),
 {name}g AS (SELECT gene, sample < 6 AS first, list(k ORDER BY sample) AS ks, list(f ORDER BY sample) AS fs FROM {source} GROUP BY ALL),
 {name}m AS (SELECT gene, first, alpha, {_MEAN} AS m, fs FROM {name}g JOIN {name}a USING (gene)),
 {name} AS (SELECT gene, first, alpha, m, list_sum(list_transform(fs, lambda f: m * f / (1 + alpha * m * f))) AS w FROM {name}m)"""
@@ -198,11 +198,11 @@ _NORMAL = "list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR
 
 
 @query(f"""
-WITH c AS ({_ARMS}), whole AS (SELECT gene FROM c GROUP BY 1 HAVING count(*) = 12), l AS (SELECT gene, avg(ln(n)) AS m FROM c JOIN whole USING (gene) GROUP BY 1), s AS (SELECT sample, median(n / exp(m)) AS f FROM c JOIN l USING (gene) GROUP BY 1),
+WITH c AS ({_ARMS}), size AS (SELECT count(DISTINCT sample) AS n, CAST(floor(0.2 * count(DISTINCT sample)) AS BIGINT) AS cut FROM c), whole AS (SELECT gene FROM c GROUP BY 1 HAVING count(*) = (SELECT n FROM size)), l AS (SELECT gene, avg(ln(n)) AS m FROM c JOIN whole USING (gene) GROUP BY 1), s AS (SELECT sample, median(n / exp(m)) AS f FROM c JOIN l USING (gene) GROUP BY 1),
 k AS (SELECT g.gene, s.sample, coalesce(n, 0) AS k, f FROM (SELECT DISTINCT gene FROM c) g CROSS JOIN s LEFT JOIN c ON c.gene = g.gene AND c.sample = s.sample), {_fitted('one', 'k')},
-v AS (SELECT gene, k / f AS q, f, median(k / f) OVER (PARTITION BY gene, sample < 6) AS c FROM k), b AS (SELECT gene, pow(1.4826 * median(abs(q - c)), 2) AS s2, avg(c) AS m, avg(1 / f) AS inv FROM v GROUP BY 1), u AS (SELECT gene, least(12, greatest(0.04, (s2 - m * inv) / (m * m))) AS robust FROM b),
+v AS (SELECT gene, k / f AS q, f, median(k / f) OVER (PARTITION BY gene, sample < 6) AS c FROM k), b AS (SELECT gene, pow(1.4826 * median(abs(q - c)), 2) AS s2, avg(c) AS m, avg(1 / f) AS inv FROM v GROUP BY 1), u AS (SELECT gene, least(greatest(10, n), greatest(0.04, (s2 - m * inv) / (m * m))) AS robust FROM b, size),
 d AS (SELECT k.*, pow(k - m * f, 2) / (m * f + robust * pow(m * f, 2)) / 2 * (m * f / (1 + alpha * m * f) / w) / pow(1 - m * f / (1 + alpha * m * f) / w, 2) AS cook FROM k JOIN one ON one.gene = k.gene AND first = (sample < 6) JOIN u ON u.gene = k.gene),
-t AS (SELECT gene, list_avg(list_sort(list(k / f))[3:10]) AS t, max(cook) AS most_cook, count(*) FILTER (cook > 7.5) AS replaced, avg(k / f) AS base_mean FROM d GROUP BY 1),
+t AS (SELECT gene, list_avg(list_sort(list(k / f))[any_value(cut) + 1:any_value(n) - any_value(cut)]) AS t, max(cook) AS most_cook, count(*) FILTER (cook > 7.5) AS replaced, avg(k / f) AS base_mean FROM d, size GROUP BY 1),
 r AS (SELECT d.gene, sample, f, CASE WHEN cook > 7.5 THEN t * f ELSE k END AS k FROM d JOIN t USING (gene)), {_fitted('two', 'r')},
 z AS (SELECT gene, any_value(alpha) AS alpha, ln(max(m) FILTER (first) / max(m) FILTER (NOT first)) AS b, sqrt(1 / max(w) FILTER (first) + 1 / max(w) FILTER (NOT first)) AS se FROM two GROUP BY 1),
 p AS (SELECT *, {_NORMAL} AS p FROM (SELECT *, b / se AS z FROM z)), q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, gene) AS raw FROM p)
