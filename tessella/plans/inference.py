@@ -126,12 +126,12 @@ def bootstrap_bounds(t: Tables) -> DataFrame:
 WITH v AS (SELECT c_nationkey % 5 AS g, c_custkey AS k, CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS INTEGER) AS f, c_acctbal AS v FROM customer),
 t AS (SELECT g, count(*) AS n, sum(f) AS k, sum(v) AS t, sum(v * f) AS s FROM v GROUP BY 1), p AS (SELECT g, r, v, row_number() OVER (PARTITION BY g, r ORDER BY {_u("'p'", 'r', 'k')}, k) AS i FROM v, range(1, 101) x(r)),
 x AS (SELECT g, r, sum(v) FILTER (i <= k) AS x FROM p JOIN t USING (g) GROUP BY ALL), d AS (SELECT g, x / k - (t - x) / (n - k) AS d, s / k - (t - s) / (n - k) AS o FROM x JOIN t USING (g))
-SELECT g, round(o, 5) AS observed, round(avg(d), 5) AS null_mean, round(stddev_samp(d), 5) AS null_sd, round((count(*) FILTER (d >= o - 1e-12) + 1) / (count(*) + 1), 8) AS p, round((o - avg(d)) / stddev_samp(d), 5) AS z FROM d GROUP BY g, o""")
+SELECT g, round(o, 8) AS observed, round(avg(d), 8) AS null_mean, round(stddev_samp(d), 7) AS null_sd, round((count(*) FILTER (d >= o - 1e-12) + 1) / (count(*) + 1), 8) AS p, round((o - avg(d)) / stddev_samp(d), 8) AS z FROM d GROUP BY g, o""")
 def permuted_segments(t: Tables) -> DataFrame:
     """Differences of means against flags dealt out anew, one-sided, with one added."""
     v = t.customer.select((F.col("c_nationkey") % 5).alias("g"), "c_custkey", F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("f"), "c_acctbal")
     out = resampling.permutation_test(v, "c_custkey", "f", "c_acctbal", 100, ["g"])
-    return out.select("g", *[F.round(c, 5).alias(c) for c in ("observed", "null_mean", "null_sd", "z")], F.round("p", 8).alias("p"))
+    return out.select("g", F.round("null_sd", 7).alias("null_sd"), *[F.round(c, 8).alias(c) for c in ("observed", "null_mean", "z", "p")])
 
 
 @query(f"""
