@@ -39,14 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of each application under the shared one.
+_FOLDERS: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; in local mode that may be unset."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; in local mode that may be unset.
+
+    It lies in a folder of this application, which is deleted when the driver
+    ends, as results that read it end with the session.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tessella-scratch"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/tessella-{spark.sparkContext.applicationId}"
+    if _FOLDERS.get(base) != own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _FOLDERS[base] = own
+    return f"{own}/files-{uuid.uuid4().hex}"
 
 
 def put(spark: SparkSession, path: str, content: bytes) -> None:
