@@ -14,9 +14,10 @@ language: texts whose characters are shuffled, and random letters, made from the
 sample. A text's score is the probability of its best language beside that
 class. On a held-back tenth of the sample a temperature is chosen by
 likelihood, of passages of several lengths and as many shuffled and random ones;
-and for each class of lengths a text is rejected if its score is below one
-half, or below what all but a fraction ``reject`` of held-back real passages of
-that length reach, if that is less. So short texts, of which little can be said, stay.
+and for each class of lengths a text is rejected if its probability to be of any
+language is below one half, or below what all but a fraction ``reject`` of held-back
+real passages of that length reach, if that is less. So texts in two languages,
+and short ones, of which little can be said, stay.
 
 As the model is linear after the mean, its rows are sent out as scores for each
 language, which gives the same result. Every whole text is scored in numpy,
@@ -101,8 +102,8 @@ class Model:
     temperature: float
     thresholds: np.ndarray  # for each class of lengths
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, probability and whether it is rejected, of each text."""
+    def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its probabilities, of none last, whether it has a letter, and its class of lengths."""
         points, at = folded(texts)
         k = len(self.bias)
         sums, counts = np.zeros((len(texts), k)), np.zeros(len(texts))
@@ -122,10 +123,15 @@ class Model:
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
+        return p, known, _length_class(np.diff(at) - 2)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, probability and whether it is rejected, of each text."""
+        p, known, length = self.probabilities(texts)
         best = p[:, : len(self.langs)].argmax(axis=1)
         score = np.where(known, p[np.arange(len(p)), best], 0.0)
         lang = [self.langs[i] if ok else "und" for i, ok in zip(best, known, strict=True)]
-        return lang, score, ~known | (score < self.thresholds[_length_class(np.diff(at) - 2)])
+        return lang, score, ~known | (1 - p[:, -1] < self.thresholds[length])
 
 
 def _length_class(n: np.ndarray) -> np.ndarray:
@@ -222,20 +228,13 @@ def _calibrate(model: Model, real: list[str], truth: np.ndarray, negative: list[
         loss = -np.log(np.clip(np.where(right, score, 1 - score), 1e-6, 1)).mean() - np.log(np.clip(1 - model.predict(negative)[1], 1e-6, 1)).mean()
         best = min(best, (loss, float(t)))
     model.temperature = best[1]
-    lang, score, _ = model.predict(real)
-    known = np.array([x != "und" for x in lang])
-    kind = _length_class(folded_lengths(real))
+    p, known, length = model.probabilities(real)
     for c in range(len(LENGTHS)):
-        own = score[known & (kind == c)]
+        own = 1 - p[known & (length == c), -1]
         # where no passage of a length was seen, only what is surely no language goes
         model.thresholds[c] = min(0.5, float(np.quantile(own, reject))) if len(own) else 0.01
 
 
-def folded_lengths(texts: list[str]) -> np.ndarray:
-    """How many characters of each text are left when it is folded, without the spaces around it."""
-    return np.diff(folded(texts)[1]) - 2
-
-
 def sample(docs: DataFrame, learn: Column, per_lang: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
     """Texts and labels to learn from: about ``per_lang`` of each language, by a hash of ids, in one pass over texts."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
