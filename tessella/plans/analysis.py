@@ -208,7 +208,7 @@ def doc_negation_affirm(t: Tables) -> DataFrame:
 @query("SELECT doc_id, regexp_matches(lower(text), '(?s)\\bthe\\b.{0,40}\\bof\\b|\\bof\\b.{0,40}\\bthe\\b') AS close FROM documents")
 def doc_term_proximity(t: Tables) -> DataFrame:
     """Two terms within a bounded distance, either way round."""
-    return t.documents.select("doc_id", evidence.close(F.lower("text"), r"\bthe\b", r"\bof\b", 40).alias("close"))
+    return t.documents.select("doc_id", evidence.close(evidence.lowered(F.col("text")), evidence.word("the"), evidence.word("of"), 40).alias("close"))
 
 
 @query("SELECT doc_id, CAST(len(x) AS BIGINT) AS numbers, CAST(coalesce(list_sum([CASE WHEN abs(TRY_CAST(v AS DOUBLE) - n_chars) <= 0.5 * n_chars THEN 1 ELSE 0 END FOR v IN x]), 0) AS BIGINT) AS consistent FROM (SELECT doc_id, n_chars, regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?') AS x FROM documents)")

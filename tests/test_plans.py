@@ -170,3 +170,12 @@ def test_json_leaves_and_scripts(spark):
     assert facts[0].facts.syntax_ok and facts[0].facts.absolute_paths == ["/data/truth"] and facts[0].facts.tainted == ["fit"] and not facts[1].facts.syntax_ok
     files = spark.createDataFrame([("a.json", b"{}"), ("b.json", b"{"), ("c.png", bytes.fromhex("89504e470d0a1a0a")), ("d.csv", b"h\n")], "n string, c binary")
     assert [r[0] for r in files.select(validate.artifact_ok(F.col("n"), F.col("c"))).collect()] == [True, False, True, False]
+
+
+def test_words_and_spaces_of_sql(spark):
+    from tessella.functions import evidence
+
+    texts = ["the\u00e9 no", "\u00e9lan th\u00e9", "x?\x0bno and", "the w\u0130thout", "n\u00f3 the", "not\u00fc the. and no\u0661"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.affirmed, r.denied, r.sentences) for r in evidence.asserted(df, "i", "t", "the|and").collect()}
+    assert got == {0: (False, True, 1), 1: (False, False, 1), 2: (False, True, 1), 3: (False, True, 1), 4: (True, False, 1), 5: (False, True, 2)}
