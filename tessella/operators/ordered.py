@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import dealt, staged
 
 #: How often a pointer may be doubled: more clusters than rows can be.
 _DOUBLINGS = 64
@@ -148,6 +148,7 @@ def merged(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "e
         new = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + slack), 1).otherwise(0)
         marked = scan(marked.withColumn("_new", new), up, {"_island": Running("sum", "_new")})
         return marked.groupBy("_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("members")).drop("_island")
+    df = dealt(df, *by)
     order = Window.partitionBy(*by).orderBy(start, end)
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col(start) > before + slack), 1).otherwise(0)

@@ -79,3 +79,13 @@ def staged(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task holds at most when rows are dealt out by a key.
+_TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by ``by`` over as many tasks as their number asks for, so that none holds more when the input grows; never fewer than the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // _TASK_ROWS)), *by)

@@ -56,3 +56,12 @@ def test_greedy_clusters(spark, by, kind):
             want[i] = number
     assert got == {x[0]: want.get(x[0]) for x in data}
     assert ordered.greedy_clusters(df.limit(0), by, "at", 25).count() == 0
+
+
+def test_merged_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    from tessella import session
+
+    df = spark.range(2000).select((F.col("id") % 500).alias("g"), F.col("id").alias("start"), (F.col("id") + 7).alias("end"))
+    monkeypatch.setattr(session, "_TASK_ROWS", 50)
+    out = ordered.merged(df, ["g"])
+    assert out.rdd.getNumPartitions() == 40 and out.count() == 2000 and out.agg(F.sum("members")).head()[0] == 2000
