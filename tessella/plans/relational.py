@@ -111,7 +111,7 @@ SELECT l_orderkey, round(sum(q * o) / sum(o), 6) AS weighted_mean, CAST(sum(o) A
 def weighted_interval_mean(t: Tables) -> DataFrame:
     """Mean quantity within a window of days, weighted by overlap."""
     window = t.spark.createDataFrame([(2922, 3287)], "r_start long, r_end long")
-    pairs = joins.interval_overlap(_spans(t).withColumnsRenamed({"s": "l_start", "e": "l_end"}), window, [], 512)
+    pairs = joins.interval_overlap(_spans(t).withColumnsRenamed({"s": "l_start", "e": "l_end"}), F.broadcast(window), [], 512)  # one row
     return joins.weighted_overlap(pairs, ["l_orderkey"], "q").select("l_orderkey", F.round("weighted_mean", 6).alias("weighted_mean"), "covered")
 
 
