@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt, staged
 from .joins import kmers, seed_join
 from .ordered import islands
 from .sequence import binned_depth, mismatches, reference_lookup, reverse_complement, splice_priority, translated
@@ -74,14 +75,18 @@ def realigned(reads: DataFrame, transcripts: DataFrame, k: int = 12, step: int =
     equals, are compared base by base. A read keeps its best place in each
     transcript, by mismatches, votes, start and strand.
     """
-    index = reference_kmers(transcripts.select(F.col("transcript").alias("contig"), F.lit(0).cast("long").alias("offset"), "seq"), k)
+    # written and dealt out by their number: both may come of few small rows, by which Spark would plan a few tasks and broadcasts
+    reads, transcripts = (dealt(staged(df), key) for df, key in ((reads, "read"), (transcripts, "transcript")))
+    index = staged(reference_kmers(transcripts.select(F.col("transcript").alias("contig"), F.lit(0).cast("long").alias("offset"), "seq"), k))
     votes = seed_votes(reads, index, k, step, None).withColumnRenamed("contig", "transcript")
     w = Window.partitionBy("read", "strand", "transcript").orderBy(F.desc("votes"), "diagonal")
-    few = votes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= tried)
+    few = staged(votes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= tried).drop("_n"))
     laid = few.join(both_strands(reads).select("read", "strand", "seq"), ["read", "strand"]).join(transcripts.select("transcript", F.col("seq").alias("_t")), "transcript")
     start, n = F.col("diagonal").cast("long"), F.length("seq")
-    inside = laid.filter((start >= 0) & (start + n <= F.length("_t")))
-    tested = inside.withColumn("mismatches", mismatches(F.col("seq"), F.substring("_t", (start + 1).cast("int"), n))).filter(F.col("mismatches") <= most_mismatches)
+    inside = laid.filter((start >= 0) & (start + n <= F.length("_t"))).withColumn("_at", F.substring("_t", (start + 1).cast("int"), n))
+    # an edit distance is never above the number of mismatches, and Spark's own stops early: it drops nearly all chance hits before bases are counted
+    near = inside.filter(F.levenshtein("seq", "_at", most_mismatches) >= 0)
+    tested = near.withColumn("mismatches", mismatches(F.col("seq"), F.col("_at"))).filter(F.col("mismatches") <= most_mismatches)
     best = F.min(F.struct("mismatches", (-F.col("votes")).alias("v"), start.alias("start"), "strand", (start + n).alias("end"))).alias("_b")
     return tested.groupBy("read", "transcript").agg(best).select("read", "transcript", "_b.strand", "_b.start", "_b.end", "_b.mismatches", (-F.col("_b.v")).alias("votes"))
 

@@ -179,3 +179,18 @@ def test_words_and_spaces_of_sql(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: (r.affirmed, r.denied, r.sentences) for r in evidence.asserted(df, "i", "t", "the|and").collect()}
     assert got == {0: (False, True, 1), 1: (False, False, 1), 2: (False, True, 1), 3: (False, True, 1), 4: (True, False, 1), 5: (False, True, 2)}
+
+
+def test_realigned_seeds_are_not_planned_by_their_source(spark):
+    t = "ACGTTGCAAGGCTTAACCGATCGGATATCCGTAGCTAACGTTCGA"
+    reads = spark.createDataFrame([("r", t[2:40])], "read string, seq string")
+    out = genome.realigned(reads, spark.createDataFrame([("T", t)], "transcript string, seq string"))
+    assert [(r.transcript, r.start, r.mismatches) for r in out.collect()] == [("T", 2, 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # the strands alone; seeds are a table
+
+
+def test_one_window_is_broadcast(spark):
+    from tessella import plans
+
+    joined = plans.QUERIES["weighted_interval_mean"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined and "SortMergeJoin" not in joined
