@@ -339,7 +339,8 @@ SELECT p.g AS contig, p.x AS at, max(c.k) AS cluster, count(DISTINCT c.k) AS ope
 def scanned_clusters(t: Tables) -> DataFrame:
     """Clusters that a sorted scan opens, each as wide as a bound from its first member."""
     p = t.lineitem.select(F.col("l_suppkey").alias("contig"), F.bround("l_extendedprice").cast("long").alias("at"))
-    found = ordered.greedy_clusters(p, ["contig"], "at", 1500).distinct()
+    # lines without a contig or a position belong to no cluster
+    found = ordered.greedy_clusters(p.na.drop().distinct(), ["contig"], "at", 1500)
     return found.select("contig", "at", "cluster", F.col("cluster").alias("opened"))
 
 

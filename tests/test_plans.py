@@ -194,3 +194,12 @@ def test_one_window_is_broadcast(spark):
 
     joined = plans.QUERIES["weighted_interval_mean"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in joined and "SortMergeJoin" not in joined
+
+
+def test_scanned_clusters_without_contig_or_position(spark, tmp_path):
+    from tessella import plans
+
+    rows = [(1, 10.0), (1, 1600.0), (1, None), (None, 5.0), (1, 10.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.QUERIES["scanned_clusters"](spark, str(tmp_path)).select("contig", "at", "cluster", "opened").collect()
+    assert sorted(map(tuple, got)) == [(1, 10, 1, 1), (1, 1600, 2, 2)]
