@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..operators import joins, ordered, sequence, validate
-from ..session import put
+from ..session import put, ranged
 from ..sources import archives, matrices, sinks, text
 from .registry import Tables, query
 
 _SEQ = "translate(upper(concat(p_name, p_type)), 'BDEFHIJKLMNOPQRSUVWXYZ -#0123456789', 'ACGTACGTACGTACGTACGTAC')"
 
 
-def _lines(df: DataFrame, value: str, path: str, *order: str, **options: str) -> str:
-    """Write an SQL expression of each row as a line, or several; in one file if an order is given."""
+def _lines(df: DataFrame, value: str, path: str, *order: str, parts: bool = False, **options: str) -> str:
+    """Write an SQL expression of each row as a line, or several.
+
+    If an order is given, in one file, which is for tables of bounded size, or
+    with ``parts`` in files of ranges whose names are in that order.
+    """
     out = df.select(F.expr(value).alias("value"), *order)
-    if order:
+    if parts:
+        out = ranged(out, *order)
+    elif order:
         out = out.repartition(1).sortWithinPartitions(*order)
     out.select("value").write.mode("overwrite").options(**options).text(path)
     return path
@@ -137,14 +143,14 @@ def _fastq(t: Tables, mate: int) -> DataFrame:
     d = t.part.select("p_partkey", F.expr(_SEQ).alias("s"))
     seq = "s" if mate == 1 else "reverse(translate(s, 'ACGT', 'TGCA'))"
     name = f"concat('@R', p_partkey + IF({mate} = 2 AND p_partkey % 10 = 0, 1, 0), '/{mate}')"
-    return text.read_fastq(t.spark, _lines(d, rf"concat({name}, '\n', {seq}, '\n+\n', repeat('I', length(s)))", t.folder(), "p_partkey"))
+    return text.read_fastq(t.spark, _lines(d, rf"concat({name}, '\n', {seq}, '\n+\n', repeat('I', length(s)))", t.folder(), "p_partkey", parts=True))
 
 
 @query(f"""
 WITH d AS (SELECT p_partkey, {_SEQ} AS s FROM part)
 SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS n, s AS seq1, reverse(translate(s, 'ACGT', 'TGCA')) AS seq2, p_partkey % 10 <> 0 AS ok FROM d""")
 def fastq_pairs(t: Tables) -> DataFrame:
-    """Mates of two FASTQ files by record, and whether their names agree."""
+    """Mates of two FASTQ texts, each in files of ranges, by record, and whether their names agree."""
     return text.paired_fastq(_fastq(t, 1), _fastq(t, 2)).select("n", "seq1", "seq2", "ok")
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "tessella", **conf: str) -> SparkSession:
@@ -85,7 +85,17 @@ def staged(df: DataFrame) -> DataFrame:
 _TASK_ROWS = 1_000_000
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt out by ``by`` over as many tasks as their number asks for, so that none holds more when the input grows; never fewer than the session's."""
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as the number of rows asks for; never fewer than the session's."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() // _TASK_ROWS)), *by)
+    return max(least, -(-df.count() // _TASK_ROWS))
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by ``by`` over as many tasks as their number asks for, so that none holds more when the input grows."""
+    return df.repartition(_tasks(df), *by)
+
+
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows dealt out in ranges of ``order``, as many as their number asks for, and sorted in each."""
+    return df.repartitionByRange(_tasks(df), *order).sortWithinPartitions(*order)

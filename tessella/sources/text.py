@@ -1,19 +1,20 @@
 """Readers of text formats, as DataFrame plans over lines.
 
 Every reader has its schema; fields that cannot be read are null. Records that
-span lines are put together by line number, which Spark knows within a file
-that it reads whole (``wholetext``), or by the format's own separator.
+span lines are put together by line number, which the number of lines in each
+split tells, or by the format's own separator. Only small files are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.ordered import Running, scan
+from ..session import staged
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -97,16 +98,31 @@ def cds_bounds(description: Column) -> Column:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``n, name, seq, qual, ok``: four lines a record, ``ok`` if they are as they should be.
-
-    Line numbers come from each file's text, so a file is one task, as gzip
-    makes it anyway; many files are read in parallel.
+    """``file, n, name, seq, qual, ok``: four lines a record, ``ok`` if they are as they should be.
+
+    Files are read in byte ranges, so a record may lie in two splits; only
+    gzipped files are one split each. The lines are written once, so that
+    splits stay as they are; the number of lines in each split tells where the
+    next one goes on. ``n`` counts records from 0 through all files in the order
+    of their paths, and each file begins a record. Blank lines after a file's
+    last record are none.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("t"))
-    lines = text.select("file", F.posexplode(F.split("t", r"\r?\n")).alias("i", "line"))
-    records = lines.groupBy("file", F.floor(F.col("i") / 4).alias("n")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("line"))).alias(f"l{k}") for k in range(4)])
+    meta = F.col("_metadata")
+    line = F.regexp_replace("value", r"\r\z", "")
+    lines = staged(spark.read.text(path, lineSep="\n").select(meta["file_path"].alias("file"), meta["file_block_start"].alias("_b"), line.alias("_l")).withColumn("_i", F.monotonically_increasing_id()))
+    # a row for each split, then one for each file: few, whatever the number of lines
+    splits = lines.groupBy("file", "_b").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.max(F.when(F.col("_l") != "", F.col("_i"))).alias("_full"))
+    splits = splits.withColumn("_from", F.sum("_lines").over(Window.partitionBy("file").orderBy("_b")) - F.col("_lines") - F.col("_first"))
+    files = splits.groupBy("file").agg(F.max(F.col("_full") + F.col("_from")).alias("_end"))  # the last line that is not blank
+    files = files.filter(F.col("_end").isNotNull()).withColumn("_records", F.floor(F.col("_end") / 4) + 1)
+    files = files.withColumn("_before", F.sum("_records").over(Window.orderBy("file")) - F.col("_records"))
+    places = F.broadcast(splits.join(files, "file").select("file", "_b", "_from", "_end", "_before"))
+    at = F.col("_i") + F.col("_from")
+    own = lines.join(places, ["file", "_b"]).select(F.floor(at / 4).alias("_n"), F.pmod(at, F.lit(4)).alias("_k"), "_l", "_end", "_before").filter(F.col("_n") * 4 <= F.col("_end"))
+    # a file is told by the number of records before it, which is shorter than its path
+    records = own.groupBy("_before", (F.col("_before") + F.col("_n")).alias("n")).agg(*[F.max(F.when(F.col("_k") == k, F.col("_l"))).alias(f"l{k}") for k in range(4)])
     ok = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
-    return records.select("file", "n", F.regexp_extract("l0", r"^@(\S+)", 1).alias("name"), F.upper("l1").alias("seq"), F.col("l3").alias("qual"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return records.join(F.broadcast(files.select("file", "_before")), "_before").select("file", "n", F.regexp_extract("l0", r"^@(\S+)", 1).alias("name"), F.upper("l1").alias("seq"), F.col("l3").alias("qual"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def paired_fastq(first: DataFrame, second: DataFrame) -> DataFrame:

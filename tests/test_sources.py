@@ -57,6 +57,38 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert first.orderBy("n").select(text.phred(F.col("qual")).alias("q")).head().q == [40, 40, 40]
 
 
+def test_fastq_in_splits_and_files(spark, tmp_path):
+    """Records across splits, files in order of their names, either line end, an empty read and blank lines at the end."""
+    reads = [(f"r{i}", "ACGT" * (i % 9)) for i in range(150)]
+    record = lambda name, s, mate, end: end.join([f"@{name}/{mate}", s, "+", "I" * len(s)]) + end
+    for mate, cuts, end in ((1, (0, 70, 70, 150), "\n"), (2, (0, 10, 149, 150), "\r\n")):
+        (tmp_path / f"m{mate}").mkdir()
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            put(tmp_path / f"m{mate}" / f"part-{k}.fastq", "".join(record(*r, mate, end) for r in reads[a:b]) + (end * k if b > a else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        first, second = (text.read_fastq(spark, f"file://{tmp_path}/m{mate}") for mate in (1, 2))
+        got = text.paired_fastq(first, second).orderBy("n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.n, r.seq1, r.seq2, r.ok) for r in got] == [(i, s, s, True) for i, (_, s) in enumerate(reads)]
+    assert {(r.file.rsplit("/", 1)[1], r.k) for r in first.groupBy("file").agg(F.count(F.lit(1)).alias("k")).collect()} == {("part-0.fastq", 70), ("part-2.fastq", 80)}
+
+
+def test_fastq_queries_write_ranges(spark, tmp_path, monkeypatch):
+    """More rows make more files, none of which is read whole."""
+    from tessella import session
+    from tessella.plans import formats
+    from tessella.plans.registry import Tables
+
+    monkeypatch.setattr(session, "_TASK_ROWS", 25)
+    spark.range(1000).selectExpr("id AS p_partkey", "concat('x', id) AS p_name", "'y' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    reads = formats._fastq(Tables(spark, f"file://{tmp_path}"), 1)
+    assert reads.select("file").distinct().count() > 30
+    assert [(r.n, r.name) for r in reads.orderBy("n").collect()] == [(i, f"R{i}/1") for i in range(1000)]
+
+
 def test_genome_formats(spark, tmp_path):
     vcf = put(tmp_path / "v.vcf", "##x\n#CHROM\nchr1\t5\t.\ta\tG,T\t.\t.\tAD=10,3,1\n")
     v = text.read_vcf(spark, vcf)
