@@ -36,11 +36,18 @@ _HOWS: dict[str, tuple[Callable[..., Column], Callable[..., Column], Callable[[C
     "min": (F.min, F.min, F.least),
     "max": (F.max, F.max, F.greatest),
     "count": (F.count, F.sum, lambda a, b: F.coalesce(a + b, a, b)),
-    # the nearest value that is not null
+    # the nearest value that is not null; of a part, see _summary
     "last": (lambda c: F.last(c, True), lambda c: F.last(c, True), lambda a, b: F.coalesce(b, a)),
 }
 
 
+def _summary(value: str, x: Running) -> Column:
+    """What a part has to carry on; its rows come in no order, so the nearest value is told by its place."""
+    if x.how == "last":
+        return (F.min_by if x.down else F.max_by)(value, F.when(F.col(value).isNotNull(), F.col("_scan_place")))
+    return _HOWS[x.how][0](value)
+
+
 def placed(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """Rows dealt out in ranges of ``by`` and ``order``: adds ``_scan_part``, the range, and ``_scan_place``, the place in it from 0.
 
@@ -60,7 +67,7 @@ def scan(df: DataFrame, order: Sequence[Column], running: dict[str, Running], by
     # expressions are computed once, before the rows are dealt out
     values = {f"_scan_v{i}": F.col(x.value) if isinstance(x.value, str) else F.lit(1) if x.value is None else x.value for i, x in enumerate(running.values())}
     rows = placed(df.withColumns(values), order, by)
-    summaries = [_HOWS[x.how][0](v).alias(v) for v, x in zip(values, running.values(), strict=True)]
+    summaries = [_summary(v, x).alias(v) for v, x in zip(values, running.values(), strict=True)]
     parts = rows.groupBy(*by, "_scan_part").agg(*summaries)
     if not by:  # a row for each part: few, whatever the number of rows
         parts = df.sparkSession.createDataFrame(parts.collect(), parts.schema).coalesce(1)

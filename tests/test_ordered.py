@@ -65,3 +65,13 @@ def test_merged_takes_more_tasks_for_more_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "_TASK_ROWS", 50)
     out = ordered.merged(df, ["g"])
     assert out.rdd.getNumPartitions() == 40 and out.count() == 2000 and out.agg(F.sum("members")).head()[0] == 2000
+
+
+def test_nearest_value_from_other_ranges(spark, monkeypatch):
+    """The nearest value may lie in the range before, or in the one after, at its near end."""
+    df = spark.range(400).select(F.col("id"), F.when(F.col("id") % 3 == 1, F.col("id")).alias("v"))
+    monkeypatch.setattr(ordered, "staged", lambda x, staged=ordered.staged: staged(x.repartitionByRange(8, "id").sortWithinPartitions("id").withColumn("_scan_at", F.monotonically_increasing_id()) if "_scan_at" in x.columns else x))
+    R = ordered.Running
+    out = ordered.scan(df, [F.asc("id")], {"above": R("last", "v", before=True, down=True), "below": R("last", "v", before=True)})
+    for r in out.collect():
+        assert r.above == next((i for i in range(r.id + 1, 400) if i % 3 == 1), None) and r.below == next((i for i in range(r.id - 1, -1, -1) if i % 3 == 1), None)
