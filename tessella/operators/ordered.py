@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import dealt, staged
+from ..session import dealt, ranged, staged
 
 #: How often a pointer may be doubled: more clusters than rows can be.
 _DOUBLINGS = 64
@@ -51,10 +51,10 @@ def _summary(value: str, x: Running) -> Column:
 def placed(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """Rows dealt out in ranges of ``by`` and ``order``: adds ``_scan_part``, the range, and ``_scan_place``, the place in it from 0.
 
-    The result is a written table, so both stay as they are.
+    There are as many ranges as the number of rows asks for. The result is a written table, so both stay as they are.
     """
     keys = [*(F.col(c) for c in by), *order]
-    out = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_scan_at", F.monotonically_increasing_id()))
+    out = staged(ranged(df, *keys).withColumn("_scan_at", F.monotonically_increasing_id()))
     return out.withColumn("_scan_part", F.shiftright("_scan_at", 33)).withColumn("_scan_place", F.col("_scan_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_scan_at")
 
 

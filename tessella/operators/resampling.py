@@ -13,12 +13,15 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from . import ordered, solvers
 
 #: Shares of a Poisson variable of mean one up to each number; beyond twelve none is drawn in 2 ** 32.
 _POISSON = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(13)]
 #: Draws that are made from one row at once.
 BLOCK = 4096
+#: Ranges of the digest by which a round's units are added up.
+BINS = 256
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -61,18 +64,32 @@ def permutation_test(df: DataFrame, unit: str, flag: str, value: str, rounds: in
     """Whether flagged units have a higher mean than others: ``by, observed, null_mean, null_sd, p, z``.
 
     Each round deals the flags out anew: units stand in the order of a digest
-    and the first get them, as many as there are. The order is a scan in parts
-    within each round, so a round may have any number of units. ``p`` counts
+    and the first get them, as many as there are. A round's units are counted
+    and added up by ``BINS`` ranges of the digest; only those of the range in
+    which the flags run out are put in order, by a scan in parts. So a round
+    may have any number of units, and no round is shuffled whole. ``p`` counts
     the observed value among the rounds (add one). Groups without units of
     both kinds have nulls.
     """
-    units = df.groupBy(*by, unit).agg(F.max(F.col(flag).cast("int")).alias("_f"), F.avg(F.col(value).cast("double")).alias("_v"))
+    units = staged(df.groupBy(*by, unit).agg(F.max(F.col(flag).cast("int")).alias("_f"), F.avg(F.col(value).cast("double")).alias("_v")))
     totals = units.groupBy(*by).agg(F.count("_f").alias("_n"), F.sum("_f").alias("_k"), F.sum("_v").alias("_t"), F.sum(F.col("_v") * F.col("_f")).alias("_s"))
+    with_totals = lambda rows: rows.join(totals, list(by)) if by else rows.crossJoin(F.broadcast(totals))  # noqa: E731  # one row
     apart = lambda s: F.try_divide(s, F.col("_k")) - F.try_divide(F.col("_t") - s, F.col("_n") - F.col("_k"))
-    dealt = _replicated(units, rounds).withColumn("_u", uniform(F.lit(seed), "round", unit))
-    placed = ordered.scan(dealt, [F.asc("_u"), F.asc(unit)], {"_place": ordered.Running("count")}, [*by, "round"])
-    joined = placed.join(totals, list(by)) if by else placed.crossJoin(F.broadcast(totals))  # one row
-    null = joined.groupBy(*by, "round", "_n", "_k", "_t").agg(F.sum(F.when(F.col("_place") <= F.col("_k"), F.col("_v")).otherwise(0.0)).alias("_x")).select(*by, apart(F.col("_x")).alias("_null"))
+    u = uniform(F.lit(seed), "round", unit)
+    bins = _replicated(units, rounds).groupBy(*by, "round", F.floor(u * BINS).cast("int").alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_x"))
+    up = Window.partitionBy(*by, "round").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # BINS rows at most
+    bins = with_totals(bins.withColumn("_to", F.sum("_c").over(up)))
+    left = F.col("_k") - (F.col("_to") - F.col("_c"))  # flags that a bin's units have before them to get
+    begun = staged(bins.groupBy(*by, "round").agg(F.sum(F.when(left >= F.col("_c"), F.col("_x"))).alias("_x"), F.max(F.when((left > 0) & (left < F.col("_c")), F.struct("_b", left.alias("_left")))).alias("_open")))
+    # a group's open bins are one list, so that units meet it before they meet the rounds
+    lists = staged(begun.filter(F.col("_open").isNotNull()).groupBy(*by).agg(F.collect_list(F.struct("round", "_open")).alias("_l")))
+    met = units.join(lists, list(by)) if by else units.crossJoin(F.broadcast(lists))  # one row
+    dealt = met.select(*by, unit, "_v", F.explode("_l").alias("_l")).select(*by, unit, "_v", "_l.round", "_l._open").withColumn("_u", u).filter(F.floor(F.col("_u") * BINS) == F.col("_open._b"))
+    placed = ordered.scan(staged(dealt), [F.asc("_u"), F.asc(unit)], {"_place": ordered.Running("count")}, [*by, "round"])
+    ended = placed.filter(F.col("_place") <= F.col("_open._left")).groupBy(*by, "round").agg(F.sum("_v").alias("_rest"))
+    joined = with_totals(begun.join(ended, [*by, "round"], "left"))
+    x = F.coalesce("_x", F.lit(0.0)) + F.coalesce("_rest", F.lit(0.0))
+    null = joined.select(*by, apart(x).alias("_null"))
     seen = totals.select(*by, apart(F.col("_s")).alias("observed"))
     both = null.join(seen, list(by)) if by else null.crossJoin(F.broadcast(seen))  # one row
     above = F.count_if(F.col("_null") >= F.col("observed") - 1e-12)

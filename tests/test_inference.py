@@ -115,6 +115,35 @@ def test_permutation(spark):
     assert whole.observed == pytest.approx(out["shifted"].observed) and whole.p == out["shifted"].p
 
 
+def test_permutation_orders_few_rows(spark, monkeypatch):
+    """Each round as a plain loop has it, though only one range of the digest is put in order."""
+    import hashlib
+
+    from tessella.operators import ordered, resampling
+
+    rng = np.random.default_rng(79)
+    share = {"few": 0.02, "most": 0.9, "none": 0.0, "all": 1.0}
+    rows = [(i, g, bool(rng.random() < p), None if i % 97 == 5 else float(rng.normal())) for g, p in share.items() for i in range(600)]
+    seen, scan = [], ordered.scan
+    monkeypatch.setattr(ordered, "scan", lambda df, *a: (seen.append(df.count()), scan(df, *a))[1])
+    df = spark.createDataFrame(rows, "i long, g string, f boolean, v double")
+    got = {r.g: r for r in resampling.permutation_test(df, "i", "f", "v", 30, ["g"]).collect()}
+    assert len(got) == 4 and 0 < seen[0] < len(rows) * 30 / 50
+    for g in share:
+        own = {i: (f, v or 0.0) for i, h, f, v in rows if h == g}
+        n, k, t = len(own), sum(f for f, _ in own.values()), sum(v for _, v in own.values())
+        if k in (0, n):
+            assert got[g].observed is None and got[g].null_mean is None and got[g].p is None
+            continue
+        null = []
+        for r in range(1, 31):
+            order = sorted(own, key=lambda i: (int(hashlib.md5(f"p-{r}-{i}".encode()).hexdigest()[:8], 16), i))
+            s = sum(own[i][1] for i in order[:k])
+            null.append(s / k - (t - s) / (n - k))
+        s = sum(v for f, v in own.values() if f)
+        assert got[g].observed == pytest.approx(s / k - (t - s) / (n - k)) and got[g].null_mean == pytest.approx(np.mean(null)) and got[g].null_sd == pytest.approx(np.std(null, ddof=1))
+
+
 def test_multinomial_and_mixture_bootstrap(spark):
     from tessella.operators import resampling
 

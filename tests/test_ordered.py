@@ -75,3 +75,12 @@ def test_nearest_value_from_other_ranges(spark, monkeypatch):
     out = ordered.scan(df, [F.asc("id")], {"above": R("last", "v", before=True, down=True), "below": R("last", "v", before=True)})
     for r in out.collect():
         assert r.above == next((i for i in range(r.id + 1, 400) if i % 3 == 1), None) and r.below == next((i for i in range(r.id - 1, -1, -1) if i % 3 == 1), None)
+
+
+def test_scan_takes_more_ranges_for_more_rows(spark, rows, monkeypatch):
+    from tessella import session
+
+    monkeypatch.setattr(session, "_TASK_ROWS", 100)
+    placed = ordered.placed(rows[1], [F.asc("id")])
+    assert placed.select("_scan_part").distinct().count() > 20
+    assert sorted((r.id, r.n) for r in ordered.ranked(rows[1], [F.asc("id")], name="n").collect()) == [(i, i + 1) for i in range(3000)]
