@@ -160,23 +160,49 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray, gram: np.ndarray | None = None
     raise ValueError("the active set does not settle")
 
 
+#: Rounds of expectation and maximisation after which steps are extrapolated.
+_SLOW = 2000
+
+
 def multinomial_mixture(profiles: np.ndarray, counts: np.ndarray, rounds: int = 20_000) -> np.ndarray:
     """Weights of profiles (columns that sum to 1) that make counts likeliest, by expectation and maximisation.
 
     ``counts`` is a vector, or a matrix with a row for each of many spots, which
-    are fitted together. Spots without counts get even weights.
+    are fitted together. Spots without counts get even weights. A weight that
+    goes to zero may do so as slowly as one over the round, so after ``_SLOW``
+    rounds steps are extrapolated (squared), where that is likelier.
     """
     many = np.atleast_2d(counts).astype(float)
     w = np.full((len(many), profiles.shape[1]), 1 / profiles.shape[1])
     left = np.flatnonzero(many.sum(axis=1) > 0)
-    for _ in range(rounds):
+
+    def scaled(new: np.ndarray, old: np.ndarray) -> np.ndarray:
+        total = new.sum(axis=1, keepdims=True)
+        return np.where(total > 0, new / np.where(total > 0, total, 1), old)
+
+    def step(old: np.ndarray, n: np.ndarray) -> np.ndarray:
+        mix = old @ profiles.T
+        return scaled(old * (np.divide(n, mix, out=np.zeros_like(mix), where=mix > 0) @ profiles), old)
+
+    def likelihood(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        mix = at @ profiles.T
+        return (n * np.log(mix, out=np.zeros_like(mix), where=mix > 0)).sum(axis=1)
+
+    for k in range(rounds):
         if not len(left):
             return w if np.ndim(counts) == 2 else w[0]
-        mix = w[left] @ profiles.T
-        new = w[left] * (np.divide(many[left], mix, out=np.zeros_like(mix), where=mix > 0) @ profiles)
-        total = new.sum(axis=1, keepdims=True)
-        new = np.where(total > 0, new / np.where(total > 0, total, 1), w[left])
-        moved = np.abs(new - w[left]).max(axis=1)
+        old, n = w[left], many[left]
+        new = step(old, n)
+        moved = np.abs(new - old).max(axis=1)
+        if k >= _SLOW:
+            last = step(new, n)
+            r, v = new - old, last - 2 * new + old
+            bend = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            far = np.sqrt((r * r).sum(axis=1, keepdims=True)) / np.where(bend > 0, bend, np.inf)
+            tried = old + 2 * far * r + far * far * v
+            tried = scaled(np.where(tried > 0, tried, last), last)  # no weight is lost
+            better = (moved >= 1e-10) & (likelihood(tried, n) >= likelihood(last, n))
+            new = np.where(better[:, None], tried, np.where((moved >= 1e-10)[:, None], last, new))
         w[left] = new
         left = left[moved >= 1e-10]
     raise ValueError(f"no convergence in {rounds} rounds")

@@ -102,6 +102,19 @@ def test_poisson_draws(spark):
     assert [abs(n[k] - np.exp(-1) / f) < 0.015 for k, f in enumerate((1, 1, 2, 6))] == [True] * 4
 
 
+def test_mixture_with_a_weight_that_fades_slowly():
+    """A weight of exactly zero at the optimum, and many noisy spots at once: both converge, at points where no weight should grow."""
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        p = rng.random((30, 4))
+        p, w = p / p.sum(axis=0), np.array([0.5, 0.3, 0.2, 0.0])
+        assert np.allclose(solvers.multinomial_mixture(p, p @ w * 1e5), w, atol=1e-4)
+        n = rng.poisson(p @ w * 1e4, size=(20, 30))
+        got = solvers.multinomial_mixture(p, n)
+        slope = (n / (got @ p.T)) @ p / n.sum(axis=1, keepdims=True)
+        assert slope.max() < 1 + 1e-4 and np.abs((slope - 1) * got).max() < 1e-6 and np.allclose(got.sum(axis=1), 1)
+
+
 def test_permutation(spark):
     from tessella.operators import resampling
 
