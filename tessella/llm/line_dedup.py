@@ -16,9 +16,10 @@ are read again from their documents and the Jaccard similarity is verified.
 Only whether an entry is near any earlier one matters. So where many entries
 share a rare word, each is first compared with the earliest of them; pairs of
 which both are then known to be near an earlier one are not made, which spares
-a large group of near copies all its pairs.
+a large group of near copies all its pairs. It is done only if these are
+more than a few for each entry of the table; the join finds all pairs by itself.
 
-Rarity orders words by a sketch of counts over all documents, 2^14 hashed
+Rarity orders words by a sketch of counts over all documents, 2^16 hashed
 counters, and breaks ties by the word's hash. The candidates' places are in a
 filter of 2^20 hashed bits, so that few other lines are shuffled when words are
 read again. Both have a fixed size and go with the plan; as they only choose an
@@ -35,7 +36,7 @@ entries like others; an empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 from functools import reduce
-from math import log, log2
+from math import ceil, log, log2
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -43,13 +44,16 @@ from pyspark.sql import functions as F
 
 from .common import Cuts, among, cut, long_array
 
-SKETCH = 1 << 14
+SKETCH = 1 << 16
 THRESHOLD = 0.8
 #: Sets of more words have a bitmap of half their words, too, as 64 bits tell long lines apart less well:
 #: with it the bitmap of all words falls into two, and the differences of both halves add up.
 WIDE = 80
 #: How many of their rarest words let entries meet the earliest one first, and how many entries of a word do so.
 STAR, CROWD = 5, 64
+#: The entries near an earliest one are looked up first if they make more than so many pairs for each entry of the table;
+#: looking them up reads all texts once more.
+SPARED = 5
 #: No place of a prefix is that high.
 CROSSED = 1 << 29
 #: The join on prefix words is made in so many parts of the words, one after the other, so that only one part's rows are on disk.
@@ -62,27 +66,36 @@ def _bucket(hashed: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
-    """Words of a text without line feeds, perhaps with empty strings between them; splitting at one plain character is Java's fast path."""
-    other = reduce(or_, [text.contains(c) for c in "\t\x0b\x0c\r"])
+    """Words of a text without line feeds, perhaps with empty strings between them.
+
+    Splitting at one plain character is Java's fast path; it also looks for a character several times faster than ``contains``.
+    """
+    other = reduce(or_, [F.size(F.split(text, c, 2)) > 1 for c in "\t\x0b\x0c\r"])
     return F.when(other, F.split(text, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(text, " ", -1))
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """An array literal: for each counter the rank, from 0 to 2047, of its count, in the top bits; a step is a sixteenth of a doubling."""
-    words = docs.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
+    """An array literal: for each counter the rank, from -128 to 127, of its count; a step is a sixth of a doubling.
+
+    Java keeps one object for each number of this range, so that all counters together are small enough for a core's cache.
+    """
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    words = lines.select(F.explode(_split(F.col("line"))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("b")).count().collect()  # SKETCH rows at most
-    ranks = [0] * SKETCH
+    ranks = [-128] * SKETCH
     for b, n in counts:
-        ranks[b] = int(16 * log2(n)) << 52
+        ranks[b] = min(int(6 * log2(n)), 255) - 128
     return long_array(ranks)
 
 
 def _tokens(line: Column, rarity: Column) -> Column:
     """A line's different words as numbers, rarest first: rank in the top bits, word hash below."""
-    # no value is null, and Spark is told so, as it sorts such numbers without boxing them; each word is hashed once
-    number = lambda h: F.coalesce(F.get(rarity, _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 12))
-    hashes = F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    return F.sort_array(F.array_distinct(F.transform(hashes, number)))
+    # no value is null, and Spark is told so, as it sorts such numbers without boxing them; each word is hashed once.
+    # Array functions stand outside of transform, as Spark compiles them only there; one of them drops repeats and the empty word.
+    rank = lambda h: F.coalesce(rarity.getItem(h.bitwiseAND(F.lit(SKETCH - 1))), F.lit(0).cast("long"))
+    number = lambda h: F.shiftleft(rank(h), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
+    hashes = F.transform(_split(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_except(F.transform(hashes, number), F.array(number(F.xxhash64(F.lit(""))))))
 
 
 def _parity(tokens: str | Column) -> Column:
@@ -115,7 +128,8 @@ def _stars(entries: DataFrame, threshold: float, hold: Cuts) -> DataFrame:
     share = threshold / (1 + threshold)
     a_n, b_n = F.col("a.n"), F.col("b.n")
     alike = (F.least(a_n, b_n) >= F.greatest(a_n, b_n) * threshold - 1e-9) & (a_n + b_n - _unlike("a", "b") >= 2 * _least(a_n + b_n, share))
-    joined = words.alias("b").join(centres.alias("a"), (F.col("a.word") == F.col("b.word")) & (F.col("a.x") != F.col("b.id")) & alike)
+    members = words.filter(among(["word"], crowds))
+    joined = members.alias("b").join(centres.alias("a"), (F.col("a.word") == F.col("b.word")) & (F.col("a.x") != F.col("b.id")) & alike)
     return joined.select("a.x", F.col("b.id").alias("y")).distinct()
 
 
@@ -146,9 +160,13 @@ def _candidates(entries: DataFrame, threshold: float, hold: Cuts) -> DataFrame:
     possible = F.least(a_n - a_at, b_n - b_at)
     # The index prefix is of the smaller set. Conditions are on both sides, so that these read one shuffle.
     indexed = a_at <= F.least(a_n, b_n) - _least(F.least(a_n, b_n), 2 * share)
+    # Nearly all pairs fall at this: the bitmaps of all words, which no other column is needed for, differ in more bits than sets of
+    # these sizes may in words. It comes first as it is cheap; the last condition is stricter.
+    wide = lambda side: F.shiftrightunsigned(f"{side}.told", 32)
+    alike = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) * (1 << 20) <= (wide("a") + wide("b")) * ceil((1 - 2 * share) * (1 << 20) + 1)
     later_near = F.when(F.col("a.id") < F.col("b.id"), told("b", 31, 1)).otherwise(told("a", 31, 1)) == 1
     met = (
-        (F.col("a.word") == F.col("b.word")) & (a_n <= b_n) & (a_n >= b_n * threshold - 1e-9) & ((a_n < b_n) | (F.col("a.id") < F.col("b.id")))
+        (F.col("a.word") == F.col("b.word")) & alike & (a_n <= b_n) & (a_n >= b_n * threshold - 1e-9) & ((a_n < b_n) | (F.col("a.id") < F.col("b.id")))
         & indexed & ~later_near & (possible >= needed) & (a_n + b_n - _unlike("a", "b") >= 2 * needed)
     )
     found = [hold(rows(k).alias("a").join(rows(k).alias("b"), met).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()) for k in range(PARTS)]
@@ -156,7 +174,7 @@ def _candidates(entries: DataFrame, threshold: float, hold: Cuts) -> DataFrame:
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each different ``doc_id, h``: ``n_lines`` and ``removed``, the places (from 0) of removed lines."""
+    """One row for each different ``doc_id, h``: ``n_lines``, ``removed``, the places (from 0) of removed lines, and ``copies``, the number of its rows."""
     own = _text_rows(docs, id_col, text_col)
     rarity = _rarity(own)
     split = own.select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
@@ -169,7 +187,8 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     # a filter on the words here would make Spark compute them twice
     sets = split.select(*place, _tokens(F.col("words"), rarity).alias("t"))
     sets = sets.select(F.struct(*place).alias("first"), n.alias("n"), F.xxhash64("t").alias("set"), _parity("t").alias("parity"), F.when(n > WIDE, _parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) > 0))).alias("half"), prefix.alias("prefix"))
-    grouped = sets.groupBy("set", "n").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("parity", "half", "prefix")])
+    # ``some`` is n again: a filter on n itself would be made before grouping, and there compute the words twice
+    grouped = sets.groupBy("set", "n").agg(F.max("n").alias("some"), F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("parity", "half", "prefix")])
 
     def near(pairs: DataFrame, entries: DataFrame, hold: Cuts) -> DataFrame:
         """Ids of the later ones of the pairs that are similar; their words are read again."""
@@ -193,21 +212,22 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
         return found.union(rest)
 
     with Cuts(docs.sparkSession) as hold:
-        found = hold(grouped)
-        # ids in the order of first places, so the later of two entries is that of the greater id
-        entries = hold(found.filter("n > 0").select("first", "n", "parity", "half", "prefix").orderBy("first").withColumn("id", F.monotonically_increasing_id()))
-        hold.drop(found)
+        # ids in the order of first places (by columns, as a struct has no sort prefix), so the later of two entries is that of the greater id
+        entries = hold(grouped.filter("some > 0").select("first", "n", "parity", "half", "prefix").orderBy("first.doc_id", "first.h", "first.line").withColumn("id", F.monotonically_increasing_id()))
         comparable = entries.filter(F.size("prefix") > 0)
-        known = near(_stars(comparable, threshold, hold), entries, hold)
+        stars = hold(_stars(comparable, threshold, hold))
+        spared = stars.groupBy("x").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+        known = near(stars if spared > SPARED * entries.count() else stars.limit(0), entries, hold)
         marked = comparable.join(known.withColumn("near", F.lit(True)), "id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
         gone = known.union(near(_candidates(marked, threshold, hold), entries, hold)).distinct()
         # what stays is the first line of each set that is not near an earlier one
         stay = cut(entries.join(gone, "id", "left_anti").select("first.*").groupBy(*_KEY).agg(F.collect_list("line").alias("stay")))
     worded = F.transform(F.split("text", "\n", -1), lambda line, k: F.when(F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != "", k))
-    counted = own.select(*_KEY, worded.alias("worded")).select(*_KEY, F.size("worded").cast("long").alias("n_lines"), F.array_compact("worded").alias("worded")).dropDuplicates(_KEY)
+    counted = own.select(*_KEY, worded.alias("worded")).select(*_KEY, F.size("worded").cast("long").alias("n_lines"), F.array_compact("worded").alias("worded"))
+    counted = counted.groupBy(*_KEY).agg(F.first("n_lines").alias("n_lines"), F.first("worded").alias("worded"), F.count(F.lit(1)).alias("copies"))
     joined = counted.alias("c").join(stay.alias("s"), F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.h") == F.col("s.h")), "left")
     removed = F.array_except("worded", F.coalesce("stay", F.array().cast("array<int>")))
-    return joined.select("c.doc_id", "c.h", "n_lines", F.sort_array(removed).alias("removed"))
+    return joined.select("c.doc_id", "c.h", "n_lines", F.sort_array(removed).alias("removed"), "copies")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,11 +49,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import removals
 
-    docs = _table(spark, sf_dir, "documents")
-    found = removals(docs).select(F.col("doc_id").alias("id"), "h", "n_lines", "removed")
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.select("doc_id", h.alias("own")).join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("h")))
-    return joined.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+    found = removals(_table(spark, sf_dir, "documents"))
+    # one row for each row of documents, as equal rows have equal results
+    rows = found.select("*", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

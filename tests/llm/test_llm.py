@@ -322,6 +322,24 @@ def test_line_dedup_brute_force(spark, threshold):
     assert dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_stars_and_copies(spark, monkeypatch):
+    """Removed lines are the same with and without the first comparisons, and equal rows are counted, not read again."""
+    from tessella.llm import line_dedup
+
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(w if i != k else f"v{k}" for i, w in enumerate(words)) for k in range(20)] + ["other line\n\nother  line"]
+    docs = docs_of(spark, texts)
+    docs = docs.union(docs.filter("doc_id = 3"))
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    found = []
+    for most in (0, 10**9):
+        monkeypatch.setattr(line_dedup, "SPARED", most)
+        found.append(sorted(line_dedup.removals(docs).select("doc_id", "removed", "copies").collect()))
+    assert found[0] == found[1]
+    assert [r.copies for r in found[0]] == [2 if r.doc_id == 3 else 1 for r in found[0]]
+    assert [r.removed for r in found[0]] == [[]] + [[0]] * 19 + [[2]]
+
+
 # ---------------------------------------------------------------------- pii
 
 PII = {
