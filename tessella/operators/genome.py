@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import dealt, staged
+from ..session import dealt, staged, tasks_for
 from .joins import kmers, seed_join
 from .ordered import islands
 from .sequence import binned_depth, mismatches, reference_lookup, reverse_complement, splice_priority, translated
@@ -63,31 +63,56 @@ def spliced(exons: DataFrame, chunks: DataFrame, width: int, piece: int = 64) ->
     seqs = found.groupBy("transcript").agg(F.array_join(F.transform(order, lambda x: x.s), "").alias("seq"))
     lengths = F.array_sort(F.collect_list(F.struct("exon", (F.col("end") - F.col("start")).cast("long").alias("n"))))
     ends = exons.groupBy("transcript").agg(lengths.alias("_l")).select("transcript", F.aggregate("_l", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x.n))).alias("joints"))
-    return seqs.join(ends, "transcript")
+    return seqs.join(ends.hint("merge"), "transcript")
 
 
-def realigned(reads: DataFrame, transcripts: DataFrame, k: int = 12, step: int = 5, tried: int = 10, most_mismatches: int = 2) -> DataFrame:
+#: Bases beside a seed that are compared where reads and transcripts meet, on each side, and the longest seed.
+_FLANK, _LONGEST_SEED = 16, 32
+
+
+def _seeds(df: DataFrame, at: Column, k: int, *keep: str) -> DataFrame:
+    """``keep, at, kmer, left, right``: the seeds of ``seq`` at places, with the bases beside them."""
+    each = df.select(*keep, "seq", F.explode(at).alias("at"))
+    first = F.greatest(F.col("at") - _FLANK, F.lit(0))
+    piece = lambda start, n: F.substring("seq", start + 1, n)
+    return each.select(*keep, "at", piece(F.col("at"), F.lit(k)).alias("kmer"), piece(first, F.col("at") - first).alias("left"), piece(F.col("at") + k, F.lit(_FLANK)).alias("right"))
+
+
+def realigned(reads: DataFrame, transcripts: DataFrame, k: int = 12, step: int = 5, most_mismatches: int = 2) -> DataFrame:
     """Reads laid on candidate transcripts without gaps, also over their joints: ``read, transcript, strand, start, end, mismatches, votes``.
 
     Transcripts are indexed in spliced positions, so that a seed over two
-    exons is found like any other. Seeds of both strands vote for starts; of each
-    read, strand and transcript the ``tried`` starts of most votes, the first of
-    equals, are compared base by base. A read keeps its best place in each
+    exons is found like any other. A read within ``most_mismatches`` has one of
+    ``most_mismatches + 1`` parts unchanged, so seeds at the starts of these parts find all its
+    places; they are as long as the shortest read's parts, ``k`` at least. Only where a read is too short for
+    that, its seeds lie ``step`` bases apart, and a place where none of them agrees is missed. Bases beside
+    a seed are compared in the join, so that chance hits end there. ``votes`` are the seeds of length ``k``,
+    ``step`` apart, that agree on a start. A read keeps its best place in each
     transcript, by mismatches, votes, start and strand.
     """
     # written and dealt out by their number: both may come of few small rows, by which Spark would plan a few tasks and broadcasts
     reads, transcripts = (dealt(staged(df), key) for df, key in ((reads, "read"), (transcripts, "transcript")))
-    index = staged(reference_kmers(transcripts.select(F.col("transcript").alias("contig"), F.lit(0).cast("long").alias("offset"), "seq"), k))
-    votes = seed_votes(reads, index, k, step, None).withColumnRenamed("contig", "transcript")
-    w = Window.partitionBy("read", "strand", "transcript").orderBy(F.desc("votes"), "diagonal")
-    few = staged(votes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= tried).drop("_n"))
-    laid = few.join(both_strands(reads).select("read", "strand", "seq"), ["read", "strand"]).join(transcripts.select("transcript", F.col("seq").alias("_t")), "transcript")
-    start, n = F.col("diagonal").cast("long"), F.length("seq")
-    inside = laid.filter((start >= 0) & (start + n <= F.length("_t"))).withColumn("_at", F.substring("_t", (start + 1).cast("int"), n))
+    parts = most_mismatches + 1
+    n = F.length("seq")
+    known = reads.agg(F.min(n), F.count(F.lit(1))).head()
+    size = max(k, min(_LONGEST_SEED, (known[0] or 0) // parts))
+    places = transcripts.agg(F.sum(n)).head()[0] or 0
+    tasks = tasks_for(reads.sparkSession, max(places, 2 * parts * known[1]))
+    starts = F.when(n >= parts * size, F.transform(F.sequence(F.lit(0), F.lit(most_mismatches)), lambda i: (i * F.floor(n / parts)).cast("int"))).when(n >= size, F.sequence(F.lit(0), n - size, F.lit(step)))
+    seeds = _seeds(both_strands(reads), starts, size, "read", "strand").repartition(tasks, "kmer")
+    index = _seeds(transcripts, F.when(n >= size, F.sequence(F.lit(0), n - size)), size, "transcript").select("transcript", F.col("at").alias("pos"), "kmer", F.col("left").alias("_l"), F.col("right").alias("_r")).repartition(tasks, "kmer")
     # an edit distance is never above the number of mismatches, and Spark's own stops early: it drops nearly all chance hits before bases are counted
+    beside = F.concat(F.expr("right(_l, length(left))"), F.expr("left(_r, length(right))"))
+    alike = (F.length("_l") >= F.length("left")) & (F.length("_r") >= F.length("right")) & (F.levenshtein(F.concat("left", "right"), beside, most_mismatches) >= 0)
+    met = seeds.join(index.hint("merge"), "kmer").filter(alike)
+    few = staged(met.select("read", "strand", "transcript", (F.col("pos") - F.col("at")).alias("start")).distinct())
+    laid = few.join(both_strands(reads).select("read", "strand", "seq").hint("merge"), ["read", "strand"]).join(transcripts.select("transcript", F.col("seq").alias("_t")).hint("merge"), "transcript")
+    start = F.col("start").cast("long")
+    inside = laid.filter((start >= 0) & (start + n <= F.length("_t"))).withColumn("_at", F.substring("_t", (start + 1).cast("int"), n))
     near = inside.filter(F.levenshtein("seq", "_at", most_mismatches) >= 0)
     tested = near.withColumn("mismatches", mismatches(F.col("seq"), F.col("_at"))).filter(F.col("mismatches") <= most_mismatches)
-    best = F.min(F.struct("mismatches", (-F.col("votes")).alias("v"), start.alias("start"), "strand", (start + n).alias("end"))).alias("_b")
+    agree = F.when(n >= k, F.size(F.filter(F.sequence(F.lit(0), n - k, F.lit(step)), lambda i: F.substring("seq", i + 1, F.lit(k)) == F.substring("_at", i + 1, F.lit(k))))).otherwise(0).cast("long")
+    best = F.min(F.struct("mismatches", (-agree).alias("v"), start.alias("start"), "strand", (start + n).alias("end"))).alias("_b")
     return tested.groupBy("read", "transcript").agg(best).select("read", "transcript", "_b.strand", "_b.start", "_b.end", "_b.mismatches", (-F.col("_b.v")).alias("votes"))
 
 
@@ -100,10 +125,11 @@ def exon_support(placed: DataFrame, transcripts: DataFrame, reads: DataFrame, ov
     ``weight`` times, if given. Exons without reads have zeros.
     """
     n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    rows = placed.join(reads.select("read", n.alias("_w")), "read")
+    # reads and exons may come of few small rows, by which Spark would plan broadcasts
+    rows = placed.join(reads.select("read", n.alias("_w")).hint("merge"), "read")
     bounds = transcripts.select("transcript", F.size("joints").alias("_k"), F.posexplode(F.transform("joints", lambda e, i: F.struct(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("joints", i - 1)).alias("a"), e.alias("b")))).alias("_i", "_x"))
     exons = bounds.select("transcript", (F.col("_i") + 1).alias("exon"), F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"), (F.col("_i") > 0).alias("_left"), (F.col("_i") + 1 < F.col("_k")).alias("_right"))
-    met = exons.join(rows, (exons.transcript == rows.transcript) & (F.col("start") < F.col("_b")) & (F.col("end") > F.col("_a")), "left").drop(rows.transcript)
+    met = exons.join(rows.hint("merge"), (exons.transcript == rows.transcript) & (F.col("start") < F.col("_b")) & (F.col("end") > F.col("_a")), "left").drop(rows.transcript)
     over = lambda at: F.coalesce((F.col("start") <= F.col(at) - overhang) & (F.col("end") >= F.col(at) + overhang), F.lit(False))
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_w"))), F.lit(0).cast("long"))
     sums = met.groupBy("transcript", "exon", "_left", "_right").agg(count(F.col("start").isNotNull()).alias("overlap"), count(over("_a")).alias("_l"), count(over("_b")).alias("_r"), count(over("_a") & over("_b")).alias("_lr"))

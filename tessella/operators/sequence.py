@@ -146,9 +146,12 @@ def chunked(df: DataFrame, key: str, seq: str, width: int, overlap: int) -> Data
 
 
 def reference_lookup(sites: DataFrame, chunks: DataFrame, key: str, position: str, length: Column, width: int) -> DataFrame:
-    """Reference bases at positions: an equi-join on the chunk, then a substring within it."""
+    """Reference bases at positions: an equi-join on the chunk, then a substring within it.
+
+    Chunks are never broadcast: Spark takes them for as small as the rows that they were cut from.
+    """
     placed = sites.withColumn("chunk", F.floor(F.col(position) / width).cast("int"))
-    found = placed.join(chunks, [key, "chunk"], "left")
+    found = placed.join(chunks.hint("merge"), [key, "chunk"], "left")
     return found.withColumn("reference", F.substring("seq", (F.col(position) - F.col("offset") + 1).cast("int"), length)).drop("chunk", "offset", "seq")
 
 

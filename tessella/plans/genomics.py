@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import genome, joins, ordered, sequence, solvers
+from ..session import staged
 from .registry import Tables, query
 
 _PART = "translate(upper(concat(p_name, p_type)), 'BDEFHIJKLMNOPQRSUVWXYZ -#0123456789', 'ACGTACGTACGTACGTACGTAC')"
@@ -140,7 +141,7 @@ def transcript_support(t: Tables) -> DataFrame:
     g = t.supplier.select(F.concat(F.lit("T"), "s_suppkey").alias("contig"), F.col("s_suppkey").alias("k"), F.expr(f"concat({pieces})").alias("s"))
     bounds = F.array(*[F.struct(F.lit(i).alias("exon"), F.lit(a).cast("long").alias("start"), b.cast("long").alias("end")) for i, (a, b) in enumerate(((10, F.lit(60)), (120, 150 + F.col("k") % 20), (250, F.lit(340))), 1)])
     exons = g.select(F.col("contig").alias("transcript"), "contig", F.explode(bounds).alias("x")).select("transcript", "contig", "x.*")
-    transcripts = genome.spliced(exons, sequence.chunked(g, "contig", "s", 128, 64), 128)
+    transcripts = staged(genome.spliced(exons, sequence.chunked(g, "contig", "s", 128, 64), 128))
     own = g.select("k", F.expr(f"{_SPLICED}").alias("t"), "s")
     cut = lambda c, first, last, step, more: own.select("k", F.col(c).alias("c"), F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))).alias("i")).select("k", (F.col("i") + more).alias("q"), F.expr("substr(c, i + 1, 40)").alias("r"))
     reads = cut("t", 0, 119, 7, 0).union(cut("s", 100, 259, 13, 1000))

@@ -85,10 +85,13 @@ def staged(df: DataFrame) -> DataFrame:
 _TASK_ROWS = 1_000_000
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """As many tasks as a number of rows asks for; never fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _TASK_ROWS))
+
+
 def _tasks(df: DataFrame) -> int:
-    """As many tasks as the number of rows asks for; never fewer than the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-df.count() // _TASK_ROWS))
+    return tasks_for(df.sparkSession, df.count())
 
 
 def dealt(df: DataFrame, *by: str) -> DataFrame:

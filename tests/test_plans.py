@@ -203,3 +203,41 @@ def test_scanned_clusters_without_contig_or_position(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = plans.QUERIES["scanned_clusters"](spark, str(tmp_path)).select("contig", "at", "cluster", "opened").collect()
     assert sorted(map(tuple, got)) == [(1, 10, 1, 1), (1, 1600, 2, 2)]
+
+
+def test_realigned_finds_every_place_and_broadcasts_nothing(spark):
+    t = "ACGTTGCAAGGCTTAACCGATCGGATATCCGTAGCTAACGTTCGA"
+    read = t[2:42]
+    lost = read[:11] + "C" + read[12:25] + "C" + read[26:]  # each seed of twelve bases, five apart, holds one of the changes
+    assert sum(a != b for a, b in zip(read, lost, strict=True)) == 2
+    repeats = "ACGTACGGTCATTGCAGGCTAACGT" * 14 + "ACGTACGGTCATTGCAGGCTTTCGT" + "ACGTACGGTCATTGC"  # many starts of equal votes; the unchanged place is the last of them
+    last = repeats[-40:]
+    reads = spark.createDataFrame([("lost", lost), ("last", last), ("short", t[3:17])], "read string, seq string")
+    transcripts = spark.createDataFrame([("T", t, [20, 45]), ("R", repeats, [len(repeats)])], "transcript string, seq string, joints array<long>")
+    rows = [r for r in reads.collect() if r.read != "short"]
+    for some in (reads, reads.filter("read <> 'short'")):
+        placed = genome.realigned(some, transcripts)
+        got = {(r.read, r.transcript): (r.start, r.mismatches) for r in placed.collect() if r.read != "short"}
+        whole = {}
+        for r in rows:
+            for name, s in (("T", t), ("R", repeats)):
+                at = [(sum(a != b for a, b in zip(r.seq, s[i:], strict=False)), i) for i in range(len(s) - 39)]
+                if min(at)[0] <= 2:
+                    whole[r.read, name] = min(at)[::-1]
+        if some is not reads:  # seeds in parts find all places; a short read makes them shorter, not fewer
+            assert got == whole and got["lost", "T"] == (2, 2) and got["last", "R"] == (len(repeats) - 40, 0)
+        assert got == whole
+    plan = genome.exon_support(placed, transcripts, reads, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_transcript_support_broadcasts_no_exploded_rows(spark):
+    from tessella import plans
+
+    joined = plans.QUERIES["transcript_support"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    g = spark.range(3).selectExpr("concat('c', id) AS contig", "repeat('ACGT', 100) AS s")
+    sites = g.selectExpr("contig", "explode(array(0L, 130L)) AS at")
+    found = sequence.reference_lookup(sites, sequence.chunked(g, "contig", "s", 128, 8), "contig", "at", F.lit(5), 128)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.at, r.reference) for r in found.collect()} == {(0, "ACGTA"), (130, "GTACG")}
